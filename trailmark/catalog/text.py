@@ -91,7 +91,7 @@ BOX = "l_extendedprice / 100 - 50 AS x, l_quantity * 20 - 30 AS y, l_quantity *
 
 @query("viewport_ratio", "B42", f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, {BOX} FROM lineitem),
 r AS (SELECT *, greatest(0, least(x + w, 1280) - greatest(x, 0)) * greatest(0, least(y + h, 720) - greatest(y, 0)) AS inside FROM b)
-SELECT l_orderkey, l_linenumber, l_partkey, round(inside / (w * h), 6) AS ratio, round(inside / w * h, 4) AS compat_ratio,
+SELECT l_orderkey, l_linenumber, l_partkey, round(inside / (w * h), 6) AS ratio, inside / w * h AS compat_ratio,
        round(inside / (w * h), 9) >= 0.6 AS visible FROM r""")
 def viewport_ratio(t):
     b = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", *BOX.split(", "))
@@ -99,7 +99,7 @@ def viewport_ratio(t):
     ratio = geometry.viewport_ratio(*box, 1280, 720)
     return b.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round(ratio, 6).alias("ratio"),
-        F.round(geometry.viewport_ratio(*box, 1280, 720, compat=True), 4).alias("compat_ratio"),
+        geometry.viewport_ratio(*box, 1280, 720, compat=True).alias("compat_ratio"),
         geometry.in_viewport(F.round(ratio, 9)).alias("visible"),
     )
 
