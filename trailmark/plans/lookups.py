@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.plans.sequences import block_rows, large_groups
+from trailmark.plans.sequences import GroupSizes, block_rows, measure
 
 MAX_SALTS = 1_024
 NULL_SALTS = 64
 
 
-def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def attach(
+    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", sizes: GroupSizes | None = None
+) -> DataFrame:
     """Join ``df`` to ``table`` (unique on ``on``), spreading the rows of every dominant key.
 
-    Dominant keys are counted first; their rows get one of several salts taken from the row's own hash,
-    and the one matching row of ``table`` is repeated once per salt.  Everything else joins as usual, so
-    Catalyst and AQE stay free to broadcast ``table`` when its measured size allows.
+    Without dominant keys this is the plain join, left to Catalyst and AQE.  The rows of a dominant key get
+    one of several salts taken from the row's own hash, and the one matching row of ``table`` is repeated
+    once per salt.
     """
-    limit = block_rows(df.sparkSession)
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / limit)).cast("int")
-    large = F.broadcast(large_groups(df, on).select(*on, salts.alias("_salts")))
+    if sizes is None or sizes.keys != tuple(on):
+        sizes = measure(df, on)
+    added = [c for c in table.columns if c not in on]
+    if sizes.large is None:
+        return df.join(table, on, how).select(*df.columns, *added)
+    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / block_rows(df.sparkSession))).cast("int")
+    large = F.broadcast(sizes.large.select(*on, salts.alias("_salts")))
     hashable = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*hashable)
     missing = F.lit(False)
@@ -38,7 +44,6 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") ->
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    added = [c for c in table.columns if c not in on]
     return salted.join(copies, [*on, "_salt"], how).select(*df.columns, *added)
 
 

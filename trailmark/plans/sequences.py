@@ -1,17 +1,22 @@
 """Ordered per-group operators that split large groups over many tasks.
 
-A plain ``Window.partitionBy(keys)`` sends all rows of a key to one task.  The functions here look at
-the group sizes first (one map-side combined count) and cut every group of more than
-``trailmark.blockRows`` rows into blocks of consecutive rows:
-
-* ``running`` computes prefix aggregates inside each block and adds the totals of the earlier blocks;
-* ``numbered`` is ``running`` over a count;
-* ``framed`` evaluates bounded frames on fixed-size blocks of positions, each with a halo of copies.
-
-The table of large groups holds at most ``MAX_SPLIT_GROUPS`` rows.  Any group outside that many largest
-ones has less than 1/``MAX_SPLIT_GROUPS`` of all rows, so leaving it whole cannot unbalance a stage, and
-broadcasting the table is safe at every data size.  Blocks are equal ranges of the leading order column
-between its exact minimum and maximum, so a recomputed task always sees the same blocks.
+A plain ``Window.partitionBy(keys)`` sends all rows of a key to one task.  The functions here measure the
+group sizes first and choose the plan from what they find:
+
+* no group of more than ``trailmark.blockRows`` rows: the plain window, one shuffle;
+* otherwise every large group is cut into blocks of consecutive rows.  ``running`` computes prefix
+  aggregates inside each block and adds the totals of the earlier blocks; ``numbered`` is ``running`` over a
+  count; ``framed`` evaluates bounded frames on fixed-size blocks of positions, each with a halo of copies.
+
+Measuring is one map-side combined count over the key columns.  Its result is written to the checkpoint
+folder and holds at most ``MAX_SPLIT_GROUPS`` rows: any group outside that many largest ones has less than
+1/``MAX_SPLIT_GROUPS`` of all rows, so leaving it whole cannot unbalance a stage, and broadcasting the table
+is safe at every data size.  An operator measures its input once and hands the result to all its steps.
+Inputs below ``trailmark.smallInputBytes`` (half of one default file split, by Spark's own estimate) are one
+task's work anyway and are not measured.
+
+Blocks are equal ranges of the leading order column between its exact minimum and maximum, so a recomputed
+task always sees the same blocks.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.plans.lineage import cut
+
 BLOCK_ROWS_CONF = "trailmark.blockRows"
 DEFAULT_BLOCK_ROWS = 1_000_000
+SMALL_INPUT_CONF = "trailmark.smallInputBytes"
+DEFAULT_SMALL_INPUT = 64 * 1024 * 1024
 MAX_SPLIT_GROUPS = 10_000
 MAX_BLOCKS = 4_096
-_RESERVED = ("_n", "_lo", "_hi", "_m")
 
 
 @dataclass(frozen=True)
@@ -62,10 +70,30 @@ def _placement(df: DataFrame, order: list[str]) -> Column:
     return -value if order[0].startswith("-") else value
 
 
-def large_groups(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """The groups of more than ``block_rows`` rows, at most ``MAX_SPLIT_GROUPS`` of them."""
+@dataclass(frozen=True)
+class GroupSizes:
+    """The measured large groups of a table by some keys; ``large`` is None when there are none."""
+
+    keys: tuple[str, ...]
+    column: str | None
+    large: DataFrame | None
+
+
+def is_small_input(df: DataFrame) -> bool:
+    """Whether Spark estimates the whole input below the small-input bound."""
+    bound = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(DEFAULT_SMALL_INPUT)))
+    if bound <= 0:
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < bound
+
+
+def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSizes:
+    """Find the groups of more than ``block_rows`` rows, with the range of the leading order column."""
+    column = order.lstrip("-") if order else None
+    if is_small_input(df):
+        return GroupSizes(tuple(keys), column, None)
     limit = block_rows(df.sparkSession)
-    place = _placement(df, order) if order else F.lit(0.0)
+    place = _placement(df, [column]) if column else F.lit(0.0)
     sizes = (
         df.select(*keys, place.alias("_place"))
         .groupBy(*keys)
@@ -73,16 +101,28 @@ def large_groups(df: DataFrame, keys: list[str], order: list[str] | None = None)
         .where(F.col("_n") > limit)
         .withColumn("_m", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_n") * 4 / limit)).cast("int"))
     )
-    return sizes.orderBy(F.col("_n").desc(), *keys).limit(MAX_SPLIT_GROUPS)
+    large = cut(sizes.orderBy(F.col("_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
+    return GroupSizes(tuple(keys), column, None if large.isEmpty() else large)
+
 
+def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str], order: list[str]) -> GroupSizes:
+    """The given sizes when they were measured for these keys and this order, else fresh ones."""
+    if sizes is not None and sizes.keys == tuple(keys):
+        if sizes.large is None or sizes.column == order[0].lstrip("-"):
+            return sizes
+    return measure(df, keys, order[0])
 
-def _with_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    large = large_groups(df, keys, order)
-    at_end = F.lit(0) if not order[0].startswith("-") else F.col("_m") - 1
-    share = (_placement(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+
+def _with_blocks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
+    backwards = order[0].startswith("-")
+    low = -F.col("_hi") if backwards else F.col("_lo")
+    high = -F.col("_lo") if backwards else F.col("_hi")
+    at_end = F.col("_m") - 1 if backwards else F.lit(0)
+    share = (_placement(df, order) - low) / (high - low)
+    position = F.greatest(F.lit(0), F.least(F.col("_m") - 1, F.floor(share * F.col("_m"))))
     block = (
         F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))
-        .otherwise(F.coalesce(F.least(F.col("_m") - 1, F.floor(share * F.col("_m"))), at_end))
+        .otherwise(F.coalesce(position, at_end))
         .cast("int")
     )
     joined = df.join(F.broadcast(large), keys, "left")
@@ -93,19 +133,40 @@ def _aggregate(kind: str, value: Column) -> Column:
     return {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[kind](value)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Scan]) -> DataFrame:
+def _plain_running(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Scan]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order_columns(order))
+    made = []
+    for name, scan in cols.items():
+        frame = window.rowsBetween(Window.unboundedPreceding, -1 if scan.exclusive else 0)
+        if scan.kind == "last":
+            value = F.last(scan.value, ignorenulls=True).over(frame)
+        elif scan.kind == "count":
+            value = F.count(scan.value).over(frame)
+        else:
+            value = _aggregate(scan.kind, scan.value).over(frame)
+        made.append(value.alias(name))
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, *made)
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Scan], sizes: GroupSizes | None = None
+) -> DataFrame:
     """Add prefix aggregates over each group in ``order``; no task holds a whole large group.
 
     ``order`` must name the rows of a group uniquely for results that do not depend on ties.
     """
-    whole_table = not keys
+    sizes = _fitting(sizes, df, keys, order)
+    if sizes.large is None:
+        return _plain_running(df, keys, order, cols)
+    large, whole_table = sizes.large, not keys
     if whole_table:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+        df, large, keys = df.withColumn("_all", F.lit(1)), large.withColumn("_all", F.lit(1)), ["_all"]
     work = df
     for name, scan in cols.items():
         value = F.when(scan.value.isNotNull(), 1).otherwise(0).cast("long") if scan.kind == "count" else scan.value
         work = work.withColumn(f"_v_{name}", value)
-    work = _with_blocks(work, keys, order)
+    work = _with_blocks(work, keys, order, large)
     local_window = Window.partitionBy(*keys, "_blk").orderBy(*order_columns(order))
     local, totals = [], []
     along = F.struct(*[F.col(o.lstrip("-")) for o in order])
@@ -120,6 +181,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Sc
         else:
             local.append(_aggregate(scan.kind, value).over(frame).alias(f"_l_{name}"))
             totals.append(_aggregate(scan.kind, value).alias(f"_t_{name}"))
+    # Map-side combined: one row per block of a large group, at most MAX_BLOCKS for each of them.
     block_totals = work.where("_large").groupBy(*keys, "_blk").agg(*totals)
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carries = []
@@ -128,6 +190,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Sc
         carry = F.last(total, ignorenulls=True) if scan.kind == "last" else _aggregate(scan.kind, total)
         carries.append(carry.over(earlier).alias(f"_c_{name}"))
     carry = block_totals.select(*keys, "_blk", *carries)
+    # The window output is already partitioned and sorted by (keys, block), so only the carries shuffle.
     out = work.select("*", *local).join(carry, [*keys, "_blk"], "left")
     results = []
     for name, scan in cols.items():
@@ -147,9 +210,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, Sc
     return out.select(*kept, *results)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Add the 1-based position of each row in its group."""
-    return running(df, keys, order, {name: Scan("count", F.lit(1))})
+    return running(df, keys, order, {name: Scan("count", F.lit(1))}, sizes)
 
 
 def framed(
@@ -159,17 +224,20 @@ def framed(
     cols: dict[str, Callable[[WindowSpec], Column]],
     before: int = 0,
     after: int = 0,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead."""
-    large = F.broadcast(large_groups(df, keys).select(*keys))
+    sizes = _fitting(sizes, df, keys, order)
     window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-    whole = df.join(large, keys, "left_anti").select(
-        *df.columns, *[make(window).alias(name) for name, make in cols.items()]
-    )
+    plain = [make(window).alias(name) for name, make in cols.items()]
+    if sizes.large is None:
+        return df.select(*df.columns, *plain)
+    large = F.broadcast(sizes.large.select(*keys))
+    whole = df.join(large, keys, "left_anti").select(*df.columns, *plain)
     size = max(block_rows(df.sparkSession), before, after, 1)
-    placed = numbered(df.join(large, keys, "left_semi"), keys, order, "_pos")
-    block = F.floor((F.col("_pos") - 1) / size)
-    offset = (F.col("_pos") - 1) % size
+    placed = numbered(df.join(large, keys, "left_semi"), keys, order, "_at", sizes)
+    block = F.floor((F.col("_at") - 1) / size)
+    offset = (F.col("_at") - 1) % size
 
     def copy(block_id: Column, halo: bool) -> Column:
         return F.struct(block_id.cast("long").alias("_part"), F.lit(halo).alias("_halo"))
@@ -180,8 +248,8 @@ def framed(
     if after:
         copies.append(F.when((offset < after) & (block > 0), copy(block - 1, True)))
     parts = placed.withColumn("_copy", F.explode(F.array_compact(F.array(*copies))))
-    parts = parts.select(*df.columns, "_pos", "_copy._part", "_copy._halo")
-    within = Window.partitionBy(*keys, "_part").orderBy("_pos")
+    parts = parts.select(*df.columns, "_at", "_copy._part", "_copy._halo")
+    within = Window.partitionBy(*keys, "_part").orderBy("_at")
     split = (
         parts.select("*", *[make(within).alias(name) for name, make in cols.items()])
         .where(~F.col("_halo"))
