@@ -84,7 +84,8 @@ def pair_failed_with_success(t):
     return c.pair_failed_with_success(failed, t.conversations.where("role = 'system'"), "conv_id")
 
 
-REPLIES = "CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN 'You have successfully edited the rule. ' || content ELSE content END"
+REPLIES = """CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN 'You have successfully edited the rule. ' || content
+  WHEN role = 'agent' AND conv_id % 4 = 1 THEN 'Action: edit_rule("#n' || turn || '")' ELSE content END"""
 HALVES = f"""{v.TURNS}, f AS (SELECT conv_id // 2 AS conv_id, turn, role, {REPLIES} AS content FROM turns WHERE conv_id % 2 = 0),
 g AS (SELECT (conv_id - 1) // 2 AS conv_id, turn, role, {REPLIES} AS content FROM turns WHERE conv_id % 2 = 1)"""
 
