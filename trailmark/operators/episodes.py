@@ -32,9 +32,9 @@ def dataset_frames(episodes: DataFrame, chunk: int, gap: int) -> DataFrame:
 def chunk_episodes(episodes: DataFrame, chunk: int, gap: int) -> DataFrame:
     """Chunks of ``chunk`` timesteps from the offset on; the last one is moved back to end at the length."""
     usable = valid_episodes(episodes, chunk, gap)
-    starts = F.sequence(F.lit(NONE_OFFSET).cast("long"), F.col("length").cast("long") - 1, F.lit(chunk).cast("long"))
-    flat = usable.select("episode_id", "length", F.explode(starts).alias("_start"))
-    start = F.least(F.col("_start"), F.col("length") - chunk)
+    pieces = F.ceil((F.col("length") - NONE_OFFSET) / chunk).cast("long")
+    flat = spread(usable.select("episode_id", "length").withColumn("_n", pieces), "_n", "_i")
+    start = F.least(NONE_OFFSET + F.col("_i") * chunk, F.col("length") - chunk)
     return flat.select("episode_id", start.alias("start"), (start + chunk).alias("end"))
 
 
