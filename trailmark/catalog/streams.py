@@ -1 +1,77 @@
+"""Queries: streams run over everything there is."""
 
+from pyspark.sql import functions as F
+
+from trailmark.catalog import views as v
+from trailmark.catalog.registry import query
+from trailmark.catalog.chats import keyed_actions
+from trailmark.sources.sinks import scratch_folder
+from trailmark.streaming import ledgers as lg
+from trailmark.streaming.stopping import stream_stops
+
+ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+NORMAL = "replace(lower(status), '_', ' ')"
+
+
+class Live:
+    """The same tables as streams, so that the batch views apply to them."""
+
+    def __init__(self, t) -> None:
+        self.spark = t.spark
+        self.orders = lg.open_files(t.spark, t.folder, ORDERS, "orders.parquet")
+        self.events = lg.open_files(t.spark, t.folder, EVENTS, "events.parquet")
+
+
+def live_runs(t):
+    return v.runs(Live(t)).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_run_ledger", "S1", f"WITH {v.RUNS} SELECT agent, task, {NORMAL} AS status, count(*) AS records FROM runs GROUP BY 1, 2, 3")
+def stream_run_ledger(t):
+    out = lg.run_available(lg.ledger_counts(live_runs(t)), "update", "ledger")
+    return lg.collected(t.spark, out, "agent STRING, task STRING, status STRING, records BIGINT", ["agent", "task", "status"])
+
+
+def stored_samples(t):
+    live = live_runs(t).select("agent", "task", "sample", "ts")
+    return lg.run_available(lg.first_samples(live, "20000 days"), "append", "samples")
+
+
+@query("stream_dedup_runs", "S5", f"WITH {v.RUNS} SELECT DISTINCT agent, task, sample FROM runs")
+def stream_dedup_runs(t):
+    return lg.collected(t.spark, stored_samples(t), "agent STRING, task STRING, sample STRING")
+
+
+@query("stream_completion", "S2", f"WITH {v.RUNS}, f AS (SELECT agent, task, count(DISTINCT sample) AS finished FROM runs GROUP BY 1, 2), e AS (SELECT agent, task, count(DISTINCT sample) - (CASE agent WHEN 'agent-1' THEN -1 ELSE 0 END) AS expected FROM runs GROUP BY 1, 2) SELECT agent, task, finished, expected FROM f JOIN e USING (agent, task) WHERE finished >= expected")
+def stream_completion(t):
+    expected = v.runs(t).select("agent", "task", "sample").distinct().groupBy("agent", "task").agg(
+        (F.count(F.lit(1)) + F.when(F.col("agent") == "agent-1", 1).otherwise(0)).alias("expected"))
+    samples = t.spark.readStream.schema("agent STRING, task STRING, sample STRING, ts TIMESTAMP").option("recursiveFileLookup", True).parquet(stored_samples(t))
+    out = lg.run_available(lg.finished_counts(samples), "update", "finished")
+    counts = lg.collected(t.spark, out, "agent STRING, task STRING, finished BIGINT", ["agent", "task"])
+    return lg.completed_pairs(counts, expected)
+
+
+@query("stream_early_stop", "S3")
+def stream_early_stop(t):
+    folder = scratch_folder(t.spark, "actions")
+    keyed_actions(t).write.parquet(folder)
+    live = lg.open_files(t.spark, folder, "task_id BIGINT, step_no BIGINT, action_type STRING, key STRING", "*.parquet")
+    out = lg.run_available(stream_stops(live, max_steps=60, parse=3, repeat=3), "append", "stops")
+    return lg.collected(t.spark, out, "task_id BIGINT, step_no BIGINT, reason STRING")
+
+
+@query("idle_sessions", "S4", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 240 SECONDS THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 240 SECONDS, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS updates FROM s GROUP BY user_id, n""")
+def idle_sessions(t):
+    out = lg.idle_sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "240 seconds")
+    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")], "updates")
+
+
+@query("stream_idle_sessions", "S4")
+def stream_idle_sessions(t):
+    live = Live(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = lg.run_available(lg.idle_sessions(live, "240 seconds", "1 minute"), "append", "sessions")
+    return lg.collected(t.spark, out, "user_id BIGINT, start TIMESTAMP, end TIMESTAMP, updates BIGINT")
