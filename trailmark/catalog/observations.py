@@ -83,7 +83,19 @@ def element_context(t):
     return v.observations(t).select("page_id", o.element_context(F.col("text_observation"), wanted).alias("context"))
 
 
-@query("simplify_observation", "B16")
+SIMPLE = f"""{v.OBS_LINES}, tr AS (SELECT page_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM obs_lines),
+m AS (SELECT page_id, pos, line, regexp_extract(line, '^[[]([0-9]+)[]] (link|button|StaticText|textbox) (.*)$', ['id', 'role', 'rest']) AS g FROM tr),
+q AS (SELECT page_id, pos, line, g, CASE WHEN g.role IN ('link', 'button') THEN regexp_extract(g.rest, '''([^'']*)''', 1)
+  WHEN g.role = 'textbox' THEN regexp_replace(trim(split_part(g.rest, 'required:', 1)), '^[''"]+|[''"]+$', '', 'g') ELSE regexp_replace(g.rest, '^[''"]+|[''"]+$', '', 'g') END AS label
+  FROM m WHERE g.role <> '' AND NOT contains(lower(line), 'generic')),
+o AS (SELECT page_id, pos, '[' || g.id || '] ' || g.role || ' ''' || label || '''' || CASE WHEN g.role = 'link' THEN ', url=''' || regexp_extract(line, 'url=''([^'']*)''', 1) || ''''
+  WHEN g.role = 'button' AND contains(line, 'expanded: True') THEN ', hasPopup=''dialog'', expanded=True, controls=''menu'''
+  WHEN g.role = 'button' AND contains(line, 'expanded:') THEN ', expanded=False' WHEN contains(line, 'focused: True') THEN ', focused' ELSE '' END AS simple_line
+  FROM q WHERE g.role = 'link' OR label <> '')"""
+
+
+@query("simplify_observation", "B16", f"""WITH {SIMPLE} SELECT obs.page_id, coalesce(string_agg(o.simple_line, chr(10) ORDER BY pos), '') AS simple
+FROM obs LEFT JOIN o USING (page_id) GROUP BY obs.page_id""")
 def simplify_observation(t):
     return v.observations(t).select("page_id", o.simplify_observation(F.col("text_observation")).alias("simple"))
 

@@ -91,7 +91,10 @@ def latest_comment(t):
     return latest_by(comments(t), ["post_id", "username"], ["time", "comment_id"]).select("post_id", "username", "comment_id")
 
 
-@query("pairwise_tournament", "G7")
+@query("pairwise_tournament", "G7", f"""WITH {v.ACTIONS}, z AS (SELECT task_id, event_id, k, step_no - 1 AS pos, count(*) OVER (PARTITION BY task_id) AS n FROM actions),
+best AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY k DESC, pos) = 1), rounds AS (SELECT unnest(range(0, 30)) AS r),
+m AS (SELECT task_id, event_id, CAST(pos AS BIGINT) >> r AS p, (n + (1::BIGINT << r) - 1) >> r AS size FROM best, rounds)
+SELECT task_id, event_id AS cand, count(*) FILTER (size > 1 AND NOT (p = size - 1 AND size % 2 = 1)) AS wins FROM m GROUP BY 1, 2""")
 def pairwise_tournament(t):
     rows = v.actions(t).select("task_id", (F.col("step_no") - 1).alias("pos"), F.col("event_id").alias("cand"), F.col("k").alias("attr"))
     return tr.pairwise_tournament(rows, "task_id", lambda x, y: F.signum(x - y).cast("int"))
