@@ -146,7 +146,10 @@ w AS (SELECT *, sum(CASE WHEN kind IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY
 h AS (SELECT task_id, step_no, CASE WHEN step_no >= 60 THEN 1 WHEN fails >= 3 AND step_no >= 3 THEN 2 WHEN lo = hi AND n = 3 AND kind <> 'TYPE' THEN 3 WHEN seen >= 3 THEN 4 END AS r FROM w)"""
 
 
-@query("stop_reasons", "E11", f"WITH {STOP} SELECT task_id, min(step_no) AS step_no, CASE arg_min(r, step_no) WHEN 1 THEN 'max_steps' WHEN 2 THEN 'parse_failures' WHEN 3 THEN 'same_action' ELSE 'typing' END AS reason FROM h WHERE r IS NOT NULL GROUP BY task_id")
+STOP_SQL = f"WITH {STOP} SELECT task_id, min(step_no) AS step_no, CASE arg_min(r, step_no) WHEN 1 THEN 'max_steps' WHEN 2 THEN 'parse_failures' WHEN 3 THEN 'same_action' ELSE 'typing' END AS reason FROM h WHERE r IS NOT NULL GROUP BY task_id"
+
+
+@query("stop_reasons", "E11", STOP_SQL)
 def stop_reasons(t):
     return c.stop_reasons(keyed_actions(t), ["step_no"], max_steps=60, parse=3, repeat=3)
 

@@ -100,7 +100,12 @@ def simplify_observation(t):
     return v.observations(t).select("page_id", o.simplify_observation(F.col("text_observation")).alias("simple"))
 
 
-@query("clean_static_text", "B36")
+@query("clean_static_text", "B36", f"""WITH RECURSIVE {v.OBS_LINES},
+li AS (SELECT page_id, pos, line, contains(lower(line), 'statictext') AS static, regexp_extract(line, '(?s)[[][0-9]+[]] StaticText .(.*).$', 1) AS inner_text FROM obs_lines),
+f AS (SELECT page_id, 0::BIGINT AS pos, []::VARCHAR[] AS kept FROM obs
+  UNION ALL SELECT f.page_id, li.pos, CASE WHEN NOT static OR (inner_text <> '' AND len(list_filter(kept[-3:], lambda s: contains(s, inner_text))) = 0) THEN list_append(kept, line) ELSE kept END
+  FROM f JOIN li ON li.page_id = f.page_id AND li.pos = f.pos + 1)
+SELECT page_id, array_to_string(arg_max(kept, pos), chr(10)) AS cleaned FROM f GROUP BY page_id""")
 def clean_static_text(t):
     return v.observations(t).select("page_id", o.clean_static_text(F.col("text_observation")).alias("cleaned"))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
-from trailmark.catalog.chats import keyed_actions
+from trailmark.catalog.chats import STOP_SQL, keyed_actions
 from trailmark.sources.sinks import scratch_folder
 from trailmark.streaming import ledgers as lg
 from trailmark.streaming.stopping import stream_stops
@@ -53,7 +53,7 @@ def stream_completion(t):
     return lg.completed_pairs(counts, expected)
 
 
-@query("stream_early_stop", "S3")
+@query("stream_early_stop", "S3", STOP_SQL)
 def stream_early_stop(t):
     folder = scratch_folder(t.spark, "actions")
     keyed_actions(t).write.parquet(folder)
@@ -62,16 +62,24 @@ def stream_early_stop(t):
     return lg.collected(t.spark, out, "task_id BIGINT, step_no BIGINT, reason STRING")
 
 
-@query("idle_sessions", "S4", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 240 SECONDS THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 240 SECONDS THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
+
+
+def stamped(sessions):
+    return sessions.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")], "updates")
+
+
+@query("idle_sessions", "S4", f"""WITH {SESSIONS}
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 240 SECONDS, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS updates FROM s GROUP BY user_id, n""")
 def idle_sessions(t):
     out = lg.idle_sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "240 seconds")
-    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")], "updates")
+    return stamped(out)
 
 
-@query("stream_idle_sessions", "S4")
+@query("stream_idle_sessions", "S4", f"""WITH {SESSIONS}, c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 240 SECONDS AS fin, count(*) AS updates FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(fin, '%Y-%m-%d %H:%M:%S.%f') AS "end", updates FROM c WHERE fin <= (SELECT max(ts) FROM events) - INTERVAL 60 SECONDS""")
 def stream_idle_sessions(t):
     live = Live(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = lg.run_available(lg.idle_sessions(live, "240 seconds", "1 minute"), "append", "sessions")
-    return lg.collected(t.spark, out, "user_id BIGINT, start TIMESTAMP, end TIMESTAMP, updates BIGINT")
+    return stamped(lg.collected(t.spark, out, "user_id BIGINT, start TIMESTAMP, end TIMESTAMP, updates BIGINT"))

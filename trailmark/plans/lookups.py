@@ -25,26 +25,26 @@ def attach(
     added = [c for c in table.columns if c not in on]
     if sizes.large is None:
         return df.join(table, on, how).select(*df.columns, *added)
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / block_rows(df.sparkSession))).cast("int")
-    large = F.broadcast(sizes.large.select(*on, salts.alias("_salts")))
+    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_tm_n") / block_rows(df.sparkSession))).cast("int")
+    large = F.broadcast(sizes.large.select(*on, salts.alias("_tm_salts")))
     hashable = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*hashable)
     missing = F.lit(False)
     for key in on:
         missing = missing | F.col(key).isNull()
     salted = df.join(large, on, "left").withColumn(
-        "_salt",
+        "_tm_salt",
         F.when(missing, F.pmod(row_hash, F.lit(NULL_SALTS)))
-        .when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
+        .when(F.col("_tm_salts").isNotNull(), F.pmod(row_hash, F.col("_tm_salts")))
         .otherwise(0)
         .cast("int"),
     )
     copies = (
         table.join(large, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
+        .withColumn("_tm_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_tm_salts"), F.lit(1)) - 1)))
+        .drop("_tm_salts")
     )
-    return salted.join(copies, [*on, "_salt"], how).select(*df.columns, *added)
+    return salted.join(copies, [*on, "_tm_salt"], how).select(*df.columns, *added)
 
 
 def group_stats(df: DataFrame, on: list[str], **aggregates) -> DataFrame:

@@ -97,11 +97,11 @@ def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSi
     sizes = (
         df.select(*keys, place.alias("_place"))
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
-        .where(F.col("_n") > limit)
-        .withColumn("_m", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_n") * 4 / limit)).cast("int"))
+        .agg(F.count(F.lit(1)).alias("_tm_n"), F.min("_place").alias("_tm_lo"), F.max("_place").alias("_tm_hi"))
+        .where(F.col("_tm_n") > limit)
+        .withColumn("_tm_m", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_tm_n") * 4 / limit)).cast("int"))
     )
-    large = cut(sizes.orderBy(F.col("_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
+    large = cut(sizes.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
     return GroupSizes(tuple(keys), column, None if large.isEmpty() else large)
 
 
@@ -115,18 +115,18 @@ def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str], order: li
 
 def _with_blocks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
     backwards = order[0].startswith("-")
-    low = -F.col("_hi") if backwards else F.col("_lo")
-    high = -F.col("_lo") if backwards else F.col("_hi")
-    at_end = F.col("_m") - 1 if backwards else F.lit(0)
+    low = -F.col("_tm_hi") if backwards else F.col("_tm_lo")
+    high = -F.col("_tm_lo") if backwards else F.col("_tm_hi")
+    at_end = F.col("_tm_m") - 1 if backwards else F.lit(0)
     share = (_placement(df, order) - low) / (high - low)
-    position = F.greatest(F.lit(0), F.least(F.col("_m") - 1, F.floor(share * F.col("_m"))))
+    position = F.greatest(F.lit(0), F.least(F.col("_tm_m") - 1, F.floor(share * F.col("_tm_m"))))
     block = (
-        F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))
+        F.when(F.col("_tm_n").isNull() | (F.col("_tm_hi") <= F.col("_tm_lo")), F.lit(0))
         .otherwise(F.coalesce(position, at_end))
         .cast("int")
     )
     joined = df.join(F.broadcast(large), keys, "left")
-    return joined.select(*df.columns, F.col("_n").isNotNull().alias("_large"), block.alias("_blk"))
+    return joined.select(*df.columns, F.col("_tm_n").isNotNull().alias("_tm_large"), block.alias("_tm_blk"))
 
 
 def _aggregate(kind: str, value: Column) -> Column:
@@ -167,7 +167,7 @@ def running(
         value = F.when(scan.value.isNotNull(), 1).otherwise(0).cast("long") if scan.kind == "count" else scan.value
         work = work.withColumn(f"_v_{name}", value)
     work = _with_blocks(work, keys, order, large)
-    local_window = Window.partitionBy(*keys, "_blk").orderBy(*order_columns(order))
+    local_window = Window.partitionBy(*keys, "_tm_blk").orderBy(*order_columns(order))
     local, totals = [], []
     along = F.struct(*[F.col(o.lstrip("-")) for o in order])
     backwards = order[0].startswith("-")
@@ -182,16 +182,16 @@ def running(
             local.append(_aggregate(scan.kind, value).over(frame).alias(f"_l_{name}"))
             totals.append(_aggregate(scan.kind, value).alias(f"_t_{name}"))
     # Map-side combined: one row per block of a large group, at most MAX_BLOCKS for each of them.
-    block_totals = work.where("_large").groupBy(*keys, "_blk").agg(*totals)
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    block_totals = work.where("_tm_large").groupBy(*keys, "_tm_blk").agg(*totals)
+    earlier = Window.partitionBy(*keys).orderBy("_tm_blk").rowsBetween(Window.unboundedPreceding, -1)
     carries = []
     for name, scan in cols.items():
         total = F.col(f"_t_{name}")
         carry = F.last(total, ignorenulls=True) if scan.kind == "last" else _aggregate(scan.kind, total)
         carries.append(carry.over(earlier).alias(f"_c_{name}"))
-    carry = block_totals.select(*keys, "_blk", *carries)
+    carry = block_totals.select(*keys, "_tm_blk", *carries)
     # The window output is already partitioned and sorted by (keys, block), so only the carries shuffle.
-    out = work.select("*", *local).join(carry, [*keys, "_blk"], "left")
+    out = work.select("*", *local).join(carry, [*keys, "_tm_blk"], "left")
     results = []
     for name, scan in cols.items():
         here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
