@@ -24,7 +24,7 @@ b AS (SELECT o.l_orderkey, coalesce(max(q) FILTER (type IN ('item1', 'item2')),
 SELECT l_orderkey, tagged >= 20 AND plain >= 10 AS satisfied FROM b""")
 def goal_satisfied(t):
     goals = t.lineitem.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.expr("array(named_struct('item', 'wood', 'n', 20), named_struct('item', 'item0', 'n', 10))")).alias("g")).select("l_orderkey", "g.*")
-    tags = t.region.where("r_regionkey IN (1, 2)").selectExpr("'wood' AS tag", "'item' || r_regionkey AS item")
+    tags = t.region.selectExpr("CASE WHEN r_regionkey IN (1, 2) THEN 'wood' ELSE 'stone' END AS tag", "'item' || r_regionkey AS item")
     return i.goal_satisfied(goals, slots(t), tags, ["l_orderkey"])
 
 

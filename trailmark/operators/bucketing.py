@@ -114,13 +114,10 @@ def group_bin_matrix(buckets: DataFrame) -> DataFrame:
 def load_group_map(lookup: DataFrame, steps: DataFrame) -> DataFrame:
     """Groups from a lookup table; when it names no domain at all, computed from the steps.
 
-    Whether the lookup is usable is decided inside the plan: the computed rows are dropped by an anti-join
-    on a one-row marker, so nothing is counted on the driver.
+    Whether the lookup is usable is decided inside the plan, by a subquery.
     """
     name = F.trim(F.coalesce(F.col("website_name"), F.lit("")))
     group = F.coalesce(F.nullif(F.trim(F.col("group")), F.lit("")), F.lit(DOMAIN_GROUPS[2]))
     given = lookup.where(name != "").groupBy(name.alias("website_name")).agg(F.max(group).alias("group"))
-    marker = given.limit(1).select(F.lit(1).alias("_any"))
-    computed = domain_tertiles(steps).select("website_name", "group").withColumn("_any", F.lit(1))
-    fallback = computed.join(F.broadcast(marker), "_any", "left_anti").drop("_any")
+    fallback = domain_tertiles(steps).select("website_name", "group").where(~given.exists())
     return given.unionByName(fallback)

@@ -120,11 +120,10 @@ def split_by_frames(episodes: DataFrame, train: int, val: int, order: str) -> Da
     """
     summed = running(episodes, [], [order, "episode_id"], {"_cum": Scan("sum", F.col("length"))})
     in_train = F.col("_cum") - F.col("length") < train
-    used = summed.where(in_train).groupBy().agg(F.max("_cum").alias("_used")).withColumn("_one", F.lit(1))
-    known = summed.withColumn("_one", F.lit(1)).join(F.broadcast(used), "_one", "left")
-    in_val = F.col("_cum") - F.coalesce("_used", F.lit(0)) - F.col("length") < val
+    used = summed.where(in_train).groupBy().agg(F.max("_cum")).scalar()
+    in_val = F.col("_cum") - F.coalesce(used, F.lit(0)) - F.col("length") < val
     part = F.when(in_train, "train").when(in_val, "val")
-    return known.withColumn("part", part).where(F.col("part").isNotNull()).select("episode_id", "length", "part")
+    return summed.withColumn("part", part).where(F.col("part").isNotNull()).select("episode_id", "length", "part")
 
 
 def mixture(episodes: DataFrame, shares: dict[str, float], total: int, order: str) -> DataFrame:
