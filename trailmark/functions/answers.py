@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trailmark.functions.text import strip
+from trailmark.functions.text import let, strip
 
 # A token: a word, kept whole across inner / . , or -, or any single other sign.
 TOKEN = r"[\p{L}\p{N}_]+(?:[/.,-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
@@ -32,17 +32,31 @@ def exact_match(reference: Column, answer: Column) -> Column:
 
 
 def must_include(reference: Column, answer: Column) -> Column:
-    ref, given = clean_answer(reference), clean_answer(answer)
-    words = tokens(given)
-    parts = F.flatten(F.transform(F.filter(words, lambda w: w.contains("/")), lambda w: F.split(w, "/")))
-    as_token = F.array_contains(words, ref) | F.array_contains(parts, ref)
-    return F.when(F.size(tokens(ref)) == 1, as_token).otherwise(given.contains(ref)).cast("double")
+    return included(clean_answer(reference), clean_answer(answer))
+
+
+def included(ref: Column, given: Column) -> Column:
+    """``must_include`` over cleaned texts. Tokens are looked at only where the text holds the reference."""
+
+    def check(one: Column) -> Column:
+        as_token = F.exists(tokens(given), lambda w: (w == one) | F.array_contains(F.split(w, "/"), one))
+        return (given.contains(one) & ((F.size(tokens(one)) != 1) | as_token)).cast("double")
+
+    return let(ref, check)
 
 
 def must_exclude(reference: Column, answer: Column) -> Column:
-    ref, given = clean_answer(reference), clean_answer(answer)
-    as_token = F.array_contains(tokens(given), ref)
-    return (~F.when(F.size(tokens(ref)) == 1, as_token).otherwise(given.contains(ref))).cast("double")
+    return excluded(clean_answer(reference), clean_answer(answer))
+
+
+def excluded(ref: Column, given: Column) -> Column:
+    """``must_exclude`` over cleaned texts; tokens are not split at slashes here."""
+
+    def check(one: Column) -> Column:
+        as_token = F.array_contains(tokens(given), one)
+        return (~(given.contains(one) & ((F.size(tokens(one)) != 1) | as_token))).cast("double")
+
+    return let(ref, check)
 
 
 def one_of(options: Column, answer: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trailmark.functions.text import lines, strip
+from trailmark.functions.text import let, lines, strip
 from trailmark.functions.urls import is_absolute, resolve
 
 # Roles listed as visible elements.
@@ -30,21 +30,25 @@ def parse_click_id(action: Column) -> Column:
 def link_url_by_id(observation: Column, element_id: Column) -> Column:
     """URL of the first line of the element; null when that line is no link."""
     prefix = F.concat(F.lit("["), element_id, F.lit("]"))
-    rows = F.transform(lines(observation), strip)
-    first = F.get(F.filter(rows, lambda row: row.startswith(prefix)), F.lit(0))
-    return F.nullif(F.regexp_extract(first, LINK_LINE, 3), F.lit(""))
+    hits = F.filter(lines(observation), lambda row: row.contains(prefix) & strip(row).startswith(prefix))
+    first = strip(F.get(hits, F.lit(0)))
+    return let(F.regexp_extract(first, LINK_LINE, 3), lambda url: F.nullif(url, F.lit("")))
 
 
 def has_nav_rejected(observation: Column, rejected_action: Column) -> Column:
     url = link_url_by_id(observation, parse_click_id(rejected_action))
-    return F.coalesce(is_absolute(url), F.lit(False))
+    return let(url, lambda found: F.coalesce(is_absolute(found), F.lit(False)))
 
 
 def resolve_rejected_url(observation: Column, rejected_action: Column, current_url: Column) -> Column:
     """``page.goto("…")`` for a rejected click on a link; null when nothing can be resolved."""
     url = link_url_by_id(observation, parse_click_id(rejected_action))
-    target = F.when(is_absolute(url), url).otherwise(resolve(current_url, url))
-    return F.concat(F.lit('page.goto("'), target, F.lit('")'))
+
+    def call(found: Column) -> Column:
+        target = F.when(is_absolute(found), found).otherwise(resolve(current_url, found))
+        return F.concat(F.lit('page.goto("'), target, F.lit('")'))
+
+    return let(url, call)
 
 
 def visible_elements(observation: Column, limit: int = 24) -> Column:
@@ -64,10 +68,18 @@ def element_context(observation: Column, element_id: Column, around: int = 2) ->
     """The element's line with its neighbours; empty when it is missing."""
     rows = lines(observation)
     prefix = F.concat(F.lit("["), element_id, F.lit("]"))
-    at = F.array_position(F.transform(rows, lambda row: strip(row).startswith(prefix)), True).cast("int")
-    start = F.greatest(F.lit(1), at - around)
-    window = F.slice(rows, start, at + around - start + 1)
-    return F.when(at > 0, F.array_join(window, "\n")).otherwise("")
+
+    def cut(found: Column) -> Column:
+        all_rows, at = found["rows"], found["at"]
+        start = F.greatest(F.lit(1), at - around)
+        window = F.slice(all_rows, start, at + around - start + 1)
+        return F.when(at > 0, F.array_join(window, "\n")).otherwise("")
+
+    def locate(all_rows: Column) -> Column:
+        flags = F.transform(all_rows, lambda row: row.contains(prefix) & strip(row).startswith(prefix))
+        return F.struct(all_rows.alias("rows"), F.array_position(flags, True).cast("int").alias("at"))
+
+    return let(let(rows, locate), cut)
 
 
 def _quoted_trim(text: Column) -> Column:
@@ -76,9 +88,17 @@ def _quoted_trim(text: Column) -> Column:
 
 def simple_line(raw: Column) -> Column:
     """One line of the simplified observation, or null when the line is left out."""
-    line = strip(raw)
-    element_id = F.regexp_extract(line, r"^[^\[]*\[(.*?)\]", 1)
+    wanted = raw.contains("[") & raw.contains("]") & ~F.lower(raw).contains("generic")
+    return F.when(wanted, let(strip(raw), lambda line: let(_line_parts(line), _simple_line)))
+
+
+def _line_parts(line: Column) -> Column:
     rest = strip(F.regexp_extract(line, r"^[^\]]*\](.*)$", 1))
+    return F.struct(line.alias("line"), F.regexp_extract(line, r"^[^\[]*\[(.*?)\]", 1).alias("id"), rest.alias("rest"))
+
+
+def _simple_line(parts: Column) -> Column:
+    line, element_id, rest = parts["line"], parts["id"], parts["rest"]
     role = F.substring_index(rest, " ", 1)
     content = F.regexp_extract(rest, r"^[^ ]* (.*)$", 1)
     visible = F.when(content.rlike("'[^']*'"), F.regexp_extract(content, "'([^']*)'", 1)).otherwise(content)
@@ -106,9 +126,8 @@ def simple_line(raw: Column) -> Column:
     head = F.concat(F.lit("["), element_id, F.lit("] "), role, F.lit(" '"), label, F.lit("'"))
     full = F.when(F.size(properties) > 0, F.concat(head, F.lit(", "), F.array_join(properties, ", "))).otherwise(head)
     keep = (
-        (line != "") & ~line.startswith("Tab") & ~line.startswith("RootWebArea")
-        & ~F.lower(line).contains("generic") & line.contains("[") & line.contains("]")
-        & rest.contains(" ") & role.isin(*SIMPLE_ROLES) & ((role == "link") | (label != ""))
+        ~line.startswith("Tab") & ~line.startswith("RootWebArea") & rest.contains(" ")
+        & role.isin(*SIMPLE_ROLES) & ((role == "link") | (label != ""))
     )
     return F.when(keep, full)
 

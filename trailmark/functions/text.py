@@ -16,6 +16,11 @@ LIMIT_WORDS = ("limit", "exceed", "max", "long", "much", "many", "reach", "over"
 LINE_BREAK = "\r\n|\r|\n"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once per row, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import answers as a
+from trailmark.functions.text import let
 from trailmark.plans.lookups import attach
 
 
+def _included(reference: Column, answer: Column) -> Column:
+    return a.included(a.clean_answer(reference), answer)
+
+
 def entry_score(approach: Column, values: Column, answer: Column, verdict: Column) -> Column:
     """Score of one ``approach -> references`` entry of a configuration."""
     first = F.get(values, F.lit(0))
     number = a.str_to_int(answer)
     in_range = F.coalesce(F.forall(values, lambda rule: a.satisfies(number, rule)), F.lit(False)).cast("double")
-    included = F.array_min(F.transform(values, lambda clause: a.any_alternative(a.must_include, clause, answer)))
-    excluded = F.array_min(F.transform(values, lambda clause: a.must_exclude(clause, answer)))
+    included = F.array_min(F.transform(values, lambda clause: a.any_alternative(_included, clause, answer)))
+    excluded = F.array_min(F.transform(values, lambda clause: a.excluded(a.clean_answer(clause), answer)))
     exact = a.exact_match(first, answer)
     return (
         F.when(approach == "exact_match", exact)
@@ -38,11 +43,14 @@ def score_answers(predictions: DataFrame, configs: DataFrame) -> DataFrame:
     joined = attach(predictions, configs.select("task_id", "reference_answers"), ["task_id"], "inner")
     answer = a.clean_answer(F.col("answer"))
     verdict = F.col("verdict") if "verdict" in predictions.columns else F.lit(None).cast("double")
-    scores = F.transform(
-        F.map_entries("reference_answers"), lambda e: entry_score(e["key"], e["value"], answer, verdict)
-    )
-    total = F.aggregate(scores, F.lit(1.0), lambda acc, x: acc * x)
-    return joined.withColumn("score", total).drop("reference_answers")
+
+    def total(cleaned: Column) -> Column:
+        scores = F.transform(
+            F.map_entries("reference_answers"), lambda e: entry_score(e["key"], e["value"], cleaned, verdict)
+        )
+        return F.aggregate(scores, F.lit(1.0), lambda acc, x: acc * x)
+
+    return joined.withColumn("score", let(answer, total)).drop("reference_answers")
 
 
 def combine_scores(scores: DataFrame, keys: list[str], clause: str = "clause", score: str = "score") -> DataFrame:
@@ -57,14 +65,15 @@ def rouge1(pairs: DataFrame, key: str) -> DataFrame:
     def words(text: str) -> Column:
         return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
-    sized = pairs.select(
-        key, F.size(words("reference")).alias("n_ref"), F.size(words("answer")).alias("n_pred")
-    )
+    split = pairs.select(key, words("reference").alias("_ref"), words("answer").alias("_pred"))
+    sized = split.select(key, F.size("_ref").alias("n_ref"), F.size("_pred").alias("n_pred"))
+    # Only words of the reference can overlap, so the others never leave their row.
+    common = F.filter("_pred", lambda w: F.array_contains("_ref", w))
     side = F.concat(
-        F.transform(words("reference"), lambda w: F.struct(w.alias("w"), F.lit(1).alias("r"), F.lit(0).alias("p"))),
-        F.transform(words("answer"), lambda w: F.struct(w.alias("w"), F.lit(0).alias("r"), F.lit(1).alias("p"))),
+        F.transform("_ref", lambda w: F.struct(w.alias("w"), F.lit(1).alias("r"), F.lit(0).alias("p"))),
+        F.transform(common, lambda w: F.struct(w.alias("w"), F.lit(0).alias("r"), F.lit(1).alias("p"))),
     )
-    flat = pairs.select(key, F.explode(side).alias("_t"))
+    flat = split.select(key, F.explode(side).alias("_t"))
     counts = flat.groupBy(key, F.col("_t.w").alias("w")).agg(F.sum("_t.r").alias("r"), F.sum("_t.p").alias("p"))
     shared = counts.groupBy(key).agg(F.sum(F.least("r", "p")).alias("shared"))
     joined = sized.join(shared, key, "left")

@@ -35,18 +35,22 @@ def _double(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows:
     raise ValueError("the parent pointers hold a cycle")
 
 
-def tree_paths(nodes: DataFrame, counted: Column | None = None) -> DataFrame:
-    """Add ``path`` (sorts in document order), ``level`` and ``above`` (ancestors for which ``counted`` holds)."""
+def tree_paths(nodes: DataFrame, counted: Column | None = None, marked: Column | None = None) -> DataFrame:
+    """Add ``path`` (sorts in document order), ``level`` and ``above`` (ancestors for which ``counted`` holds).
+
+    With ``marked`` also ``nearest``: the nearest node for which it holds, from the node itself upwards.
+    """
+    mark = F.lit(False) if marked is None else F.coalesce(marked, F.lit(False))
     flag = F.coalesce((F.lit(True) if counted is None else counted), F.lit(False)).cast("int")
     start = nodes.select(
         *NODE, F.col("parent_id").alias("up"), F.lpad(F.col("ord").cast("string"), 10, "0").alias("path"),
-        F.lit(1).alias("level"), flag.alias("sum"), flag.alias("own"),
+        F.lit(1).alias("level"), flag.alias("sum"), flag.alias("own"), F.when(mark, F.col("node_id")).alias("nearest"),
     )
 
     def step(state: DataFrame) -> DataFrame:
         above = state.select(
             "page_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"),
-            F.col("level").alias("_level"), F.col("sum").alias("_sum"),
+            F.col("level").alias("_level"), F.col("sum").alias("_sum"), F.col("nearest").alias("_nearest"),
         )
         joined = state.join(above, ["page_id", "up"], "left")
         return joined.select(
@@ -54,10 +58,12 @@ def tree_paths(nodes: DataFrame, counted: Column | None = None) -> DataFrame:
             F.concat(F.coalesce(F.concat(F.col("_path"), F.lit("/")), F.lit("")), F.col("path")).alias("path"),
             (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"),
             (F.col("sum") + F.coalesce("_sum", F.lit(0))).alias("sum"), "own",
+            F.coalesce("nearest", "_nearest").alias("nearest"),
         )
 
     done = _double(start, step, F.col("up").isNotNull())
-    facts = done.select(*NODE, "path", (F.col("level") - 1).alias("level"), (F.col("sum") - F.col("own")).alias("above"))
+    facts = done.select(*NODE, "path", (F.col("level") - 1).alias("level"), (F.col("sum") - F.col("own")).alias("above"),
+                        *([] if marked is None else ["nearest"]))
     return nodes.join(facts, NODE)
 
 
@@ -74,26 +80,12 @@ def promote_children(nodes: DataFrame, keep: Column) -> DataFrame:
 
     Roots always stay.  ``position`` numbers the kept nodes of a page in document order.
     """
-    flagged = nodes.withColumn("_keep", F.coalesce(keep, F.lit(False)) | F.col("parent_id").isNull())
-    start = flagged.select(*NODE, F.col("parent_id").alias("up"), F.lit(False).alias("done"), "_keep")
-
-    def step(state: DataFrame) -> DataFrame:
-        above = state.select(
-            "page_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("_keep").alias("_kept"),
-            F.col("done").alias("_done"),
-        )
-        joined = state.join(above, ["page_id", "up"], "left")
-        stop = F.col("done") | F.col("up").isNull() | F.coalesce(F.col("_kept"), F.lit(True))
-        return joined.select(
-            *NODE, F.when(stop, F.col("up")).otherwise(F.col("_up")).alias("up"),
-            (stop | F.coalesce(F.col("_done"), F.lit(False))).alias("done"), "_keep",
-        )
-
-    done = _double(start, step, ~F.col("done"))
-    kept = done.where("_keep").select(*NODE, F.col("up").alias("new_parent"))
-    paths = tree_paths(nodes).select(*NODE, "path")
-    ordered = numbered(kept.join(paths, NODE), ["page_id"], ["path"], "position")
-    return nodes.join(ordered.drop("path"), NODE)
+    stays = F.coalesce(keep, F.lit(False)) | F.col("parent_id").isNull()
+    placed = tree_paths(nodes.withColumn("_keep", stays), marked=F.col("_keep"))
+    above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
+    kept = placed.where("_keep").join(above, ["page_id", "parent_id"], "left")
+    ordered = numbered(kept, ["page_id"], ["path"], "position")
+    return ordered.select(*nodes.columns, "new_parent", "position")
 
 
 def prune_tree(nodes: DataFrame, kept_ids: DataFrame) -> DataFrame:
