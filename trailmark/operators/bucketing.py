@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.text import DOMAIN_GROUPS, REL_BINS, norm_domain, rel_bin, rel_position, safe_int
 from trailmark.plans.lookups import attach
 from trailmark.plans.ranking import global_rank_by_count
+from trailmark.plans.sequences import GroupSizes, measure
 
 
 def normalise_steps(steps: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def task_ranges(steps: DataFrame) -> DataFrame:
 
 def with_rel_position(steps: DataFrame) -> DataFrame:
     """Add ``rel`` and ``rel_bin``; task ranges are aggregated and joined back, one row per task."""
-    placed = attach(normalise_steps(steps), task_ranges(steps), ["task_id"])
+    placed = attach(normalise_steps(steps), task_ranges(steps), ["task_id"], sizes=measure(steps, ["task_id"]))
     lo = F.coalesce(F.col("min_step"), F.lit(0))
     hi = F.coalesce(F.col("max_step"), F.lit(0))
     known = F.col("min_step").isNotNull()
@@ -70,10 +71,10 @@ def domain_tertiles(steps: DataFrame) -> DataFrame:
     return ranked.select("website_name", "count", tertile(F.col("rank0"), F.col("total")).alias("group"))
 
 
-def assign_domain_group(steps: DataFrame, groups: DataFrame) -> DataFrame:
+def assign_domain_group(steps: DataFrame, groups: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     """Look up the domain's group; a missing or blank group is the lowest one."""
     table = groups.select("website_name", F.col("group").alias("domain_group"))
-    found = attach(steps, table, ["website_name"])
+    found = attach(steps, table, ["website_name"], sizes=sizes)
     lowest = F.lit(DOMAIN_GROUPS[2])
     return found.withColumn(
         "domain_group", F.coalesce(F.nullif(F.trim(F.col("domain_group")), F.lit("")), lowest)
@@ -83,7 +84,8 @@ def assign_domain_group(steps: DataFrame, groups: DataFrame) -> DataFrame:
 def assign_buckets(steps: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Every step with ``domain_group``, ``rel_bin`` and ``bucket``."""
     groups = domain_tertiles(steps) if groups is None else groups
-    placed = assign_domain_group(with_rel_position(steps), groups)
+    named = normalise_steps(steps)
+    placed = assign_domain_group(with_rel_position(steps), groups, measure(named, ["website_name"]))
     return placed.withColumn("bucket", F.concat_ws("|", "domain_group", "rel_bin"))
 
 
@@ -91,7 +93,8 @@ def bucket_counts(steps: DataFrame, groups: DataFrame | None = None) -> DataFram
     """Rows per bucket. Rows are counted per domain first, so the group lookup joins counts, not rows."""
     groups = domain_tertiles(steps) if groups is None else groups
     per_domain = with_rel_position(steps).groupBy("website_name", "rel_bin").agg(F.count(F.lit(1)).alias("_rows"))
-    placed = assign_domain_group(per_domain, groups)
+    # At most four rows per domain are left, so no domain can dominate this lookup.
+    placed = assign_domain_group(per_domain, groups, GroupSizes(("website_name",), None, None))
     return (
         placed.withColumn("bucket", F.concat_ws("|", "domain_group", "rel_bin"))
         .groupBy("bucket")

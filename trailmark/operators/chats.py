@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import actions as a
 from trailmark.functions.text import increment_step, segments, token_estimate
 from trailmark.plans.lookups import attach
-from trailmark.plans.sequences import Scan, framed, numbered, running
+from trailmark.plans.sequences import GroupSizes, Scan, framed, measure, numbered, running, settle
 
 KEY = ["conv_id"]
 ORDER = ["turn"]
@@ -31,7 +31,12 @@ def prefer_source(rows: DataFrame, key: str, priorities: dict[str, int], positio
     return known.groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 
-def drop_repeated_actions(turns: DataFrame) -> DataFrame:
+def sized(turns: DataFrame, sizes: GroupSizes | None = None) -> GroupSizes:
+    """Conversation sizes, measured once per operator; filters only make conversations smaller."""
+    return sizes or measure(turns, KEY, "turn")
+
+
+def drop_repeated_actions(turns: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     """Agent messages whose action line came before, and the reply after each of them, are dropped.
 
     A reply is the next message that is not the agent's: it goes when an agent message was dropped since the
@@ -44,7 +49,7 @@ def drop_repeated_actions(turns: DataFrame) -> DataFrame:
         .groupBy(*KEY, "_key")
         .agg(F.min("turn").alias("_first"))
     )
-    marked = keyed.join(first, [*KEY, "_key"], "left").withColumn(
+    marked = attach(keyed, first, [*KEY, "_key"]).withColumn(
         "_dropped", F.coalesce(is_agent & (F.col("turn") > F.col("_first")), F.lit(False))
     )
     states = running(
@@ -53,15 +58,16 @@ def drop_repeated_actions(turns: DataFrame) -> DataFrame:
             "_last_drop": Scan("max", F.when(F.col("_dropped"), F.col("turn")), exclusive=True),
             "_last_reply": Scan("max", F.when(~is_agent, F.col("turn")), exclusive=True),
         },
+        sized(turns, sizes),
     )
     orphan = ~is_agent & F.coalesce(F.col("_last_drop") > F.coalesce(F.col("_last_reply"), F.lit(-1)), F.lit(False))
     return states.where(~F.col("_dropped") & ~orphan).select(*turns.columns)
 
 
-def turn_bounds(turns: DataFrame) -> DataFrame:
+def turn_bounds(turns: DataFrame, sizes: GroupSizes) -> DataFrame:
     """Position of the turn and size of its conversation."""
-    sizes = turns.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_turns"))
-    return attach(numbered(turns, KEY, ORDER, "pos"), sizes, KEY)
+    totals = turns.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_turns"))
+    return attach(numbered(turns, KEY, ORDER, "pos", sizes), totals, KEY, sizes=sizes)
 
 
 def keep_recent_messages(turns: DataFrame, budget: int = 3500) -> DataFrame:
@@ -69,19 +75,21 @@ def keep_recent_messages(turns: DataFrame, budget: int = 3500) -> DataFrame:
 
     A kept tail never starts with a user message.  The first message says how many were left out.
     """
-    sized = turn_bounds(turns).withColumn("_seg", segments(F.col("content")).cast("long"))
-    head = sized.where("pos = 1").select(*KEY, F.col("_seg").alias("_head"))
+    sizes = sized(turns)
+    placed = turn_bounds(turns, sizes).withColumn("_seg", segments(F.col("content")).cast("long"))
+    placed = settle(placed, sizes)
+    head = placed.where("pos = 1").select(*KEY, F.col("_seg").alias("_head"))
     tail_sum = running(
-        sized.withColumn("_tail", F.when(F.col("pos") > 1, F.col("_seg")).otherwise(0)),
-        KEY, ["-turn"], {"_back": Scan("sum", F.col("_tail"))},
+        placed.withColumn("_tail", F.when(F.col("pos") > 1, F.col("_seg")).otherwise(0)),
+        KEY, ["-turn"], {"_back": Scan("sum", F.col("_tail"))}, sizes,
     )
-    known = attach(tail_sum, head, KEY)
+    known = attach(tail_sum, head, KEY, sizes=sizes)
     fits = (F.col("pos") > 1) & (F.col("_head") + F.col("_back") < budget)
     kept = known.withColumn("_fits", fits)
     oldest = kept.where("_fits").groupBy(*KEY).agg(
         F.min("pos").alias("_start"), F.min_by("role", "pos").alias("_start_role")
     )
-    bounded = attach(kept, oldest, KEY)
+    bounded = attach(kept, oldest, KEY, sizes=sizes)
     start = F.when(F.col("_start_role") == "user", F.col("_start") + 1).otherwise(F.col("_start"))
     start = F.coalesce(start, F.col("n_turns") + 1)
     omitted = start - 2
@@ -99,7 +107,9 @@ def keep_head_tail(turns: DataFrame, head: int = 5, budget: int = 9776) -> DataF
 
     Estimates are summed per message.  ``truncated`` marks the first message after a gap.
     """
-    placed = turn_bounds(turns).withColumn("_tok", token_estimate(F.col("content")).cast("long"))
+    sizes = sized(turns)
+    placed = turn_bounds(turns, sizes).withColumn("_tok", token_estimate(F.col("content")).cast("long"))
+    placed = settle(placed, sizes)
     last = F.col("pos") == F.col("n_turns")
     in_head = F.col("pos") <= head
     pair = F.floor((F.col("n_turns") - 1 - F.col("pos")) / 2)
@@ -107,14 +117,14 @@ def keep_head_tail(turns: DataFrame, head: int = 5, budget: int = 9776) -> DataF
     middle = ~in_head & ~last
     summed = running(
         placed.withColumn("_pair", F.when(middle, pair)),
-        KEY, ["-turn"], {"_back": Scan("sum", F.when(F.col("_pair").isNotNull(), F.col("_tok")).otherwise(F.lit(0)))},
+        KEY, ["-turn"], {"_back": Scan("sum", F.when(F.col("_pair").isNotNull(), F.col("_tok")).otherwise(F.lit(0)))}, sizes,
     )
     pair_total = summed.where("_pair IS NOT NULL").groupBy(*KEY, "_pair").agg(F.max("_back").alias("_reach"))
-    known = attach(summed.join(pair_total, [*KEY, "_pair"], "left"), fixed, KEY)
+    known = attach(summed.join(pair_total, [*KEY, "_pair"], "left"), fixed, KEY, sizes=sizes)
     keep = in_head | last | F.coalesce(F.col("_reach") + F.col("_fixed") <= budget, F.lit(False))
     kept = known.withColumn("_keep", keep)
     gaps = kept.where(~F.col("_keep") & F.col("_pair").isNotNull()).groupBy(*KEY).agg(F.max("pos").alias("_gap"))
-    marked = attach(kept.where("_keep"), gaps, KEY)
+    marked = attach(kept.where("_keep"), gaps, KEY, sizes=sizes)
     return marked.select(
         *KEY, "turn", "role", "content", F.coalesce(F.col("pos") == F.col("_gap") + 1, F.lit(False)).alias("truncated")
     )
@@ -123,7 +133,7 @@ def keep_head_tail(turns: DataFrame, head: int = 5, budget: int = 9776) -> DataF
 def renumber_images(turns: DataFrame, has_image: Column) -> DataFrame:
     """File name of the k-th image message after turn 2, counted from 0."""
     wanted = F.when(has_image & (F.col("turn") > 2) & (F.col("role") != "agent"), 1).otherwise(0)
-    counted = running(turns.withColumn("_flag", wanted), KEY, ORDER, {"_k": Scan("sum", F.col("_flag"))})
+    counted = running(turns.withColumn("_flag", wanted), KEY, ORDER, {"_k": Scan("sum", F.col("_flag"))}, sized(turns))
     name = F.when(F.col("_flag") == 1, F.concat((F.col("_k") - 1).cast("string"), F.lit(".png")))
     return counted.withColumn("image", name).drop("_flag", "_k")
 
@@ -134,12 +144,13 @@ def conversation_rounds(turns: DataFrame, limit: int = 16384 - 512) -> DataFrame
     ``turns`` alternates states and answers; a round is one answer.  The last user message of a conversation
     is the current observation and is cut so that history and observation fit into ``limit``.
     """
+    sizes = sized(turns)
     answers = turns.where("role = 'agent'")
-    rounds = numbered(answers, KEY, ORDER, "_n").withColumn("round", F.col("_n") - 1)
+    rounds = numbered(answers, KEY, ORDER, "_n", sizes).withColumn("round", F.col("_n") - 1)
     intent = turns.where("role = 'user'").groupBy(*KEY).agg(
         F.min_by("content", "turn").alias("intent"), F.max_by("content", "turn").alias("observation")
     )
-    known = attach(rounds, intent, KEY)
+    known = attach(rounds, intent, KEY, sizes=sizes)
     label = F.concat(F.lit("Round "), F.col("round").cast("string"), F.lit("\n"))
     user = F.when(
         F.col("round") == 0,
@@ -149,7 +160,7 @@ def conversation_rounds(turns: DataFrame, limit: int = 16384 - 512) -> DataFrame
     totals = history.groupBy(*KEY).agg(
         F.sum(F.length("user") + F.length("assistant")).alias("_used"), F.max("round").alias("_last")
     )
-    current = attach(intent, totals, KEY)
+    current = intent.join(totals, KEY, "left")
     room = F.greatest(F.lit(0), F.lit(limit) - F.coalesce(F.col("_used"), F.lit(0)))
     number = F.coalesce(F.col("_last") + 1, F.lit(0))
     cut = F.substring(F.col("observation"), F.lit(1), room.cast("int"))
@@ -168,10 +179,10 @@ def pair_failed_with_success(failed: DataFrame, success: DataFrame, key: str) ->
     return paired.withColumn("has_success", F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
 
 
-def edit_counts(turns: DataFrame) -> DataFrame:
+def edit_counts(turns: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     """Successful edits per conversation: an edit call whose next message confirms it."""
     ahead = framed(
-        turns, KEY, ORDER, {"_next": lambda w: F.lead("content").over(w)}, after=1
+        turns, KEY, ORDER, {"_next": lambda w: F.lead("content").over(w)}, after=1, sizes=sized(turns, sizes)
     )
     done = (
         (F.col("role") == "agent") & F.col("content").contains("edit_rule")
@@ -186,12 +197,14 @@ def stitch_conversations(failed: DataFrame, success: DataFrame, head: int = 3) -
     Both sides are cleaned of repeated actions first; only inputs whose successful run holds more than one
     successful edit are stitched this way (``rebuild_conversations`` handles the others).
     """
-    clean_failed = numbered(drop_repeated_actions(failed), KEY, ORDER, "_pos")
-    clean_success = numbered(drop_repeated_actions(success), KEY, ORDER, "_pos")
-    rich = edit_counts(drop_repeated_actions(success)).where("edits > 1").select(*KEY)
+    of_failed, of_success = sized(failed), sized(success)
+    clean = settle(drop_repeated_actions(success, of_success), of_success)
+    clean_failed = numbered(drop_repeated_actions(failed, of_failed), KEY, ORDER, "_pos", of_failed)
+    clean_success = numbered(clean, KEY, ORDER, "_pos", of_success)
+    rich = edit_counts(clean, of_success).where("edits > 1").select(*KEY)
     both = rich.join(failed.select(*KEY).distinct(), KEY, "left_semi").withColumn("_ok", F.lit(1))
-    first = attach(clean_failed.where(F.col("_pos") <= head), both, KEY, "inner").withColumn("part", F.lit("failed"))
-    rest = attach(clean_success.where(F.col("_pos") > head), both, KEY, "inner").withColumn("part", F.lit("success"))
+    first = clean_failed.where(F.col("_pos") <= head).join(both, KEY).withColumn("part", F.lit("failed"))
+    rest = attach(clean_success.where(F.col("_pos") > head), both, KEY, "inner", of_success).withColumn("part", F.lit("success"))
     return first.unionByName(rest).select(*KEY, "part", F.col("_pos").alias("pos"), "role", "content")
 
 
@@ -220,10 +233,11 @@ def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
     image reply, the revert after such an edit (or an added one), and look-ups that mention the selector of
     one of the first ``count_edits + 1`` edits; of the other calls only the first.
     """
-    clean = numbered(drop_repeated_actions(turns), KEY, ORDER, "_pos")
+    sizes = sized(turns)
+    clean = settle(numbered(drop_repeated_actions(turns, sizes), KEY, ORDER, "_pos", sizes), sizes)
     is_agent = F.col("role") == "agent"
     nearby = framed(
-        clean, KEY, ["_pos"],
+        clean, KEY, ORDER,
         {
             "_next": lambda w: F.lead("content").over(w),
             "_next_role": lambda w: F.lead("role").over(w),
@@ -231,24 +245,26 @@ def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
             "_prev2": lambda w: F.lag("content", 2).over(w),
             "_prev": lambda w: F.lag("content").over(w),
         },
-        before=2, after=2,
+        before=2, after=2, sizes=sizes,
     )
     is_edit = is_agent & F.col("content").contains("edit_rule")
     confirmed = is_edit & F.coalesce(F.col("_next").contains("You have successfully edited the rule."), F.lit(False))
-    flagged = nearby.withColumn("_edit", is_edit).withColumn("_done", confirmed).withColumn(
+    flagged = settle(nearby, sizes).withColumn("_edit", is_edit).withColumn("_done", confirmed).withColumn(
         "_selector", F.when(is_edit, a.edit_selector(F.col("content")))
     )
     counted = running(
-        flagged, KEY, ["_pos"],
+        flagged, KEY, ORDER,
         {
             "_done_before": Scan("sum", F.col("_done").cast("int"), exclusive=True),
             "_edits_seen": Scan("sum", F.col("_selector").isNotNull().cast("int")),
         },
+        sizes,
     )
+    counted = settle(counted, sizes)
     picked = counted.where(F.col("_selector").isNotNull() & (F.col("_edits_seen") <= count_edits + 1))
     # At most count_edits + 1 selectors per conversation reach this aggregate.
     selectors = picked.groupBy(*KEY).agg(F.collect_set("_selector").alias("_selectors"))
-    known = attach(counted, selectors, KEY)
+    known = attach(counted, selectors, KEY, sizes=sizes)
     names = F.coalesce(F.col("_selectors"), F.expr("cast(array() as array<string>)"))
     looks_up = F.col("content").contains("get_selectors_by_html_elements")
     text = F.when(looks_up, F.coalesce(F.col("_next"), F.lit(""))).otherwise(F.col("content"))
@@ -259,13 +275,16 @@ def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
         F.lit(False),
     )
     other = is_agent & ~is_edit & ~reverts_done & ~related & ~looks_up
-    ranked = running(known.withColumn("_other", other), KEY, ["_pos"], {"_others": Scan("sum", F.col("_other").cast("int"))})
+    ranked = running(
+        known.withColumn("_other", other), KEY, ORDER, {"_others": Scan("sum", F.col("_other").cast("int"))}, sizes
+    )
     keep_call = is_agent & active & (is_edit | related | (F.col("_other") & (F.col("_others") <= 1)))
     keep_call = (keep_call & ~reverts_done) | (reverts_done & (F.coalesce(F.col("_done_before"), F.lit(0)) <= count_edits))
-    called = ranked.withColumn("_keep", keep_call)
+    called = settle(ranked, sizes).withColumn("_keep", keep_call)
     replied = running(
-        called, KEY, ["_pos"],
+        called, KEY, ORDER,
         {"_call_kept": Scan("last", F.when(F.col("role") == "agent", F.col("_keep").cast("int")), exclusive=True)},
+        sizes,
     )
     kept = replied.where(F.when(F.col("role") == "agent", F.col("_keep")).otherwise(F.coalesce(F.col("_call_kept"), F.lit(1)) == 1))
     add_revert = F.col("_done") & ~F.coalesce(F.col("_after").contains("revert_last_edit"), F.lit(False)) & active
@@ -304,6 +323,7 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
     times in all.
     """
     near = max(parse, repeat) - 1
+    sizes = measure(actions, ["task_id"], order[0])
     failed = F.col("action_type").isNull()
     marked = framed(
         actions.withColumn("_failed", failed.cast("int")), ["task_id"], order,
@@ -313,8 +333,9 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
             "_same_max": lambda w: F.max(F.coalesce("key", F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
             "_window": lambda w: F.count("key").over(w.rowsBetween(-(repeat - 1), 0)),
         },
-        before=near,
+        before=near, sizes=sizes,
     )
+    marked = settle(marked, sizes)
     typing = marked.where("action_type = 'TYPE' AND key IS NOT NULL")
     counted = numbered(typing, ["task_id", "key"], order, "_seen").where(F.col("_seen") >= repeat)
     typed = counted.groupBy("task_id").agg(F.min("step_no").alias("step_no")).withColumn("reason", F.lit("typing"))
@@ -335,10 +356,11 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
 
 def trajectory_states(turns: DataFrame) -> DataFrame:
     """One row per agent action with the state text before it, numbered from 0, and the task's first text."""
-    before = framed(turns, KEY, ORDER, {"observation": lambda w: F.lag("content").over(w)}, before=1)
-    acted = numbered(before.where("role = 'agent'"), KEY, ORDER, "_n")
+    sizes = sized(turns)
+    before = framed(turns, KEY, ORDER, {"observation": lambda w: F.lag("content").over(w)}, before=1, sizes=sizes)
+    acted = numbered(before.where("role = 'agent'"), KEY, ORDER, "_n", sizes)
     intent = turns.groupBy(*KEY).agg(F.min_by("content", "turn").alias("intent"))
-    known = attach(acted, intent, KEY)
+    known = attach(acted, intent, KEY, sizes=sizes)
     return known.select(
         F.col("conv_id").alias("task_id"), (F.col("_n") - 1).alias("step"), "observation",
         F.col("content").alias("raw_prediction"), "intent",

@@ -234,13 +234,14 @@ def unstick_attack(events: DataFrame) -> DataFrame:
     first = events.groupBy("episode_id").agg(
         F.min("t").alias("_t0"), F.min_by(F.col("new_buttons") == F.array(F.lit(0)), "t").alias("_stuck")
     )
-    known = attach(events, first, EPISODE)
+    sizes = measure(events, EPISODE)
+    known = attach(events, first, EPISODE, sizes=sizes)
     release = (
         known.where((F.col("t") > F.col("_t0")) & F.array_contains("new_buttons", 0))
         .groupBy("episode_id")
         .agg(F.min("t").alias("_until"))
     )
-    timed = attach(known, release, EPISODE)
+    timed = attach(known, release, EPISODE, sizes=sizes)
     stuck = F.col("_stuck") & (F.col("_until").isNull() | (F.col("t") < F.col("_until")))
     buttons = F.when(F.coalesce(stuck, F.lit(False)), F.array_remove("buttons", 0)).otherwise(F.col("buttons"))
     return timed.withColumn("buttons", buttons).select(*events.columns)

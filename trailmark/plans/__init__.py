@@ -3,8 +3,8 @@
 from trailmark.plans.lineage import cut
 from trailmark.plans.lookups import attach
 from trailmark.plans.ranking import global_rank_by_count
-from trailmark.plans.sequences import GroupSizes, Scan, framed, measure, numbered, running
+from trailmark.plans.sequences import GroupSizes, Scan, framed, measure, numbered, running, settle
 
 __all__ = [
-    "GroupSizes", "Scan", "attach", "cut", "framed", "global_rank_by_count", "measure", "numbered", "running",
+    "GroupSizes", "Scan", "attach", "cut", "framed", "global_rank_by_count", "measure", "numbered", "running", "settle",
 ]

@@ -105,6 +105,15 @@ def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSi
     return GroupSizes(tuple(keys), column, None if large.isEmpty() else large)
 
 
+def settle(df: DataFrame, sizes: GroupSizes) -> DataFrame:
+    """Write the rows between two steps of a split plan.
+
+    A split step reads its input twice.  Steps on top of each other would double the work every time, so
+    operators of several steps settle in between; plain plans stay lazy.
+    """
+    return df if sizes.large is None else cut(df)
+
+
 def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str], order: list[str]) -> GroupSizes:
     """The given sizes when they were measured for these keys and this order, else fresh ones."""
     if sizes is not None and sizes.keys == tuple(keys):
