@@ -147,10 +147,9 @@ def increment_step(t):
     return t.conversations.select("conv_id", "turn", text.increment_step(step).alias("step_id"))
 
 
-@query("split_intent", "B56", r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END AS goal,
-  CASE WHEN turn % 2 = 0 THEN 'found ' || turn ELSE '' END AS discoveries FROM conversations""")
+@query("split_intent", "B56", """SELECT conv_id, turn, text AS goal, CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'Previous Discoveries: found ' || turn ELSE '' END AS discoveries FROM conversations""")
 def split_intent(t):
-    intent = F.expr("CASE WHEN turn % 2 = 0 THEN text || chr(10) || 'Previous Discoveries: found ' || turn ELSE text END")
+    intent = F.expr("CASE WHEN turn % 2 = 0 THEN text || chr(10) || chr(10) || 'Previous Discoveries: found ' || turn ELSE text END")
     parts = text.split_intent(intent)
     return t.conversations.select("conv_id", "turn", parts["goal"].alias("goal"), parts["discoveries"].alias("discoveries"))
 

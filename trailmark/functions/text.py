@@ -121,14 +121,15 @@ def increment_step(step: Column) -> Column:
     return F.when(whole, (number + 1).cast("string")).otherwise(F.concat(step.cast("string"), F.lit("+1")))
 
 
+DISCOVERIES = "\n\nPrevious Discoveries:"  # Fixed value: heading that splits an intent.
+
+
 def split_intent(intent: Column) -> Column:
-    """Struct of the goal and what follows the ``Previous Discoveries:`` heading."""
-    marker = "Previous Discoveries:"
-    parts = F.split(intent, marker, 2)
+    """Struct of the goal and the discoveries part, heading included."""
+    parts = F.split(intent, DISCOVERIES)
     found = F.size(parts) > 1
-    goal = F.when(found, strip(parts[0])).otherwise(intent)
-    rest = F.when(found, strip(F.get(parts, F.lit(1)))).otherwise(F.lit(""))
-    return F.struct(goal.alias("goal"), rest.alias("discoveries"))
+    rest = F.when(found, F.concat(F.lit(DISCOVERIES), F.get(parts, F.lit(1)))).otherwise(F.lit(""))
+    return F.struct(F.get(parts, F.lit(0)).alias("goal"), rest.alias("discoveries"))
 
 
 def thought_prompt_inputs(goal: Column, history: Column, page_state: Column, visible: Column) -> Column:
