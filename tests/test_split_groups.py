@@ -81,11 +81,9 @@ def test_rank_by_count(rows, split_mode):
 
 
 SPLIT_QUERIES = (
-    "bucket_counts", "assign_buckets", "domain_tertiles", "unusual_actions", "has_prev_step", "task_context",
-    "attach_judgements", "discoveries", "recent_entries", "drop_repeated_actions", "keep_recent_messages",
-    "keep_head_tail", "conversation_rounds", "stitch_conversations", "stop_reasons", "next_goal", "sliding_clips",
-    "nstep_transitions", "split_by_frames", "mixture", "milestone_reward", "unstick_attack", "stalled",
-    "score_answers", "upsert_tasks", "render_tree", "label_boxes", "every_nth",
+    "assign_buckets", "unusual_actions", "has_prev_step", "task_context", "discoveries", "drop_repeated_actions",
+    "keep_recent_messages", "keep_head_tail", "stitch_conversations", "stop_reasons", "next_goal", "sliding_clips",
+    "split_by_frames", "mixture", "milestone_reward", "stalled", "score_answers", "upsert_tasks",
 )
 
 

@@ -8,15 +8,16 @@ group sizes first and choose the plan from what they find:
   aggregates inside each block and adds the totals of the earlier blocks; ``numbered`` is ``running`` over a
   count; ``framed`` evaluates bounded frames on fixed-size blocks of positions, each with a halo of copies.
 
-Measuring is one map-side combined count over the key columns.  Its result is written to the checkpoint
-folder and holds at most ``MAX_SPLIT_GROUPS`` rows: any group outside that many largest ones has less than
-1/``MAX_SPLIT_GROUPS`` of all rows, so leaving it whole cannot unbalance a stage, and broadcasting the table
-is safe at every data size.  An operator measures its input once and hands the result to all its steps.
+Measuring is one map-side combined count over the key columns and, only for the large groups, one pass for
+the quantiles of their leading order column.  The result is written to the checkpoint folder and holds at most
+``MAX_SPLIT_GROUPS`` rows of ``BLOCKS`` numbers, 16 MB in all, so it can be broadcast at every data size.  Any
+group outside that many largest ones has less than 1/``MAX_SPLIT_GROUPS`` of all rows, which leaves a stage
+balanced.  An operator measures its input once and hands the result to all its steps.
 Inputs below ``trailmark.smallInputBytes`` (half of one default file split, by Spark's own estimate) are one
 task's work anyway and are not measured.
 
-Blocks are equal ranges of the leading order column between its exact minimum and maximum, so a recomputed
-task always sees the same blocks.
+Blocks are the ranges between the written quantiles, so bursts and common prefixes do not unbalance them and a
+recomputed task always sees the same blocks.  Rows with equal leading order values share a block.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ BLOCK_ROWS_CONF = "trailmark.blockRows"
 DEFAULT_BLOCK_ROWS = 1_000_000
 SMALL_INPUT_CONF = "trailmark.smallInputBytes"
 DEFAULT_SMALL_INPUT = 64 * 1024 * 1024
-MAX_SPLIT_GROUPS = 10_000
-MAX_BLOCKS = 4_096
+MAX_SPLIT_GROUPS = 2_000
+BLOCKS = 1_024
 
 
 @dataclass(frozen=True)
@@ -56,23 +57,23 @@ def order_columns(order: list[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _placement(df: DataFrame, order: list[str]) -> Column:
-    """A double that never decreases along the leading order column."""
-    name = order[0].lstrip("-")
+def _placement(df: DataFrame, name: str) -> Column:
+    """A double that never decreases along a column."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        head = F.hex(F.encode(F.substring(F.rpad(F.col(name), 7, "\x01"), 1, 7), "UTF-8"))
-        value = F.conv(F.substring(head, 1, 14), 16, 10).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        value = F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    else:
-        value = F.col(name).cast("double")
-    return -value if order[0].startswith("-") else value
+        head = F.hex(F.encode(F.substring(F.rpad(F.col(name), 7, "\x00"), 1, 7), "UTF-8"))
+        return F.conv(F.substring(head, 1, 14), 16, 10).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
 
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """The measured large groups of a table by some keys; ``large`` is None when there are none."""
+    """The measured large groups of a table by some keys; ``large`` is None when there are none.
+
+    ``large`` holds the keys, the row count and, with an order column, the quantiles of that column.
+    """
 
     keys: tuple[str, ...]
     column: str | None
@@ -88,21 +89,25 @@ def is_small_input(df: DataFrame) -> bool:
 
 
 def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSizes:
-    """Find the groups of more than ``block_rows`` rows, with the range of the leading order column."""
+    """Find the groups of more than ``block_rows`` rows, with quantiles of the leading order column."""
     column = order.lstrip("-") if order else None
     if is_small_input(df):
         return GroupSizes(tuple(keys), column, None)
-    limit = block_rows(df.sparkSession)
-    place = _placement(df, [column]) if column else F.lit(0.0)
-    sizes = (
-        df.select(*keys, place.alias("_place"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_tm_n"), F.min("_place").alias("_tm_lo"), F.max("_place").alias("_tm_hi"))
-        .where(F.col("_tm_n") > limit)
-        .withColumn("_tm_m", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_tm_n") * 4 / limit)).cast("int"))
-    )
-    large = cut(sizes.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
-    return GroupSizes(tuple(keys), column, None if large.isEmpty() else large)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > block_rows(df.sparkSession))
+    large = cut(counts.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
+    if large.isEmpty():
+        return GroupSizes(tuple(keys), column, None)
+    if column is None:
+        return GroupSizes(tuple(keys), None, large)
+    marks = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
+    placed = df.select(*keys, _placement(df, column).alias("_tm_place"))
+    if keys:
+        placed = placed.join(F.broadcast(large), keys)
+    else:
+        placed = placed.withColumn("_tm_n", F.lit(0))
+    bounds = F.percentile_approx("_tm_place", marks, 10 * BLOCKS).alias("_tm_bounds")
+    ranged = placed.groupBy(*keys).agg(bounds, F.count(F.lit(1)).alias("_tm_n"))
+    return GroupSizes(tuple(keys), column, cut(ranged))
 
 
 def settle(df: DataFrame, sizes: GroupSizes) -> DataFrame:
@@ -123,19 +128,20 @@ def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str], order: li
 
 
 def _with_blocks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
-    backwards = order[0].startswith("-")
-    low = -F.col("_tm_hi") if backwards else F.col("_tm_lo")
-    high = -F.col("_tm_lo") if backwards else F.col("_tm_hi")
-    at_end = F.col("_tm_m") - 1 if backwards else F.lit(0)
-    share = (_placement(df, order) - low) / (high - low)
-    position = F.greatest(F.lit(0), F.least(F.col("_tm_m") - 1, F.floor(share * F.col("_tm_m"))))
-    block = (
-        F.when(F.col("_tm_n").isNull() | (F.col("_tm_hi") <= F.col("_tm_lo")), F.lit(0))
-        .otherwise(F.coalesce(position, at_end))
-        .cast("int")
-    )
+    place = _placement(df, order[0].lstrip("-"))
+    halves = F.array(*[F.lit(BLOCKS >> i) for i in range(1, BLOCKS.bit_length())])
+
+    def narrow(found: Column, step: Column) -> Column:
+        """One step of a binary search for the number of quantiles not above the value."""
+        return F.when(F.get("_tm_bounds", found + step - 1) <= place, found + step).otherwise(found)
+
+    upwards = F.aggregate(halves, F.lit(0), narrow)
+    block = (BLOCKS - 1) - upwards if order[0].startswith("-") else upwards
+    large_row = F.col("_tm_n").isNotNull()
     joined = df.join(F.broadcast(large), keys, "left")
-    return joined.select(*df.columns, F.col("_tm_n").isNotNull().alias("_tm_large"), block.alias("_tm_blk"))
+    return joined.select(
+        *df.columns, large_row.alias("_tm_large"), F.when(large_row, block).otherwise(0).cast("int").alias("_tm_blk")
+    )
 
 
 def _aggregate(kind: str, value: Column) -> Column:
@@ -190,7 +196,7 @@ def running(
         else:
             local.append(_aggregate(scan.kind, value).over(frame).alias(f"_l_{name}"))
             totals.append(_aggregate(scan.kind, value).alias(f"_t_{name}"))
-    # Map-side combined: one row per block of a large group, at most MAX_BLOCKS for each of them.
+    # Map-side combined: one row per block of a large group, at most BLOCKS for each of them.
     block_totals = work.where("_tm_large").groupBy(*keys, "_tm_blk").agg(*totals)
     earlier = Window.partitionBy(*keys).orderBy("_tm_blk").rowsBetween(Window.unboundedPreceding, -1)
     carries = []
