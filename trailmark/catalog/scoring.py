@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.catalog.registry import query
 from trailmark.operators import scoring as s
 from trailmark.operators import tasks as k
+from trailmark.operators.episodes import every_nth as every_nth_row
 from trailmark.plans import numbered
 from trailmark.sources.readers import run_log_results, task_scores_from_json
 
@@ -218,7 +219,8 @@ def first_by_position(t):
 def every_nth(t):
 
 
-    return numbered(t.documents.select("doc_id"), [], ["doc_id"], "pos").where("(pos - 1) % 7 = 0")
+    rows = numbered(t.documents.select("doc_id"), [], ["doc_id"], "pos")
+    return every_nth_row(rows, ["doc_id"], 7)
 
 
 @query("limit_rows", "F6", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")

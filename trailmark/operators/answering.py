@@ -69,12 +69,10 @@ def rouge1(pairs: DataFrame, key: str) -> DataFrame:
     sized = split.select(key, F.size("_ref").alias("n_ref"), F.size("_pred").alias("n_pred"))
     # Only words of the reference can overlap, so the others never leave their row.
     common = F.filter("_pred", lambda w: F.array_contains("_ref", w))
-    side = F.concat(
-        F.transform("_ref", lambda w: F.struct(w.alias("w"), F.lit(1).alias("r"), F.lit(0).alias("p"))),
-        F.transform(common, lambda w: F.struct(w.alias("w"), F.lit(0).alias("r"), F.lit(1).alias("p"))),
-    )
-    flat = split.select(key, F.explode(side).alias("_t"))
-    counts = flat.groupBy(key, F.col("_t.w").alias("w")).agg(F.sum("_t.r").alias("r"), F.sum("_t.p").alias("p"))
+    in_ref = split.select(key, F.explode("_ref").alias("w"), F.lit(1).alias("r"), F.lit(0).alias("p"))
+    in_answer = split.select(key, F.explode(common).alias("w"), F.lit(0).alias("r"), F.lit(1).alias("p"))
+    flat = in_ref.unionByName(in_answer)
+    counts = flat.groupBy(key, "w").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     shared = counts.groupBy(key).agg(F.sum(F.least("r", "p")).alias("shared"))
     joined = sized.join(shared, key, "left")
     overlap = F.coalesce(F.col("shared"), F.lit(0))

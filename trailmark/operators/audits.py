@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import actions as a
-from trailmark.functions.text import clip, truncate
+from trailmark.functions.text import truncate
 from trailmark.plans.lookups import attach
 from trailmark.plans.sequences import framed, numbered
 
@@ -189,7 +189,3 @@ def recent_entries(steps: DataFrame, keys: list[str], order: list[str], k: int,
     )
     joined = F.when(F.size("_recent") > 0, F.array_join("_recent", "\n")).otherwise("(empty)")
     return out.withColumn("recent", joined).drop("_entry", "_recent")
-
-
-def short_intent(text: Column) -> Column:
-    return clip(text, 100)

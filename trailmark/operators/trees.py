@@ -1,19 +1,21 @@
 """Node tables with parent pointers: paths, promotion, pruning, neighbourhoods and tournaments.
 
 Every loop doubles the distance it has covered, so the number of rounds is the logarithm of the depth.  Each
-round is a join on the unique (page, node) pair, which no single page can dominate, and is written to the
-checkpoint folder, which keeps the plan short and lets lost executors resume from the last round.
+round looks up the row of an ancestor by its unique (page, node) pair; an ancestor shared by very many nodes is
+salted by ``attach``.  Rounds are written to the checkpoint folder, which keeps the plan short and lets lost
+executors resume from the last round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.geometry import in_viewport, viewport_ratio
 from trailmark.plans.lineage import cut
+from trailmark.plans.lookups import attach
 from trailmark.plans.sequences import numbered
 
 NODE = ["page_id", "node_id"]
@@ -52,7 +54,7 @@ def tree_paths(nodes: DataFrame, counted: Column | None = None, marked: Column |
             "page_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"),
             F.col("level").alias("_level"), F.col("sum").alias("_sum"), F.col("nearest").alias("_nearest"),
         )
-        joined = state.join(above, ["page_id", "up"], "left")
+        joined = attach(state, above, ["page_id", "up"])
         return joined.select(
             *NODE, F.col("_up").alias("up"),
             F.concat(F.coalesce(F.concat(F.col("_path"), F.lit("/")), F.lit("")), F.col("path")).alias("path"),
@@ -83,7 +85,7 @@ def promote_children(nodes: DataFrame, keep: Column) -> DataFrame:
     stays = F.coalesce(keep, F.lit(False)) | F.col("parent_id").isNull()
     placed = tree_paths(nodes.withColumn("_keep", stays), marked=F.col("_keep"))
     above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
-    kept = placed.where("_keep").join(above, ["page_id", "parent_id"], "left")
+    kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"])
     ordered = numbered(kept, ["page_id"], ["path"], "position")
     return ordered.select(*nodes.columns, "new_parent", "position")
 
@@ -138,13 +140,19 @@ def keep_neighbourhood(
     """
     paths = cut(numbered(tree_paths(nodes), ["page_id", "parent_id"], ["ord"], "idx"))
     up = paths.where("parent_id IS NOT NULL").select("page_id", F.col("node_id").alias("from"), F.col("parent_id").alias("to"))
-    down = up.select("page_id", F.col("to").alias("from"), F.col("from").alias("to"))
+    down = paths.where("parent_id IS NOT NULL").select(
+        "page_id", F.col("parent_id").alias("from"), F.col("node_id").alias("to"), "idx"
+    )
     known = keep.select(*NODE).distinct().join(paths.select(*NODE), NODE, "left_semi")
     for _ in range(max(1, rounds)):
         ancestors = _levels(known, up, depth + 1).select("page_id", F.col("at").alias("node_id"))
-        below = _levels(known, down, depth + 1).withColumnRenamed("at", "node_id")
+        # A child behind more than ``children`` siblings cannot be among the first descendants, so every level
+        # fans out by a bounded number, and the row limit is applied before the shuffle.
+        near_children = down.where(F.col("idx") <= children).drop("idx")
+        below = _levels(known, near_children, depth + 1).withColumnRenamed("at", "node_id")
         located = below.join(paths.select(*NODE, "path"), NODE)
-        first = numbered(located, ["page_id", "seed"], ["path"], "_n").where(F.col("_n") <= children).select(*NODE)
+        in_order = Window.partitionBy("page_id", "seed").orderBy("path")
+        first = located.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= children).select(*NODE)
         here = known.join(paths.where("parent_id IS NOT NULL").select(*NODE, "parent_id", "idx"), NODE)
         offsets = F.explode(F.sequence(F.lit(-siblings), F.lit(siblings)))
         near = here.withColumn("_d", offsets).select("page_id", "parent_id", (F.col("idx") + F.col("_d")).alias("idx"))

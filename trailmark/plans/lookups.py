@@ -45,9 +45,3 @@ def attach(
         .drop("_tm_salts")
     )
     return salted.join(copies, [*on, "_tm_salt"], how).select(*df.columns, *added)
-
-
-def group_stats(df: DataFrame, on: list[str], **aggregates) -> DataFrame:
-    """``df`` with per-group aggregates on every row: a combined aggregate joined back, not a window."""
-    stats = df.groupBy(*on).agg(*[column.alias(name) for name, column in aggregates.items()])
-    return attach(df, stats, on)
