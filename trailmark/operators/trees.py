@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.geometry import in_viewport, viewport_ratio
 from trailmark.plans.lineage import cut
 from trailmark.plans.lookups import attach
-from trailmark.plans.sequences import numbered
+from trailmark.plans.sequences import measure, numbered
 
 NODE = ["page_id", "node_id"]
 # Roles whose nodes are left out when they have neither name nor properties.
@@ -85,8 +85,10 @@ def promote_children(nodes: DataFrame, keep: Column) -> DataFrame:
     stays = F.coalesce(keep, F.lit(False)) | F.col("parent_id").isNull()
     placed = tree_paths(nodes.withColumn("_keep", stays), marked=F.col("_keep"))
     above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
-    kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"])
-    ordered = numbered(kept, ["page_id"], ["path"], "position")
+    # Sizes come from the raw nodes: measuring the derived rows would compute them twice.
+    siblings, pages = measure(nodes, ["page_id", "parent_id"]), measure(nodes, ["page_id"])
+    kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"], sizes=siblings)
+    ordered = numbered(kept, ["page_id"], ["path"], "position", pages)
     return ordered.select(*nodes.columns, "new_parent", "position")
 
 
@@ -113,7 +115,8 @@ def node_shown() -> Column:
 def render_tree(nodes: DataFrame) -> DataFrame:
     """Text lines of every page in document order, indented by the shown ancestors, one row per line."""
     placed = tree_paths(nodes, node_shown())
-    shown = numbered(placed.where(node_shown()), ["page_id"], ["path"], "position")
+    pages = measure(nodes, ["page_id"])
+    shown = numbered(placed.where(node_shown()), ["page_id"], ["path"], "position", pages)
     line = F.concat(F.repeat(F.lit("\t"), F.col("above")), node_text())
     return shown.select("page_id", "node_id", "position", line.alias("line"))
 
@@ -138,7 +141,8 @@ def keep_neighbourhood(
     All three limits shrink from round to round.  Siblings are met by their exact position, so a parent with
     many children yields no pairs beyond the range.
     """
-    paths = cut(numbered(tree_paths(nodes), ["page_id", "parent_id"], ["ord"], "idx"))
+    siblings_of = measure(nodes, ["page_id", "parent_id"], "ord")
+    paths = cut(numbered(tree_paths(nodes), ["page_id", "parent_id"], ["ord"], "idx", siblings_of))
     up = paths.where("parent_id IS NOT NULL").select("page_id", F.col("node_id").alias("from"), F.col("parent_id").alias("to"))
     down = paths.where("parent_id IS NOT NULL").select(
         "page_id", F.col("parent_id").alias("from"), F.col("node_id").alias("to"), "idx"

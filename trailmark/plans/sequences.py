@@ -9,8 +9,8 @@ group sizes first and choose the plan from what they find:
   count; ``framed`` evaluates bounded frames on fixed-size blocks of positions, each with a halo of copies.
 
 Measuring is one map-side combined count over the key columns and, only for the large groups, one pass for
-the quantiles of their leading order column.  The result is written to the checkpoint folder and holds at most
-``MAX_SPLIT_GROUPS`` rows of ``BLOCKS`` numbers, 16 MB in all, so it can be broadcast at every data size.  Any
+the quantiles of their leading order column, which are written to the checkpoint folder.  The result holds at
+most ``MAX_SPLIT_GROUPS`` rows of ``BLOCKS`` numbers, 16 MB in all, so it can be broadcast at every data size.  Any
 group outside that many largest ones has less than 1/``MAX_SPLIT_GROUPS`` of all rows, which leaves a stage
 balanced.  An operator measures its input once and hands the result to all its steps.
 Inputs below ``trailmark.smallInputBytes`` (half of one default file split, by Spark's own estimate) are one
@@ -94,9 +94,11 @@ def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSi
     if is_small_input(df):
         return GroupSizes(tuple(keys), column, None)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > block_rows(df.sparkSession))
-    large = cut(counts.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS))
-    if large.isEmpty():
+    # A bounded top-k: the driver holds at most MAX_SPLIT_GROUPS rows of keys and counts.
+    found = counts.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS).collect()
+    if not found:
         return GroupSizes(tuple(keys), column, None)
+    large = df.sparkSession.createDataFrame(found, counts.schema)
     if column is None:
         return GroupSizes(tuple(keys), None, large)
     marks = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
