@@ -18,7 +18,7 @@ FAMILIES = (
     ("wb", "^m2w|^mind2web", "$.step_sr", 100.0, 8),
     ("ws", "^ws|^webshop", "$.reward", 1.0, 7),
     ("embodied", "minecraft|omnigibson", "$.success_rate", 1.0, 9),
-    ("visual", "css|webarena", "$.main", 1.0, 10),
+    ("visual", "css|^web", "$.main", 1.0, 10),
 )
 
 
