@@ -1,18 +1,48 @@
-"""Cutting the lineage of iterative plans with reliable checkpoints."""
+"""Cutting the lineage of iterative plans through the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the whole session is one local process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="trailmark-shared-")
+    return _LOCAL[app]
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses; nothing is created yet."""
+    return f"{shared_folder(spark)}/trailmark-{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
+
+    A lost executor then costs a read, not a recomputation. The files stay until the folder is cleaned.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder the session names; choose one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trailmark-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
