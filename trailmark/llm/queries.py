@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, packing, token_files
+from trailmark.llm import decontamination, langid, neardup, packing, perplexity, token_files
+from trailmark.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,21 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_token_files")
 def write_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query("op8_near_duplicates")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.predict_languages(docs, langid.learn(langid.learnable(docs)), ["doc_id"])
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
