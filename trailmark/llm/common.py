@@ -52,12 +52,14 @@ def per_text(
     docs: DataFrame,
     keep: Sequence[str],
     fields: Sequence[T.StructField],
-    make: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
+    make: Callable[[], Callable[..., list[pa.Array]]],
     text: str = "text",
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Columns ``keep`` of every row and ``fields`` computed from its text; no shuffle.
 
-    ``make`` runs once per task and returns the function from texts to one array per field.
+    ``make`` runs once per task and returns the function from texts (and the values of columns ``also``) to one array
+    per field.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
     names, kept = [f.name for f in schema], list(keep)
@@ -66,10 +68,10 @@ def per_text(
         work = make()
         for batch in batches:
             for part in slices(batch, text):
-                made = work(part.column(text).to_pylist())
+                made = work(part.column(text).to_pylist(), *(part.column(c).to_pylist() for c in also))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=names)
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text, *also])).mapInArrow(run, schema)
 
 
 def filter_texts(

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, langid, neardup, packing, perplexity, token_files
+from trailmark.llm import (
+    decontamination, langid, licenses, neardup, packing, perplexity, quality, token_files, toxicity, url_rules,
+)
 from trailmark.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,34 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = langid.predict_languages(docs, langid.learn(langid.learnable(docs)), ["doc_id"])
     held_out = (remainder("doc_id", 4) == 2).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op1_url_rules")
+def judge_urls(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_rules.judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"), ["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+@query("op2_quality_fm")
+def score_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.learn(docs, labels, remainder("doc_id", 3) != 1)
+    return _scored(quality.score_quality(docs, model, ["doc_id"]), 0.5)
+
+
+@query("op3_toxicity_trees")
+def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels, remainder("doc_id", 3) != 1)
+    return _scored(model.score(docs, ["doc_id"]), 0.7)
+
+
+@query("op9_license_scan")
+def scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"), ["doc_id"])
