@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import zipfile
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and text bytes that a Python worker handles at a time.
-SLICE_ROWS, SLICE_BYTES = 2_000, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 1_000, 1_500_000
 
 #: ASCII letters folded, every other ASCII byte but digits a blank; bytes of other characters stay.
 _WORD_BYTES = bytes(
@@ -24,6 +27,31 @@ _WORD_BYTES = bytes(
 )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session once, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="trailmark-package-")) / "trailmark.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_batches(
+    rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``mapInArrow`` with the package at hand in the workers."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Maximal runs of digits, letters and non-ASCII characters as UTF-8, A-Z lower-cased; null has none."""
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
@@ -35,7 +63,7 @@ def remainder(key: str, divisor: int) -> Column:
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part holds more than a few MB of text (one row may be longer)."""
+    """Cut a batch so that no part holds more than 1.5 MB of text (one row may be longer)."""
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
@@ -71,7 +99,7 @@ def per_text(
                 made = work(part.column(text).to_pylist(), *(part.column(c).to_pylist() for c in also))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=names)
 
-    return docs.select(*dict.fromkeys([*kept, text, *also])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*kept, text, *also])), run, schema)
 
 
 def filter_texts(
@@ -85,7 +113,7 @@ def filter_texts(
             for part in slices(batch, text):
                 yield part.filter(pa.array(work(part.column(text).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 # Unicode white space, as the tokenizers' patterns see it; the separators 1C-1F are not part of it.
@@ -95,8 +123,8 @@ _NO_SPACE = re.compile(f"[^{_SPACE}]+")
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 
 
-#: A chunk of Latin letters with at most one mark at its end; the letters are one pre-token, the mark another.
-_PLAIN = re.compile("(\\n?)( ?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([,.]?)")
+#: A piece of Latin letters with at most one mark at its end; the letters are one pre-token, the mark another.
+_PLAIN = re.compile("([\\x00\\n]?)([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([,.]?)")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -136,6 +164,9 @@ def _spaced_chunk(piece: str) -> str:
 
 
 def _bare(text: str) -> list[str]:
+    """Lowered as a whole where lowering does not depend on the place in the word (it does for the capital sigma)."""
+    if "\u03a3" not in text:
+        text = text.lower()
     return _NO_SPACE.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
@@ -153,7 +184,7 @@ class ChunkEncoder:
     all other new chunks through the whole tokenizer.
     """
 
-    LONGEST, MOST = 64, 500_000
+    LONGEST, MOST = 64, 800_000
 
     def __init__(self, path: str, splitter: Splitter) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,6 +194,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.splitter, self.known = splitter, {}
         self.tokens, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
+        self.marks = {mark: self._word(mark) for mark in ",."}
         self.newline = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
@@ -172,14 +204,25 @@ class ChunkEncoder:
             word = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.tokens(word)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain is None:
+    def _start(self, begin: str, word: str) -> bytes:
+        """Ids of a plain word; ``begin`` tells whether a line end or nothing stands before it instead of a blank."""
+        ids = self._word(word if begin or self.splitter.lower else " " + word)
+        return self.newline + ids if begin == "\n" else ids
+
+    def _new(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the cache; a word with a mark behind it shares the ids of the word."""
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None or (self.splitter.lower and not piece.islower()):
+            chunk = self.splitter.chunk(piece)
             ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
             return array("I", ids).tobytes()
-        end, word, mark = plain.groups()
-        made = self._word(word.lower() if self.splitter.lower else word) + (self._word(mark) if mark else b"")
-        return self.newline + made if end else made
+        begin, word, mark = plain.groups()
+        if not mark:
+            return self._start(begin, word)
+        ids = self.known.get(piece[:-1])
+        if ids is None:
+            ids = self.known[piece[:-1]] = self._start(begin, word)
+        return ids + self.marks[mark]
 
     def encode(self, text: str | None) -> bytes:
         """Unsigned 32-bit ids in native (little-endian) order; null gives none."""
@@ -190,7 +233,7 @@ class ChunkEncoder:
         if None in parts:
             late = {}
             for piece in {x for x, part in zip(pieces, parts) if part is None}:
-                made = self._chunk(self.splitter.chunk(piece))
+                made = self._new(piece)
                 (known if len(piece) <= self.LONGEST else late)[piece] = made
             parts = [known.get(x) or late.get(x, b"") if part is None else part for x, part in zip(pieces, parts)]
             if len(known) > self.MOST:

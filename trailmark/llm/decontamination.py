@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import ascii_words, slices
+from trailmark.llm.common import ascii_words, map_batches, slices
 from trailmark.plans.lineage import store
 
 #: Windows in one broadcast block; a window has at most ``window`` words, so a block stays below some 20 MB.
@@ -64,7 +64,7 @@ def corpus_counts(docs: DataFrame, vocabulary: set[bytes], text: str) -> dict[by
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"]
         )
 
-    counts = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in counts.collect()}
 
 
@@ -180,7 +180,7 @@ def _search(docs: DataFrame, shared, field: T.StructField, keep: list[str], text
                 nested = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(made, kinds)], names=[f.name for f in FOUND])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), nested], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def contamination(found: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import filter_texts, per_text, remainder, slices
+from trailmark.llm.common import filter_texts, map_batches, per_text, remainder, slices
 
 #: Labelled documents of each language that the model is learnt from, in expectation.
 SAMPLE = 4_000
@@ -156,7 +156,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE, entries: int = MODEL_ENTR
                     found.clear()
         yield rows()
 
-    counts = sample.mapInArrow(run, "lang string, kind int, token binary, n long")
+    counts = map_batches(sample, run, "lang string, kind int, token binary, n long")
     counts = counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     each = max(1, entries // max(1, len(langs)))

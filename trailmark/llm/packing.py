@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import SPACED, Splitter, encoder, slices
+from trailmark.llm.common import SPACED, Splitter, encoder, map_batches, slices
 from trailmark.plans.lineage import store
 
 PIECES = T.StructType([
@@ -40,6 +40,7 @@ BINS = T.StructType([
 ])
 _ARROW = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 _MEMBER = pa.struct([*_ARROW.items(), ("offset", pa.int64())])
+_ITEMS = pa.schema([("fill", pa.int64()), ("members", pa.list_(_MEMBER))])
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -77,7 +78,7 @@ def token_pieces(
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return map_batches(rows, run, PIECES)
 
 
 class Packer:
@@ -171,12 +172,12 @@ def _pack(
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        held.append(pa.Table.from_batches([batch]).select(["fill", "members"]))
+        held.append(pa.Table.from_batches([batch]).select(["fill", "members"]).cast(_ITEMS))
         waiting += batch.num_rows
         if waiting >= chunk:
             out, keep = packed(held, False)
             yield from out
-            held, waiting = ([keep.select(["fill", "members"])], 0) if keep is not None else ([], 0)
+            held, waiting = ([keep.select(["fill", "members"]).cast(_ITEMS)], 0) if keep is not None else ([], 0)
     if held:
         yield from packed(held, True)[0]
 
@@ -197,7 +198,7 @@ def pack_pieces(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _pack(batches, round_, size, slack, chunk, open_limit)
 
-        return store(rows.mapInArrow(run, BINS), f"bins{round_}")
+        return store(map_batches(rows, run, BINS), f"bins{round_}")
 
     is_open = F.col("fill") < size - slack
     bins = packed(items, 1)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import per_text, slices
+from trailmark.llm.common import map_batches, per_text, slices
 from trailmark.llm.text_features import (
     BLANK, DIGIT, LINE, SYMBOL, UPPER, byte_classes, labelled_sample, letter_words, reduced,
 )
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = SAM
                 nested = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (index, value)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *nested], names=["doc_id", "y", "i", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, y int, i array<int>, x array<float>").toArrow()
+    rows = map_batches(sample, run, "doc_id long, y int, i array<int>, x array<float>").toArrow()
     if rows.num_rows == 0:
         return FactorizationMachine()
     rows = rows.sort_by("doc_id").combine_chunks()

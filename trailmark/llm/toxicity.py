@@ -22,16 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import per_text, slices
+from trailmark.llm.common import map_batches, per_text
 from trailmark.llm.text_features import UPPER, byte_classes, labelled_sample, letter_words
 from trailmark.plans.lineage import store
 
 #: Labelled documents that lexicon, trees and calibration are fitted on together, in expectation.
 SAMPLE = 15_000
 #: Words and beginnings of the learnt lexicon, and in how many toxic documents each must stand.
-LEXICON, LEAST_DOCUMENTS, BEGINNING = 400, 5, 5
-#: How many times likelier in a toxic document a word of the lexicon must be.
-LEAST_RATIO = 8.0
+LEXICON, LEAST_DOCUMENTS = 300, 5
+#: How many times likelier in a toxic document an entry of the lexicon must be.
+LEAST_RATIO = 4.0
+#: Lengths, in characters, of the word beginnings that are tried.
+BEGINNINGS = (4, 5, 6)
 INSULTS = frozenset(b"idiot moron stupid loser pathetic worthless trash scum disgusting clown dumb filthy hate kill".split())
 SECOND_PERSON = frozenset(b"you your yours yourself tu te toi vous votre vos du dich dir dein ihr euch usted ustedes tus".split())
 NEAR = 6
@@ -41,50 +43,62 @@ _SPACED_OUT = re.compile(r"\b(?:[a-zA-Z][ .\-_]){3,}[a-zA-Z]\b")
 _KEEP_LETTERS = re.compile(r"[^a-z\s]+")
 
 FEATURES = (
-    "fixed", "learnt", "beginnings", "unmasked", "near_second_person", "second_person", "weight", "capitals",
-    "exclamations", "punctuation", "obfuscated", "any_word",
+    "fixed", "learnt", "begun", "unmasked", "near_second_person", "second_person", "weight", "capitals",
+    "exclamations", "punctuation", "obfuscated", "any_word", "begun_count", "begun_distinct", "begun_most", "words",
 )
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    chars = word.decode("utf-8", "replace")
+    return [chars[:n].encode("utf-8", "replace") for n in BEGINNINGS if len(chars) >= n]
+
+
 class Lexicon:
     """Learnt words and beginnings with their log ratios."""
 
-    def __init__(self, words: dict[bytes, float], beginnings: dict[bytes, float]) -> None:
-        self.words, self.beginnings = words, beginnings
+    def __init__(self, words: dict[bytes, float], begin: dict[bytes, float]) -> None:
+        self.words, self.begin, self.known = words, begin, {}
+
+    def weigh(self, word: bytes) -> tuple[bool, bytes, float]:
+        """Whether the word is learnt, its heaviest learnt beginning (or none), and its weight; cached."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            begun = max(((self.begin[b], b) for b in beginnings(word) if b in self.begin), default=(0.0, b""))
+            found = word in self.words, begun[1], max(self.words.get(word, 0.0), begun[0])
+            self.known[word] = found
+        return found
 
     def features(self, text: str | None) -> list[float]:
         """The dense features of one text, rates per word; zeros for a null or empty text."""
         words = letter_words(text)
         if not words:
             return [0.0] * len(FEATURES)
-        n, seen = len(words), Counter(words)
-        fixed = sum(c for w, c in seen.items() if w in INSULTS)
-        learnt = sum(c for w, c in seen.items() if w in self.words)
-        begun = {w: c for w, c in seen.items() if w[:BEGINNING] in self.beginnings}
-        weight = sum(self.words[w] * c for w, c in seen.items() if w in self.words)
-        weight += sum(self.beginnings[w[:BEGINNING]] * c for w, c in begun.items())
+        n = len(words)
+        weighed = list(map(self.weigh, words))
+        bad = [w in INSULTS for w in words]
+        fixed, learnt, weight = sum(bad), sum(x[0] for x in weighed), sum(x[2] for x in weighed)
+        begun = Counter(x[1] for x in weighed if x[1])
         people = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
-        if people and (fixed or learnt or begun):
-            hits = np.array([i for i, w in enumerate(words) if w in INSULTS or w in self.words or w in begun])
+        if people and (fixed or weight):
+            hits = np.array([i for i, x in enumerate(weighed) if x[2] or bad[i]])
             at = np.searchsorted(people, hits)
-            people_at = np.array([-(10**9), *people, 10**9])
-            near = int(((hits - people_at[at] <= NEAR) | (people_at[at + 1] - hits <= NEAR)).sum())
-        hidden = _HIDDEN.findall(text)
-        spaced = _SPACED_OUT.findall(text)
-        unmasked = 0
+            around = np.array([-(10**9), *people, 10**9])
+            near = int(((hits - around[at] <= NEAR) | (around[at + 1] - hits <= NEAR)).sum())
+        hidden, spaced, unmasked = _HIDDEN.findall(text), _SPACED_OUT.findall(text), 0
         if hidden or spaced:
             plain = _SPACED_OUT.sub(lambda m: re.sub(r"[^a-zA-Z]", "", m[0]), text).lower().translate(_LOOKS)
             again = Counter(_KEEP_LETTERS.sub("", plain).encode().split())
-            bad = sum(c for w, c in again.items() if w in INSULTS or w in self.words)
-            unmasked = max(0, bad - fixed)
+            unmasked = max(0, sum(c for w, c in again.items() if w in INSULTS or w in self.words) - fixed)
         classes = byte_classes(text)
-        size = max(1, int(classes.sum()))
-        marks = text.count("!")
+        size, marks = max(1, int(classes.sum())), text.count("!")
         return [
             fixed / n, learnt / n, sum(begun.values()) / n, unmasked / n, near / n, len(people) / n, weight / n,
             float(classes[UPPER]) / size, marks / n, (text.count("?") + marks + text.count(".")) / n,
             (len(hidden) + len(spaced)) / n, float(fixed + learnt + unmasked > 0),
+            float(sum(begun.values())), float(len(begun)), max(begun.values(), default=0) / n, float(n),
         ]
 
 
@@ -102,7 +116,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 words = set(letter_words(text))
                 into = toxic if y else clean
                 into.update((0, w) for w in words)
-                into.update((1, b) for b in {w[:BEGINNING] for w in words if len(w) >= BEGINNING})
+                into.update((1, b) for b in {b for w in words for b in beginnings(w)})
                 into[2, b""] += 1
         keys = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays(
@@ -111,7 +125,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             names=["kind", "token", "toxic", "clean"],
         )
 
-    counts = sample.select("text", "y").mapInArrow(run, "kind int, token binary, toxic long, clean long")
+    counts = map_batches(sample.select("text", "y"), run, "kind int, token binary, toxic long, clean long")
     counts = store(counts.groupBy("kind", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "lexicon")
     total = counts.filter("kind = 2").first()
     if total is None or not total.toxic:
@@ -121,7 +135,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     best = best.filter(F.col("ratio") >= LEAST_RATIO)
     found: list[dict[bytes, float]] = [{}, {}]
     for kind in (0, 1):
-        ranked = best.filter(F.col("kind") == kind).orderBy(F.desc("ratio"), "token").limit(LEXICON)
+        ranked = best.filter(F.col("kind") == kind).orderBy(F.desc(F.col("toxic") * F.log("ratio")), "token").limit(LEXICON)
         found[kind] = {bytes(r.token): float(np.log(r.ratio)) for r in ranked.collect()}
     return Lexicon(*found)
 
