@@ -2,7 +2,8 @@
 
 A shard file holds, one after the other:
 
-* the ids of its documents, unsigned 32-bit little-endian, in key order, nothing between them;
+* the ids of its documents, unsigned little-endian, in key order, nothing between them; 16 bits each where the
+  tokenizer's vocabulary allows it, else 32;
 * the index: key hashes' levels of bits (a minimal perfect hash), then per slot a 32-bit fingerprint, the place of the
   document's first id and its number of ids;
 * the keys in order (number, null flag, how often the same key came before in the shard), for listing a shard;
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import BARE, Splitter, encoder, slices
+from trailmark.llm.common import BARE, Splitter, encoder, map_batches, slices
 from trailmark.plans.lineage import new_folder, store
 
-MAGIC = b"TMIDS002"
-#: magic, documents, ids, places of levels, fingerprints, starts, counts, keys; number of levels.
-FOOTER = struct.Struct("<8s8Q")
+MAGIC = b"TMIDS003"
+#: magic, documents, ids, places of levels, fingerprints, starts, counts, keys; number of levels, bytes of an id.
+FOOTER = struct.Struct("<8s9Q")
 MANIFEST = T.StructType([
     T.StructField("shard", T.IntegerType()),
     T.StructField("uri", T.StringType()),
@@ -117,7 +118,7 @@ class ShardReader:
         system, path = fs.FileSystem.from_uri(uri)
         self.file = system.open_input_file(path)
         end = self.file.size() - FOOTER.size
-        magic, self.n_docs, self.n_ids, levels, prints, starts, counts, keys, n_levels = FOOTER.unpack(self._read(end, FOOTER.size))
+        magic, self.n_docs, self.n_ids, levels, prints, starts, counts, keys, n_levels, self.width = FOOTER.unpack(self._read(end, FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         widths = np.frombuffer(self._read(levels, 8 * n_levels), "<u8").tolist()
@@ -149,14 +150,16 @@ class ShardReader:
         return np.where(known, self.starts[slot], -1), np.where(known, self.counts[slot], 0)
 
     def ids(self, start: int, count: int) -> bytes:
-        return self._read(4 * start, 4 * count)
+        """Ids as unsigned 32-bit little-endian numbers, whatever their width in the file."""
+        raw = self._read(self.width * start, self.width * count)
+        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
     def close(self) -> None:
         self.file.close()
 
 
-def _index(number: np.ndarray, null: np.ndarray, counts: np.ndarray, at: int) -> bytes:
-    """Everything behind the ids of a shard, which end at byte ``at``."""
+def _index(number: np.ndarray, null: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """Everything behind the ids of a shard, each ``width`` bytes long."""
     copy = copies(number, null)
     hashes = key_hash(number, null, copy)
     perfect = PerfectHash.build(hashes)
@@ -170,8 +173,8 @@ def _index(number: np.ndarray, null: np.ndarray, counts: np.ndarray, at: int) ->
         counts[by_slot].astype("<u8").tobytes(),
         number.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + copy.astype("<i8").tobytes(),
     ]
-    places = (at + np.cumsum([0, *map(len, parts[:-1])])).tolist()
-    return b"".join(parts) + FOOTER.pack(MAGIC, len(number), int(counts.sum()), *places, len(perfect.levels))
+    places = (width * int(counts.sum()) + np.cumsum([0, *map(len, parts[:-1])])).tolist()
+    return b"".join(parts) + FOOTER.pack(MAGIC, len(number), int(counts.sum()), *places, len(perfect.levels), width)
 
 
 def write_shards(
@@ -186,7 +189,8 @@ def write_shards(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer, splitter).encode, TaskContext.get().partitionId()
+        tokens, shard = encoder(tokenizer, splitter), TaskContext.get().partitionId()
+        encode, width = tokens.encode, 2 if max(tokens.tokenizer.get_vocab_size(), end_id + 1) <= 2**16 else 4
         system, root = fs.FileSystem.from_uri(folder)
         out, own = None, f"{root}/.{shard}-{uuid.uuid4().hex}"
         number, null, counts = [], [], []
@@ -196,7 +200,8 @@ def write_shards(
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(own)
                 payload = [encode(value) + end for value in part.column("text").to_pylist()]
-                out.write(b"".join(payload))
+                ids = b"".join(payload)
+                out.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                 counts.append(np.array([len(p) // 4 for p in payload], np.int64))
                 keys = part.column("key")
                 null.append(keys.is_null().to_numpy(zero_copy_only=False))
@@ -205,7 +210,7 @@ def write_shards(
             return
         number, null, counts = (np.concatenate(x) for x in (number, null, counts))
         total = int(counts.sum())
-        out.write(_index(number, null, counts, 4 * total))
+        out.write(_index(number, null, counts, width))
         out.close()
         system.move(own, f"{root}/shard-{shard:06d}.ids")
         row = [[shard], [f"{folder}/shard-{shard:06d}.ids"], [len(number)], [total]]
@@ -215,7 +220,7 @@ def write_shards(
     order = [F.col("key").asc_nulls_first(), F.col("text_hash"), F.col("text")]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("key", "text")
-    return store(rows.mapInArrow(run, MANIFEST), "manifest")
+    return store(map_batches(rows, run, MANIFEST), "manifest")
 
 
 def place_shards(manifest: DataFrame) -> DataFrame:
@@ -255,7 +260,7 @@ def read_shards(manifest: DataFrame, block: int = 4_096) -> DataFrame:
                     )
                 reader.close()
 
-    return place_shards(manifest).mapInArrow(run, schema)
+    return map_batches(place_shards(manifest), run, schema)
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, splitter: Splitter = BARE, end_id: int = 2) -> DataFrame:
