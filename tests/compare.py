@@ -91,7 +91,6 @@ def main() -> int:
     spark, con = session(), duck(folder)
     if os.environ.get("TRAILMARK_SPLIT"):
         spark.conf.set("trailmark.blockRows", os.environ["TRAILMARK_SPLIT"])
-        spark.conf.set("trailmark.smallInputBytes", "0")
     failed = 0
     for name in registry.load():
         if wanted and not any(name.startswith(w) for w in wanted):

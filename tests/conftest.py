@@ -17,9 +17,7 @@ def con():
 
 @pytest.fixture
 def split_mode(spark):
-    """Every input is measured and every group of more than a few rows is split."""
+    """Every group of more than a few rows is split."""
     spark.conf.set("trailmark.blockRows", "7")
-    spark.conf.set("trailmark.smallInputBytes", "0")
     yield
     spark.conf.unset("trailmark.blockRows")
-    spark.conf.unset("trailmark.smallInputBytes")

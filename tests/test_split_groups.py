@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tests.compare import compare
 from tests.conftest import FOLDER
+from trailmark.plans.sequences import _placed
 from trailmark.plans import GroupSizes, Scan, attach, framed, global_rank_by_count, measure, numbered, running
 
-PLAIN = GroupSizes(("k",), "t", None)
+PLAIN = GroupSizes(("k",), None)
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +38,9 @@ def as_set(df, *names):
 
 @pytest.mark.parametrize("order", [["t", "id"], ["-t", "-id"]])
 def test_running(rows, split_mode, order):
-    assert measure(rows, ["k"], order[0]).large is not None
+    assert measure(rows, ["k"]).large is not None
     names = ["k", "id", *scans()]
-    plain = running(rows, ["k"], order, scans(), PLAIN if order[0] == "t" else GroupSizes(("k",), "t", None))
+    plain = running(rows, ["k"], order, scans(), PLAIN)
     assert as_set(running(rows, ["k"], order, scans()), *names) == as_set(plain, *names)
 
 
@@ -93,5 +94,22 @@ def test_query_in_split_mode(spark, con, split_mode, name):
     assert ok, note
 
 
-def test_small_inputs_are_not_measured(rows, spark):
-    assert measure(spark.read.parquet(f"{FOLDER}/events.parquet"), ["user_id"], "ts").large is None
+def test_ranges_stay_small(spark, split_mode):
+    """Null keys, equal leading values and long common prefixes are cut into ranges of about equal size."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(4000).select(
+        F.lit(None).cast("string").alias("k"), F.lit(7).alias("t"), F.concat(F.lit("0000000000/https://"), F.format_string("%06d", "id")).alias("id")
+    )
+    try:
+        sizes = [r["count"] for r in _placed(rows, ["k"], ["t", "id"]).groupBy("_tm_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 16 and max(sizes) < 2 * 4000 / 16
+    got = numbered(rows, ["k"], ["t", "id"], "n").where("n <> cast(substring(id, 20) AS int) + 1")
+    assert got.isEmpty()
+
+
+def test_groups_within_the_bound_are_not_split(spark):
+    assert measure(spark.read.parquet(f"{FOLDER}/events.parquet"), ["user_id"]).large is None

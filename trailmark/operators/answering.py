@@ -65,16 +65,13 @@ def rouge1(pairs: DataFrame, key: str) -> DataFrame:
     def words(text: str) -> Column:
         return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
+    def often(array: str, word: Column) -> Column:
+        return F.size(array) - F.size(F.array_remove(array, word))
+
     split = pairs.select(key, words("reference").alias("_ref"), words("answer").alias("_pred"))
-    sized = split.select(key, F.size("_ref").alias("n_ref"), F.size("_pred").alias("n_pred"))
-    # Only words of the reference can overlap, so the others never leave their row.
-    common = F.filter("_pred", lambda w: F.array_contains("_ref", w))
-    in_ref = split.select(key, F.explode("_ref").alias("w"), F.lit(1).alias("r"), F.lit(0).alias("p"))
-    in_answer = split.select(key, F.explode(common).alias("w"), F.lit(0).alias("r"), F.lit(1).alias("p"))
-    flat = in_ref.unionByName(in_answer)
-    counts = flat.groupBy(key, "w").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-    shared = counts.groupBy(key).agg(F.sum(F.least("r", "p")).alias("shared"))
-    joined = sized.join(shared, key, "left")
-    overlap = F.coalesce(F.col("shared"), F.lit(0))
-    f1 = F.try_divide(2.0 * overlap, F.col("n_ref") + F.col("n_pred"))
-    return joined.select(key, F.coalesce(f1, F.lit(0.0)).alias("rouge1"))
+    # Row by row: the words of both sides once, each with the smaller of its two counts.
+    overlap = F.aggregate(
+        F.array_intersect("_ref", "_pred"), F.lit(0), lambda n, w: n + F.least(often("_ref", w), often("_pred", w))
+    )
+    f1 = F.try_divide(2.0 * overlap, F.size("_ref") + F.size("_pred"))
+    return split.select(key, F.coalesce(f1, F.lit(0.0)).alias("rouge1"))

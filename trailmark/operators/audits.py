@@ -189,3 +189,9 @@ def recent_entries(steps: DataFrame, keys: list[str], order: list[str], k: int,
     )
     joined = F.when(F.size("_recent") > 0, F.array_join("_recent", "\n")).otherwise("(empty)")
     return out.withColumn("recent", joined).drop("_entry", "_recent")
+
+
+def checklist_timeline(steps: DataFrame, keys: list[str], order: list[str], items: str) -> DataFrame:
+    """``change``: how many checklist items each step added to the step before it; 0 for the first step."""
+    out = framed(steps, keys, order, {"_prev": lambda w: F.lag(items).over(w)}, before=1)
+    return out.withColumn("change", F.coalesce(F.col(items) - F.col("_prev"), F.lit(0))).drop("_prev")

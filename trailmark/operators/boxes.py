@@ -52,21 +52,22 @@ def rectangles_overlap(a: list[Column], b: list[Column], padding: float) -> Colu
     )
 
 
-def label_overlaps(labels: DataFrame, padding: float, extent: float) -> DataFrame:
+def label_overlaps(labels: DataFrame, padding: float, cell: float) -> DataFrame:
     """Labels (page_id, id, x1, y1, x2, y2) that overlap a label with a smaller id on the same page.
 
-    No label is larger than ``extent`` in either direction.  Labels are hashed into cells of that size, and
-    each one looks into its own and the eight neighbouring cells, so the join key is far finer than a page.
-    It is a semi-join: the search for a label ends at the first overlap, no pairs are produced.
+    Every label is written into each cell of ``cell`` units that it touches, so labels that overlap share a cell
+    whatever their sizes, and the join key is far finer than a page.  It is a semi-join: the search for a label
+    ends at the first overlap, no pairs are produced.
     """
-    cell_x, cell_y = F.floor(F.col("x1") / extent), F.floor(F.col("y1") / extent)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asking = labels.withColumn("_n", F.explode(around)).select(
-        *labels.columns, (cell_x + F.col("_n.i")).alias("cx"), (cell_y + F.col("_n.j")).alias("cy")
-    )
-    placed = labels.select(
-        "page_id", F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")],
-        cell_x.alias("cx"), cell_y.alias("cy"),
+    reach = max(0.0, -padding)
+
+    def cells(low: str, high: str) -> Column:
+        ends = [F.floor((F.col(c) + d) / cell) for c, d in ((low, -reach), (high, reach))]
+        return F.sequence(F.least(*ends), F.greatest(*ends))
+
+    asking = labels.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+    placed = asking.select(
+        "page_id", F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")], "cx", "cy"
     )
     here = [asking[c] for c in ("x1", "y1", "x2", "y2")]
     there = [placed[c] for c in ("_x1", "_y1", "_x2", "_y2")]

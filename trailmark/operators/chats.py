@@ -33,7 +33,7 @@ def prefer_source(rows: DataFrame, key: str, priorities: dict[str, int], positio
 
 def sized(turns: DataFrame, sizes: GroupSizes | None = None) -> GroupSizes:
     """Conversation sizes, measured once per operator; filters only make conversations smaller."""
-    return sizes or measure(turns, KEY, "turn")
+    return sizes or measure(turns, KEY)
 
 
 def drop_repeated_actions(turns: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
@@ -67,11 +67,11 @@ def drop_repeated_actions(turns: DataFrame, sizes: GroupSizes | None = None) ->
 def turn_bounds(turns: DataFrame, sizes: GroupSizes) -> DataFrame:
     """Position of the turn and size of its conversation."""
     totals = turns.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_turns"))
-    return attach(numbered(turns, KEY, ORDER, "pos", sizes), totals, KEY, sizes=sizes)
+    return attach(numbered(turns, KEY, ORDER, "pos", sizes), totals, KEY)
 
 
 def keep_recent_messages(turns: DataFrame, budget: int = 3500) -> DataFrame:
-    """Message 0 and the newest messages whose segments stay below the budget.
+    """Message 0, as the user's, and the newest messages whose segments stay below the budget.
 
     A kept tail never starts with a user message.  The first message says how many were left out.
     """
@@ -83,13 +83,13 @@ def keep_recent_messages(turns: DataFrame, budget: int = 3500) -> DataFrame:
         placed.withColumn("_tail", F.when(F.col("pos") > 1, F.col("_seg")).otherwise(0)),
         KEY, ["-turn"], {"_back": Scan("sum", F.col("_tail"))}, sizes,
     )
-    known = attach(tail_sum, head, KEY, sizes=sizes)
+    known = attach(tail_sum, head, KEY)
     fits = (F.col("pos") > 1) & (F.col("_head") + F.col("_back") < budget)
     kept = known.withColumn("_fits", fits)
     oldest = kept.where("_fits").groupBy(*KEY).agg(
         F.min("pos").alias("_start"), F.min_by("role", "pos").alias("_start_role")
     )
-    bounded = attach(kept, oldest, KEY, sizes=sizes)
+    bounded = attach(kept, oldest, KEY)
     start = F.when(F.col("_start_role") == "user", F.col("_start") + 1).otherwise(F.col("_start"))
     start = F.coalesce(start, F.col("n_turns") + 1)
     omitted = start - 2
@@ -97,8 +97,9 @@ def keep_recent_messages(turns: DataFrame, budget: int = 3500) -> DataFrame:
         (F.col("pos") == 1) & (omitted > 0),
         F.concat(F.col("content"), F.lit("\n\n[NOTICE] "), omitted.cast("string"), F.lit(" messages are omitted.")),
     ).otherwise(F.col("content"))
+    role = F.when(F.col("pos") == 1, F.lit("user")).otherwise(F.col("role"))
     return bounded.where((F.col("pos") == 1) | (F.col("pos") >= start)).select(
-        *KEY, "turn", "role", content.alias("content")
+        *KEY, "turn", role.alias("role"), content.alias("content")
     )
 
 
@@ -120,11 +121,11 @@ def keep_head_tail(turns: DataFrame, head: int = 5, budget: int = 9776) -> DataF
         KEY, ["-turn"], {"_back": Scan("sum", F.when(F.col("_pair").isNotNull(), F.col("_tok")).otherwise(F.lit(0)))}, sizes,
     )
     pair_total = summed.where("_pair IS NOT NULL").groupBy(*KEY, "_pair").agg(F.max("_back").alias("_reach"))
-    known = attach(summed.join(pair_total, [*KEY, "_pair"], "left"), fixed, KEY, sizes=sizes)
+    known = attach(summed.join(pair_total, [*KEY, "_pair"], "left"), fixed, KEY)
     keep = in_head | last | F.coalesce(F.col("_reach") + F.col("_fixed") <= budget, F.lit(False))
     kept = known.withColumn("_keep", keep)
     gaps = kept.where(~F.col("_keep") & F.col("_pair").isNotNull()).groupBy(*KEY).agg(F.max("pos").alias("_gap"))
-    marked = attach(kept.where("_keep"), gaps, KEY, sizes=sizes)
+    marked = attach(kept.where("_keep"), gaps, KEY)
     return marked.select(
         *KEY, "turn", "role", "content", F.coalesce(F.col("pos") == F.col("_gap") + 1, F.lit(False)).alias("truncated")
     )
@@ -150,7 +151,7 @@ def conversation_rounds(turns: DataFrame, limit: int = 16384 - 512) -> DataFrame
     intent = turns.where("role = 'user'").groupBy(*KEY).agg(
         F.min_by("content", "turn").alias("intent"), F.max_by("content", "turn").alias("observation")
     )
-    known = attach(rounds, intent, KEY, sizes=sizes)
+    known = attach(rounds, intent, KEY)
     label = F.concat(F.lit("Round "), F.col("round").cast("string"), F.lit("\n"))
     user = F.when(
         F.col("round") == 0,
@@ -204,7 +205,7 @@ def stitch_conversations(failed: DataFrame, success: DataFrame, head: int = 3) -
     rich = edit_counts(clean, of_success).where("edits > 1").select(*KEY)
     both = rich.join(failed.select(*KEY).distinct(), KEY, "left_semi").withColumn("_ok", F.lit(1))
     first = clean_failed.where(F.col("_pos") <= head).join(both, KEY).withColumn("part", F.lit("failed"))
-    rest = attach(clean_success.where(F.col("_pos") > head), both, KEY, "inner", of_success).withColumn("part", F.lit("success"))
+    rest = attach(clean_success.where(F.col("_pos") > head), both, KEY, "inner").withColumn("part", F.lit("success"))
     return first.unionByName(rest).select(*KEY, "part", F.col("_pos").alias("pos"), "role", "content")
 
 
@@ -264,7 +265,7 @@ def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
     picked = counted.where(F.col("_selector").isNotNull() & (F.col("_edits_seen") <= count_edits + 1))
     # At most count_edits + 1 selectors per conversation reach this aggregate.
     selectors = picked.groupBy(*KEY).agg(F.collect_set("_selector").alias("_selectors"))
-    known = attach(counted, selectors, KEY, sizes=sizes)
+    known = attach(counted, selectors, KEY)
     names = F.coalesce(F.col("_selectors"), F.expr("cast(array() as array<string>)"))
     looks_up = F.col("content").contains("get_selectors_by_html_elements")
     text = F.when(looks_up, F.coalesce(F.col("_next"), F.lit(""))).otherwise(F.col("content"))
@@ -323,7 +324,7 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
     times in all.
     """
     near = max(parse, repeat) - 1
-    sizes = measure(actions, ["task_id"], order[0])
+    sizes = measure(actions, ["task_id"])
     failed = F.col("action_type").isNull()
     marked = framed(
         actions.withColumn("_failed", failed.cast("int")), ["task_id"], order,
@@ -360,7 +361,7 @@ def trajectory_states(turns: DataFrame) -> DataFrame:
     before = framed(turns, KEY, ORDER, {"observation": lambda w: F.lag("content").over(w)}, before=1, sizes=sizes)
     acted = numbered(before.where("role = 'agent'"), KEY, ORDER, "_n", sizes)
     intent = turns.groupBy(*KEY).agg(F.min_by("content", "turn").alias("intent"))
-    known = attach(acted, intent, KEY, sizes=sizes)
+    known = attach(acted, intent, KEY)
     return known.select(
         F.col("conv_id").alias("task_id"), (F.col("_n") - 1).alias("step"), "observation",
         F.col("content").alias("raw_prediction"), "intent",

@@ -217,7 +217,7 @@ def milestone_reward(steps: DataFrame, goals: dict[str, float], order: list[str]
     reward = F.lit(0.0)
     for name, value in goals.items():
         reward = F.when(F.col("goal") == name, float(value)).otherwise(reward)
-    sizes = measure(steps, EPISODE, order[0])
+    sizes = measure(steps, EPISODE)
     first = (
         steps.where(F.col("reached") & F.col("goal").isin(*goals))
         .groupBy("episode_id", "goal")
@@ -234,14 +234,13 @@ def unstick_attack(events: DataFrame) -> DataFrame:
     first = events.groupBy("episode_id").agg(
         F.min("t").alias("_t0"), F.min_by(F.col("new_buttons") == F.array(F.lit(0)), "t").alias("_stuck")
     )
-    sizes = measure(events, EPISODE)
-    known = attach(events, first, EPISODE, sizes=sizes)
+    known = attach(events, first, EPISODE)
     release = (
         known.where((F.col("t") > F.col("_t0")) & F.array_contains("new_buttons", 0))
         .groupBy("episode_id")
         .agg(F.min("t").alias("_until"))
     )
-    timed = attach(known, release, EPISODE, sizes=sizes)
+    timed = attach(known, release, EPISODE)
     stuck = F.col("_stuck") & (F.col("_until").isNull() | (F.col("t") < F.col("_until")))
     buttons = F.when(F.coalesce(stuck, F.lit(False)), F.array_remove("buttons", 0)).otherwise(F.col("buttons"))
     return timed.withColumn("buttons", buttons).select(*events.columns)
@@ -256,7 +255,7 @@ def hotbar_change(events: DataFrame) -> DataFrame:
 
 def stalled(steps: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     """Steps (task_id, step_no, reward, action, result) at which a household run counts as stuck, with the rule."""
-    sizes = sizes or measure(steps, ["task_id"], "step_no")
+    sizes = sizes or measure(steps, ["task_id"])
     made = {f"_r{k}": (lambda w, k=k: F.lag("reward", k).over(w)) for k in (1, 8, 9, 10)}
 
     def same(column: str, size: int):
@@ -271,7 +270,7 @@ def stalled(steps: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     })
     out = framed(steps, ["task_id"], ["step_no"], made, before=10, sizes=sizes)
     first = steps.groupBy("task_id").agg(F.min_by("reward", "step_no").alias("_r0"))
-    known = attach(out, first, ["task_id"], sizes=sizes)
+    known = attach(out, first, ["task_id"])
     reward, done = F.col("reward"), F.col("step_no") - 1
     below = (reward <= F.col("_r1")) & (reward <= F.col("_r8")) & (reward <= F.col("_r9")) & (reward <= F.col("_r10"))
     turning = F.col("action").contains("turn")

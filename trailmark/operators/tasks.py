@@ -103,3 +103,8 @@ def skip_existing_episodes(wanted: DataFrame, existing: DataFrame, min_timesteps
 def first_by_position(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     """First occurrence of every id."""
     return first_records(rows, keys, position)
+
+
+def valid_samples(samples: DataFrame, least_distance: float, marker: str = "This is an invalid example") -> DataFrame:
+    """Samples whose screenshots differ enough and whose instruction is not marked as invalid."""
+    return samples.where((F.col("distance") >= least_distance) & ~F.col("instruction").contains(marker))

@@ -86,8 +86,8 @@ def promote_children(nodes: DataFrame, keep: Column) -> DataFrame:
     placed = tree_paths(nodes.withColumn("_keep", stays), marked=F.col("_keep"))
     above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
     # Sizes come from the raw nodes: measuring the derived rows would compute them twice.
-    siblings, pages = measure(nodes, ["page_id", "parent_id"]), measure(nodes, ["page_id"])
-    kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"], sizes=siblings)
+    pages = measure(nodes, ["page_id"])
+    kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"])
     ordered = numbered(kept, ["page_id"], ["path"], "position", pages)
     return ordered.select(*nodes.columns, "new_parent", "position")
 
@@ -141,7 +141,7 @@ def keep_neighbourhood(
     All three limits shrink from round to round.  Siblings are met by their exact position, so a parent with
     many children yields no pairs beyond the range.
     """
-    siblings_of = measure(nodes, ["page_id", "parent_id"], "ord")
+    siblings_of = measure(nodes, ["page_id", "parent_id"])
     paths = cut(numbered(tree_paths(nodes), ["page_id", "parent_id"], ["ord"], "idx", siblings_of))
     up = paths.where("parent_id IS NOT NULL").select("page_id", F.col("node_id").alias("from"), F.col("parent_id").alias("to"))
     down = paths.where("parent_id IS NOT NULL").select(

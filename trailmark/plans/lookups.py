@@ -1,47 +1,14 @@
-"""Joins of a large table to a table with unique keys, safe when one key dominates."""
+"""Joins of a large table to a table with unique keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trailmark.plans.sequences import GroupSizes, block_rows, measure
 
-MAX_SALTS = 1_024
-NULL_SALTS = 64
+def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Add the columns of ``table``, which has each key once, to the rows of ``df``.
 
-
-def attach(
-    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", sizes: GroupSizes | None = None
-) -> DataFrame:
-    """Join ``df`` to ``table`` (unique on ``on``), spreading the rows of every dominant key.
-
-    Without dominant keys this is the plain join, left to Catalyst and AQE.  The rows of a dominant key get
-    one of several salts taken from the row's own hash, and the one matching row of ``table`` is repeated
-    once per salt.
+    A plain equi-join of few columns: Spark broadcasts a small table and splits the partitions of dominant keys at run
+    time (``spark.sql.adaptive.skewJoin``), which works for the left side of inner and left joins.
     """
-    if sizes is None or sizes.keys != tuple(on):
-        sizes = measure(df, on)
-    added = [c for c in table.columns if c not in on]
-    if sizes.large is None:
-        return df.join(table, on, how).select(*df.columns, *added)
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_tm_n") / block_rows(df.sparkSession))).cast("int")
-    large = F.broadcast(sizes.large.select(*on, salts.alias("_tm_salts")))
-    hashable = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
-    row_hash = F.xxhash64(*hashable)
-    missing = F.lit(False)
-    for key in on:
-        missing = missing | F.col(key).isNull()
-    salted = df.join(large, on, "left").withColumn(
-        "_tm_salt",
-        F.when(missing, F.pmod(row_hash, F.lit(NULL_SALTS)))
-        .when(F.col("_tm_salts").isNotNull(), F.pmod(row_hash, F.col("_tm_salts")))
-        .otherwise(0)
-        .cast("int"),
-    )
-    copies = (
-        table.join(large, on, "left")
-        .withColumn("_tm_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_tm_salts"), F.lit(1)) - 1)))
-        .drop("_tm_salts")
-    )
-    return salted.join(copies, [*on, "_tm_salt"], how).select(*df.columns, *added)
+    return df.join(table, on, how).select(*df.columns, *[c for c in table.columns if c not in on])

@@ -1,42 +1,33 @@
 """Ordered per-group operators that split large groups over many tasks.
 
-A plain ``Window.partitionBy(keys)`` sends all rows of a key to one task.  The functions here measure the
-group sizes first and choose the plan from what they find:
+A plain ``Window.partitionBy(keys)`` sends all rows of a key to one task.  The functions here count the groups first, by
+one map-side combined aggregate over the key columns, and choose the plan from what they find:
 
 * no group of more than ``trailmark.blockRows`` rows: the plain window, one shuffle;
-* otherwise every large group is cut into blocks of consecutive rows.  ``running`` computes prefix
-  aggregates inside each block and adds the totals of the earlier blocks; ``numbered`` is ``running`` over a
-  count; ``framed`` evaluates bounded frames on fixed-size blocks of positions, each with a halo of copies.
-
-Measuring is one map-side combined count over the key columns and, only for the large groups, one pass for
-the quantiles of their leading order column, which are written to the checkpoint folder.  The result holds at
-most ``MAX_SPLIT_GROUPS`` rows of ``BLOCKS`` numbers, 16 MB in all, so it can be broadcast at every data size.  Any
-group outside that many largest ones has less than 1/``MAX_SPLIT_GROUPS`` of all rows, which leaves a stage
-balanced.  An operator measures its input once and hands the result to all its steps.
-Inputs below ``trailmark.smallInputBytes`` (half of one default file split, by Spark's own estimate) are one
-task's work anyway and are not measured.
-
-Blocks are the ranges between the written quantiles, so bursts and common prefixes do not unbalance them and a
-recomputed task always sees the same blocks.  Rows with equal leading order values share a block.
+* otherwise the rows are range-partitioned by keys and order and stored once with the number of their partition, so
+  hot keys, null keys, equal leading values and long common prefixes are all cut where their rows lie.  ``running``
+  computes prefix aggregates inside each partition and adds the totals of the same key's earlier partitions;
+  ``numbered`` is ``running`` over a count; ``framed`` evaluates bounded frames on fixed-size blocks of positions, each
+  with a halo of copies.
+
+The number of partitions follows the shuffle partitions, a key has as many totals as partitions, and nothing is
+broadcast or collected.  An operator counts its input once and hands the result to all its steps.  Rows of one key with
+equal values in all order columns share a partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trailmark.plans.lineage import cut
+from trailmark.plans.lineage import cut, store
 
 BLOCK_ROWS_CONF = "trailmark.blockRows"
 DEFAULT_BLOCK_ROWS = 1_000_000
-SMALL_INPUT_CONF = "trailmark.smallInputBytes"
-DEFAULT_SMALL_INPUT = 64 * 1024 * 1024
-MAX_SPLIT_GROUPS = 2_000
-BLOCKS = 1_024
 
 
 @dataclass(frozen=True)
@@ -57,59 +48,25 @@ def order_columns(order: list[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _placement(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along a column."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.hex(F.encode(F.substring(F.rpad(F.col(name), 7, "\x00"), 1, 7), "UTF-8"))
-        return F.conv(F.substring(head, 1, 14), 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
-
-
 @dataclass(frozen=True)
 class GroupSizes:
-    """The measured large groups of a table by some keys; ``large`` is None when there are none.
-
-    ``large`` holds the keys, the row count and, with an order column, the quantiles of that column.
-    """
+    """The large groups of a table by some keys: their keys as a stored table, or None when there are none."""
 
     keys: tuple[str, ...]
-    column: str | None
     large: DataFrame | None
 
 
-def is_small_input(df: DataFrame) -> bool:
-    """Whether Spark estimates the whole input below the small-input bound."""
-    bound = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(DEFAULT_SMALL_INPUT)))
-    if bound <= 0:
-        return False
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < bound
+def measure(df: DataFrame, keys: list[str]) -> GroupSizes:
+    """Find the groups of more than ``block_rows`` rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > block_rows(df.sparkSession))
+    if counts.isEmpty():
+        return GroupSizes(tuple(keys), None)
+    return GroupSizes(tuple(keys), store(counts.select(*keys, "_tm_n"), "large"))
 
 
-def measure(df: DataFrame, keys: list[str], order: str | None = None) -> GroupSizes:
-    """Find the groups of more than ``block_rows`` rows, with quantiles of the leading order column."""
-    column = order.lstrip("-") if order else None
-    if is_small_input(df):
-        return GroupSizes(tuple(keys), column, None)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > block_rows(df.sparkSession))
-    # A bounded top-k: the driver holds at most MAX_SPLIT_GROUPS rows of keys and counts.
-    found = counts.orderBy(F.col("_tm_n").desc(), *keys).limit(MAX_SPLIT_GROUPS).collect()
-    if not found:
-        return GroupSizes(tuple(keys), column, None)
-    large = df.sparkSession.createDataFrame(found, counts.schema)
-    if column is None:
-        return GroupSizes(tuple(keys), None, large)
-    marks = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
-    placed = df.select(*keys, _placement(df, column).alias("_tm_place"))
-    if keys:
-        placed = placed.join(F.broadcast(large), keys)
-    else:
-        placed = placed.withColumn("_tm_n", F.lit(0))
-    bounds = F.percentile_approx("_tm_place", marks, 10 * BLOCKS).alias("_tm_bounds")
-    ranged = placed.groupBy(*keys).agg(bounds, F.count(F.lit(1)).alias("_tm_n"))
-    return GroupSizes(tuple(keys), column, cut(ranged))
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality on the keys, null being equal to null."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
 def settle(df: DataFrame, sizes: GroupSizes) -> DataFrame:
@@ -121,29 +78,15 @@ def settle(df: DataFrame, sizes: GroupSizes) -> DataFrame:
     return df if sizes.large is None else cut(df)
 
 
-def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str], order: list[str]) -> GroupSizes:
-    """The given sizes when they were measured for these keys and this order, else fresh ones."""
-    if sizes is not None and sizes.keys == tuple(keys):
-        if sizes.large is None or sizes.column == order[0].lstrip("-"):
-            return sizes
-    return measure(df, keys, order[0])
-
-
-def _with_blocks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
-    place = _placement(df, order[0].lstrip("-"))
-    halves = F.array(*[F.lit(BLOCKS >> i) for i in range(1, BLOCKS.bit_length())])
+def _fitting(sizes: GroupSizes | None, df: DataFrame, keys: list[str]) -> GroupSizes:
+    """The given sizes when they were measured for these keys, else fresh ones."""
+    return sizes if sizes is not None and sizes.keys == tuple(keys) else measure(df, keys)
 
-    def narrow(found: Column, step: Column) -> Column:
-        """One step of a binary search for the number of quantiles not above the value."""
-        return F.when(F.get("_tm_bounds", found + step - 1) <= place, found + step).otherwise(found)
 
-    upwards = F.aggregate(halves, F.lit(0), narrow)
-    block = (BLOCKS - 1) - upwards if order[0].startswith("-") else upwards
-    large_row = F.col("_tm_n").isNotNull()
-    joined = df.join(F.broadcast(large), keys, "left")
-    return joined.select(
-        *df.columns, large_row.alias("_tm_large"), F.when(large_row, block).otherwise(0).cast("int").alias("_tm_blk")
-    )
+def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows in ranges of keys and order, stored with the number of their range as ``_tm_part``."""
+    ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order_columns(order))
+    return store(ranged.withColumn("_tm_part", F.spark_partition_id()), "ranges")
 
 
 def _aggregate(kind: str, value: Column) -> Column:
@@ -173,42 +116,38 @@ def running(
 
     ``order`` must name the rows of a group uniquely for results that do not depend on ties.
     """
-    sizes = _fitting(sizes, df, keys, order)
+    sizes = _fitting(sizes, df, keys)
     if sizes.large is None:
         return _plain_running(df, keys, order, cols)
-    large, whole_table = sizes.large, not keys
-    if whole_table:
-        df, large, keys = df.withColumn("_all", F.lit(1)), large.withColumn("_all", F.lit(1)), ["_all"]
     work = df
     for name, scan in cols.items():
         value = F.when(scan.value.isNotNull(), 1).otherwise(0).cast("long") if scan.kind == "count" else scan.value
         work = work.withColumn(f"_v_{name}", value)
-    work = _with_blocks(work, keys, order, large)
-    local_window = Window.partitionBy(*keys, "_tm_blk").orderBy(*order_columns(order))
-    local, totals = [], []
-    along = F.struct(*[F.col(o.lstrip("-")) for o in order])
-    backwards = order[0].startswith("-")
+    work = _placed(work, keys, order)
+    local_window = Window.partitionBy(*keys, "_tm_part").orderBy(*order_columns(order))
+    local, totals, at_end = [], [], F.struct(F.col("_tm_end"))
     for name, scan in cols.items():
         frame = local_window.rowsBetween(Window.unboundedPreceding, -1 if scan.exclusive else 0)
         value = F.col(f"_v_{name}")
         if scan.kind == "last":
             local.append(F.last(value, ignorenulls=True).over(frame).alias(f"_l_{name}"))
-            pick = F.min_by if backwards else F.max_by
-            totals.append(pick(value, F.when(value.isNotNull(), along)).alias(f"_t_{name}"))
+            totals.append(F.max_by(value, F.when(value.isNotNull(), at_end)).alias(f"_t_{name}"))
         else:
             local.append(_aggregate(scan.kind, value).over(frame).alias(f"_l_{name}"))
             totals.append(_aggregate(scan.kind, value).alias(f"_t_{name}"))
-    # Map-side combined: one row per block of a large group, at most BLOCKS for each of them.
-    block_totals = work.where("_tm_large").groupBy(*keys, "_tm_blk").agg(*totals)
-    earlier = Window.partitionBy(*keys).orderBy("_tm_blk").rowsBetween(Window.unboundedPreceding, -1)
+    work = work.select("*", *local, F.row_number().over(local_window).alias("_tm_end"))
+    # One row per key and range in which it has rows.
+    part_totals = work.groupBy(*keys, "_tm_part").agg(*totals)
+    earlier = Window.partitionBy(*keys).orderBy("_tm_part").rowsBetween(Window.unboundedPreceding, -1)
     carries = []
     for name, scan in cols.items():
         total = F.col(f"_t_{name}")
         carry = F.last(total, ignorenulls=True) if scan.kind == "last" else _aggregate(scan.kind, total)
         carries.append(carry.over(earlier).alias(f"_c_{name}"))
-    carry = block_totals.select(*keys, "_tm_blk", *carries)
-    # The window output is already partitioned and sorted by (keys, block), so only the carries shuffle.
-    out = work.select("*", *local).join(carry, [*keys, "_tm_blk"], "left")
+    carry = part_totals.select(*keys, "_tm_part", *carries)
+    # The window output is already partitioned by (keys, range), so only the carries shuffle.
+    on = same_keys(work, carry, [*keys, "_tm_part"])
+    out = work.join(carry, on, "left").select(work["*"], *[carry[f"_c_{name}"] for name in cols])
     results = []
     for name, scan in cols.items():
         here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
@@ -223,7 +162,7 @@ def running(
         else:
             value = F.coalesce(here, before)
         results.append(value.alias(name))
-    kept = [c for c in df.columns if c not in cols and not (whole_table and c == "_all")]
+    kept = [c for c in df.columns if c not in cols]
     return out.select(*kept, *results)
 
 
@@ -244,15 +183,15 @@ def framed(
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead."""
-    sizes = _fitting(sizes, df, keys, order)
+    sizes = _fitting(sizes, df, keys)
     window = Window.partitionBy(*keys).orderBy(*order_columns(order))
     plain = [make(window).alias(name) for name, make in cols.items()]
     if sizes.large is None:
         return df.select(*df.columns, *plain)
-    large = F.broadcast(sizes.large.select(*keys))
-    whole = df.join(large, keys, "left_anti").select(*df.columns, *plain)
-    size = max(block_rows(df.sparkSession), before, after, 1)
-    placed = numbered(df.join(large, keys, "left_semi"), keys, order, "_at", sizes)
+    large, size, split = sizes.large, max(block_rows(df.sparkSession), before, after, 1), df
+    if keys:
+        split = df.join(large, same_keys(df, large, keys), "left_semi")
+    placed = numbered(split, keys, order, "_at", sizes)
     block = F.floor((F.col("_at") - 1) / size)
     offset = (F.col("_at") - 1) % size
 
@@ -267,9 +206,12 @@ def framed(
     parts = placed.withColumn("_copy", F.explode(F.array_compact(F.array(*copies))))
     parts = parts.select(*df.columns, "_at", "_copy._part", "_copy._halo")
     within = Window.partitionBy(*keys, "_part").orderBy("_at")
-    split = (
+    framed_parts = (
         parts.select("*", *[make(within).alias(name) for name, make in cols.items()])
         .where(~F.col("_halo"))
         .select(*df.columns, *cols)
     )
-    return whole.unionByName(split)
+    if not keys:
+        return framed_parts
+    whole = df.join(large, same_keys(df, large, keys), "left_anti").select(*df.columns, *plain)
+    return whole.unionByName(framed_parts)
