@@ -29,8 +29,8 @@ def test_scan_reads_needed_columns_only(spark):
 
 
 def test_filter_reaches_the_scan(spark):
-    text = plan(registry.queries()["label_overlaps"](spark, FOLDER))
-    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_linestatus,F\)", text)
+    text = plan(registry.queries()["upsert_tasks"](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,O\)", text)
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):

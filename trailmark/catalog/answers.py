@@ -10,13 +10,13 @@ TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+(?:[/.,-][\p{{L}}\p{{N}}_]+
 WORD = "regexp_extract(text, '([A-Za-z]+)', 1)"
 PHRASE = "regexp_extract(text, '([A-Za-z]+ [a-z]+)', 1)"
 PAIRS = f"""refs AS (SELECT item_id, {WORD} AS word, {PHRASE} AS phrase, text AS reference FROM benchmark),
-pairs AS (SELECT doc_id, text, word, phrase, reference FROM documents JOIN refs ON item_id = doc_id % 40)"""
+pairs AS (SELECT doc_id, text, word, phrase, reference FROM documents JOIN refs ON item_id = doc_id % (SELECT count(*) FROM benchmark))"""
 QUOTED = "CASE item_id % 3 WHEN 0 THEN chr(39) || text || chr(39) WHEN 1 THEN '\"' || text || '\"' ELSE text || chr(39) END"
 
 
 def pairs(t):
     refs = t.benchmark.selectExpr("item_id", f"{WORD} AS word", f"{PHRASE} AS phrase", "text AS reference")
-    docs = t.documents.selectExpr("doc_id", "text", "doc_id % 40 AS item_id")
+    docs = t.documents.selectExpr("doc_id", "text", f"doc_id % {t.benchmark.count()} AS item_id")
     return docs.join(refs, "item_id")
 
 
@@ -72,7 +72,7 @@ def answers_scored(t):
         f"map('must_include', array({WORD} || ' |OR| the', 'th e |OR| t h'), 'must_exclude', array('zzz'), "
         f"'one_of', array({PHRASE}, 'er ')) AS reference_answers",
     )
-    predictions = t.documents.selectExpr("doc_id", "doc_id % 40 AS task_id", "text AS answer")
+    predictions = t.documents.selectExpr("doc_id", f"doc_id % {t.benchmark.count()} AS task_id", "text AS answer")
     return score_answers(predictions, configs).select("doc_id", "score")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.operators import audits as o
-from trailmark.plans import framed, numbered
+from trailmark.plans import numbered
 from trailmark.sources.readers import register_views
 
 BASE = r"regexp_replace(split_part(split_part({0}, '(', 1), '[', 1), '^\s+|\s+$', '', 'g')"
@@ -178,5 +178,4 @@ def task_profile(t):
 @query("checklist_timeline", "E29", """SELECT conv_id, turn, length(text) AS items, coalesce(length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS change FROM conversations""")
 def checklist_timeline(t):
     rows = t.conversations.select("conv_id", "turn", F.length("text").cast("long").alias("items"))
-    out = framed(rows, ["conv_id"], ["turn"], {"_prev": lambda w: F.lag("items").over(w)}, before=1)
-    return out.select("conv_id", "turn", "items", F.coalesce(F.col("items") - F.col("_prev"), F.lit(0)).alias("change"))
+    return o.checklist_timeline(rows, ["conv_id"], ["turn"], "items").select("conv_id", "turn", "items", "change")

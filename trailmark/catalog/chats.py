@@ -33,7 +33,7 @@ SEG = r"len(regexp_extract_all(content, '\p{L}{1,7}')) + len(regexp_extract_all(
 b AS (SELECT *, max(CASE WHEN pos = 1 THEN seg END) OVER (PARTITION BY conv_id) + sum(CASE WHEN pos > 1 THEN seg ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM s),
 f AS (SELECT conv_id, min(pos) AS start, arg_min(role, pos) AS start_role FROM b WHERE pos > 1 AND used < 600 GROUP BY 1),
 g AS (SELECT b.*, coalesce(CASE WHEN start_role = 'user' THEN start + 1 ELSE start END, n + 1) AS start FROM b LEFT JOIN f USING (conv_id))
-SELECT conv_id, turn, role, CASE WHEN pos = 1 AND start > 2 THEN content || chr(10) || chr(10) || '[NOTICE] ' || (start - 2) || ' messages are omitted.' ELSE content END AS content FROM g WHERE pos = 1 OR pos >= start""")
+SELECT conv_id, turn, CASE WHEN pos = 1 THEN 'user' ELSE role END AS role, CASE WHEN pos = 1 AND start > 2 THEN content || chr(10) || chr(10) || '[NOTICE] ' || (start - 2) || ' messages are omitted.' ELSE content END AS content FROM g WHERE pos = 1 OR pos >= start""")
 def keep_recent_messages(t):
     return c.keep_recent_messages(v.turns(t).select("conv_id", "turn", "role", "content"), budget=600)
 
@@ -108,7 +108,7 @@ def stitch_conversations(t):
 
 @query("rebuild_conversations", "F11 U2")
 def rebuild_conversations(t):
-    return c.rebuild_conversations(halves(t)[0])
+    return c.rebuild_conversations(v.turns(t).select("conv_id", "turn", "role", F.expr(REPLIES).alias("content")))
 
 
 @query("next_step_records", "E28", "SELECT conv_id, '' || (turn + 1) AS step_id, text AS thought, role AS action FROM conversations")

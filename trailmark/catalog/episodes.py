@@ -68,12 +68,12 @@ def split_by_frames(t):
     return e.split_by_frames(rows, 200000, 50000, "shuffle")
 
 
-@query("mixture", "E24", """WITH o AS (SELECT source AS dataset, doc_id AS episode_id, n_chars AS length, (doc_id * 7919) % 100003 AS shuffle FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+@query("mixture", "E24", """WITH o AS (SELECT source AS dataset, doc_id AS episode_id, n_chars AS length, (doc_id * 7919) % 100003 AS shuffle FROM documents),
 s AS (SELECT *, sum(length) OVER (PARTITION BY dataset ORDER BY shuffle, episode_id ROWS UNBOUNDED PRECEDING) AS cum FROM o)
-SELECT dataset, episode_id, length FROM s WHERE cum - length < CASE dataset WHEN 'src1' THEN 20000 WHEN 'src2' THEN 12000 ELSE 8000 END""")
+SELECT dataset, episode_id, length FROM s WHERE cum - length < (CAST(substr(dataset, 4) AS INT) + 1) * 400""")
 def mixture(t):
     rows = t.documents.selectExpr("source AS dataset", "doc_id AS episode_id", "n_chars AS length", "(doc_id * 7919) % 100003 AS shuffle")
-    return e.mixture(rows, {"src1": 0.5, "src2": 0.3, "src3": 0.2}, 40000, "shuffle")
+    return e.mixture(rows, {f"src{i}": (i + 1) / 256 for i in range(20)}, 102400, "shuffle")
 
 
 @query("sliding_clips", "E20", f"WITH {FRAMES}, c AS (SELECT episode_id, t, list(event_id) OVER (PARTITION BY episode_id ORDER BY t ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS clip FROM fr) SELECT episode_id, t, array_to_string(clip, ',') AS clip FROM c WHERE len(clip) = 16")

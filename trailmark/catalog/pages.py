@@ -54,7 +54,7 @@ def render_tree(t):
     return tr.render_tree(nodes(t))
 
 
-@query("keep_neighbourhood", "G3", f"""WITH RECURSIVE {NODES}, k AS (SELECT page_id, node_id FROM nodes WHERE node_id IN (20, 57)),
+@query("keep_neighbourhood", "G3", f"""WITH RECURSIVE {NODES}, k AS (SELECT page_id, node_id FROM nodes WHERE node_id % 37 = 20),
 paths AS (SELECT page_id, node_id, lpad('' || ord, 10, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT c.page_id, c.node_id, p.path || '/' || lpad('' || c.ord, 10, '0') FROM nodes c JOIN paths p ON p.page_id = c.page_id AND p.node_id = c.parent_id),
 a AS (SELECT page_id, node_id AS seed, node_id AS at_, 0 AS d FROM k UNION ALL SELECT a.page_id, seed, n.parent_id, d + 1 FROM a JOIN nodes n ON n.page_id = a.page_id AND n.node_id = a.at_ WHERE d < 2 AND n.parent_id IS NOT NULL),
 c AS (SELECT page_id, node_id AS seed, node_id AS at_, 0 AS d FROM k UNION ALL SELECT c.page_id, seed, n.node_id, d + 1 FROM c JOIN nodes n ON n.page_id = c.page_id AND n.parent_id = c.at_ WHERE d < 2),
@@ -64,7 +64,7 @@ sb AS (SELECT s.page_id, s.node_id FROM k JOIN ix m USING (page_id, node_id) JOI
 SELECT page_id, node_id FROM k UNION SELECT page_id, at_ FROM a UNION SELECT page_id, at_ FROM cr WHERE n <= 5 UNION SELECT page_id, node_id FROM sb""")
 def keep_neighbourhood(t):
     rows = nodes(t)
-    return tr.keep_neighbourhood(rows, rows.where("node_id IN (20, 57)"), 1, 5, 1)
+    return tr.keep_neighbourhood(rows, rows.where("node_id % 37 = 20"), 1, 5, 1)
 
 
 COMMENTS = "cm AS (SELECT event_id % 20 AS post_id, event_id // 20 AS comment_id, CASE WHEN event_id // 20 > 0 THEN (event_id // 20 - 1) // 3 END AS parent_id, 'u' || (user_id % 10) AS username, event_type AS content, ts AS time FROM events)"
@@ -125,12 +125,12 @@ def box_text_lines(t):
     return b.text_lines(boxes(t), 0, 0, 1280, 720)
 
 
-LABELS = "lb AS (SELECT l_suppkey AS page_id, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id, l_extendedprice / 10 AS x1, l_quantity * 60 AS y1, l_extendedprice / 10 + 20 AS x2, l_quantity * 60 + 12 AS y2 FROM lineitem WHERE l_linestatus = 'F')"
+LABELS = "lb AS (SELECT l_suppkey AS page_id, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id, l_extendedprice / 10 AS x1, l_quantity * 60 AS y1, l_extendedprice / 10 + 20 AS x2, l_quantity * 60 + 12 AS y2 FROM lineitem)"
 
 
 @query("label_overlaps", "C11", f"WITH {LABELS} SELECT DISTINCT a.page_id, a.id FROM lb a JOIN lb b ON a.page_id = b.page_id AND b.id < a.id AND NOT (a.x2 < b.x1 + 4 OR a.x1 > b.x2 - 4 OR a.y1 > b.y2 - 4 OR a.y2 < b.y1 + 4)")
 def label_overlaps(t):
-    rows = t.lineitem.where("l_linestatus = 'F'").selectExpr("l_suppkey AS page_id", "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id", "l_extendedprice / 10 AS x1", "l_quantity * 60 AS y1", "l_extendedprice / 10 + 20 AS x2", "l_quantity * 60 + 12 AS y2")
+    rows = t.lineitem.selectExpr("l_suppkey AS page_id", "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id", "l_extendedprice / 10 AS x1", "l_quantity * 60 AS y1", "l_extendedprice / 10 + 20 AS x2", "l_quantity * 60 + 12 AS y2")
     return b.label_overlaps(rows, 4, 20).select("page_id", "id")
 
 

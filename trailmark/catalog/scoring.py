@@ -6,7 +6,6 @@ from trailmark.catalog.registry import query
 from trailmark.operators import scoring as s
 from trailmark.operators import tasks as k
 from trailmark.operators.episodes import every_nth as every_nth_row
-from trailmark.plans import numbered
 from trailmark.sources.readers import run_log_results, task_scores_from_json
 
 RATE = "count(*) AS total, count(*) FILTER (success) AS success, count(*) FILTER (NOT success) AS fail, round_even(count(*) FILTER (success)::DOUBLE / count(*), 4) * 100 AS success_rate"
@@ -140,7 +139,7 @@ def write_manifest(t):
 
 
 UPSERT = """tgt AS (SELECT o_custkey AS id, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'lite' ELSE '' END AS src FROM orders WHERE o_orderstatus = 'O'),
-base AS (SELECT o_custkey AS id, max(o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), want AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12),
+base AS (SELECT o_custkey AS id, max(o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), want AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12),
 lastp AS (SELECT id, max(pos) AS last FROM tgt GROUP BY id)"""
 
 
@@ -150,11 +149,11 @@ FROM tgt JOIN lastp ON lastp.id = tgt.id LEFT JOIN want w ON w.id = tgt.id
 UNION ALL SELECT w.id, b.pos, CASE WHEN b.pos IS NULL THEN NULL ELSE 'web' END, CASE WHEN b.pos IS NULL THEN 'missing' ELSE 'added' END FROM want w ANTI JOIN lastp ON lastp.id = w.id LEFT JOIN base b ON b.id = w.id""")
 def upsert_tasks(t):
     def part(status):
-        return t.orders.where(F.col("o_orderstatus") == status).selectExpr(
+        return t.orders.where(f"o_orderstatus {status}").selectExpr(
             "o_custkey AS id", "o_orderkey AS pos", "CASE WHEN o_orderkey % 2 = 0 THEN array('lite') ELSE cast(array() as array<string>) END AS sources")
 
     wanted = t.customer.where("c_nationkey < 12").selectExpr("c_custkey AS id")
-    out = k.upsert_tasks(part("O"), part("F"), wanted, "id", "pos", "web")
+    out = k.upsert_tasks(part("= 'O'"), part("<> 'O'"), wanted, "id", "pos", "web")
     return out.withColumn("sources", F.array_join("sources", ","))
 
 
@@ -215,12 +214,9 @@ def first_by_position(t):
     return k.first_by_position(t.conversations.select("role", "conv_id", "turn"), ["role", "conv_id"], "turn")
 
 
-@query("every_nth", "F6", "SELECT doc_id, pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents) WHERE (pos - 1) % 7 = 0")
+@query("every_nth", "F6", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents) WHERE (pos - 1) % 7 = 0")
 def every_nth(t):
-
-
-    rows = numbered(t.documents.select("doc_id"), [], ["doc_id"], "pos")
-    return every_nth_row(rows, ["doc_id"], 7)
+    return every_nth_row(t.documents.select("doc_id"), ["doc_id"], 7)
 
 
 @query("limit_rows", "F6", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")

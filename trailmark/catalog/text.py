@@ -6,6 +6,7 @@ from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.functions import geometry, text, urls
 from trailmark.functions import messages as m
+from trailmark.operators.tasks import valid_samples as valid_sample_rows
 
 
 @query("safe_int", "B1", """WITH s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' ' || n_chars || ' ' WHEN 1 THEN n_chars || '.7'
@@ -175,5 +176,4 @@ def ordered_quantity(t):
 def valid_samples(t):
     samples = t.lineitem.withColumn("distance", F.col("l_discount") * 10).withColumn(
         "instruction", F.when(F.col("l_returnflag") == "R", "This is an invalid example").otherwise("fix it"))
-    kept = samples.where((F.col("distance") >= 0.2) & ~F.col("instruction").contains("This is an invalid example"))
-    return kept.select("l_orderkey", "l_linenumber", "l_partkey")
+    return valid_sample_rows(samples, 0.2).select("l_orderkey", "l_linenumber", "l_partkey")
