@@ -1,4 +1,4 @@
-"""Readers and sinks on small files in the reference layouts."""
+"""Readers and sinks on small files in the stored layouts."""
 
 import json
 from datetime import datetime

@@ -240,3 +240,11 @@ def test_overlap_rule(spark):
 def test_log_results(spark, log, want):
     logs = spark.createDataFrame([("f", log)], "file STRING, log STRING")
     assert {r.task_id: r.success for r in readers.run_log_results(logs, "file", "log").collect()} == want
+
+
+def test_equal_action_texts_stop_a_run(spark):
+    rows = [(1, i, "TYPE", f"k{i}", "type [1] [x]" if i > 2 else f"go {i}") for i in range(6)]
+    actions = spark.createDataFrame(rows, "task_id BIGINT, step_no BIGINT, action_type STRING, key STRING, raw STRING")
+    assert chats.stop_reasons(actions, ["step_no"], repeat=3).count() == 0
+    got = chats.stop_reasons(actions, ["step_no"], repeat=3, text="raw").collect()
+    assert [(r.step_no, r.reason) for r in got] == [(5, "same_action")]

@@ -316,13 +316,17 @@ def trace_rows(states: DataFrame) -> DataFrame:
     )
 
 
-def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, parse: int = 3, repeat: int = 5) -> DataFrame:
+def stop_reasons(
+    actions: DataFrame, order: list[str], max_steps: int = 30, parse: int = 3, repeat: int = 5, text: str | None = None
+) -> DataFrame:
     """First step of every task at which the run should have stopped, with the reason.
 
     ``actions`` has task_id, step_no, action_type (null when parsing failed) and key.  Reasons: the step
     limit, ``parse`` failures in a row, ``repeat`` equal actions in a row, or a typing action seen ``repeat``
-    times in all.
+    times in all.  With ``text``, a column of action strings, equal strings in a row count whatever the
+    action, and typing has no rule of its own.
     """
+    key = text or "key"
     near = max(parse, repeat) - 1
     sizes = measure(actions, ["task_id"])
     failed = F.col("action_type").isNull()
@@ -330,9 +334,9 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
         actions.withColumn("_failed", failed.cast("int")), ["task_id"], order,
         {
             "_fails": lambda w: F.sum("_failed").over(w.rowsBetween(-(parse - 1), 0)),
-            "_same_min": lambda w: F.min(F.coalesce("key", F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
-            "_same_max": lambda w: F.max(F.coalesce("key", F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
-            "_window": lambda w: F.count("key").over(w.rowsBetween(-(repeat - 1), 0)),
+            "_same_min": lambda w: F.min(F.coalesce(key, F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
+            "_same_max": lambda w: F.max(F.coalesce(key, F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
+            "_window": lambda w: F.count(key).over(w.rowsBetween(-(repeat - 1), 0)),
         },
         before=near, sizes=sizes,
     )
@@ -340,7 +344,9 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
     typing = marked.where("action_type = 'TYPE' AND key IS NOT NULL")
     counted = numbered(typing, ["task_id", "key"], order, "_seen").where(F.col("_seen") >= repeat)
     typed = counted.groupBy("task_id").agg(F.min("step_no").alias("step_no")).withColumn("reason", F.lit("typing"))
-    same = (F.col("_same_min") == F.col("_same_max")) & (F.col("_window") == repeat) & ~F.coalesce(F.col("action_type") == "TYPE", F.lit(False))
+    same = (F.col("_same_min") == F.col("_same_max")) & (F.col("_window") == repeat)
+    if text is None:
+        same = same & ~F.coalesce(F.col("action_type") == "TYPE", F.lit(False))
     reason = (
         F.when(F.col("step_no") >= max_steps, "max_steps")
         .when((F.col("_fails") >= parse) & (F.col("step_no") >= parse), "parse_failures")
@@ -349,7 +355,7 @@ def stop_reasons(actions: DataFrame, order: list[str], max_steps: int = 30, pars
     hits = marked.withColumn("reason", reason).where("reason IS NOT NULL").select("task_id", "step_no", "reason")
     priority = F.array_position(F.array(*[F.lit(x) for x in ("max_steps", "parse_failures", "same_action", "typing")]), F.col("reason"))
     return (
-        hits.unionByName(typed)
+        (hits if text else hits.unionByName(typed))
         .groupBy("task_id")
         .agg(F.min("step_no").alias("step_no"), F.min_by("reason", F.struct("step_no", priority)).alias("reason"))
     )

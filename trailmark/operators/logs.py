@@ -19,17 +19,19 @@ LOGGED_OUT_TEXTS = (
 
 def log_blocks(logs: DataFrame, file: str, text: str) -> DataFrame:
     """One row per block of a log file: from a ``[Config file]`` line to the next one."""
-    rows = F.split(text, "\n")
-    marked = logs.select(file, rows.alias("_rows"))
+    marked = logs.select(file, F.split(text, "\n").alias("_rows"))
     marks = F.array_compact(F.transform("_rows", lambda x, i: F.when(x.contains("[Config file]"), i + 1)))
     placed = marked.withColumn("_marks", marks)
-    flat = placed.select(file, "_rows", "_marks", F.posexplode("_marks").alias("block", "_start"))
-    end = F.coalesce(F.get("_marks", F.col("block") + 1), F.size("_rows") + 1)
-    size = end - F.col("_start")
+    # Blocks are cut out before they become rows, so a row holds its own lines only.
+    ends = F.concat(F.slice("_marks", 2, F.greatest(F.size("_marks") - 1, F.lit(0))), F.array(F.size("_rows") + 1))
+    cut = F.transform(
+        F.arrays_zip(F.col("_marks").alias("a"), ends.alias("b")), lambda m: F.slice("_rows", m["a"], m["b"] - m["a"])
+    )
+    flat = placed.where(F.size("_marks") > 0).select(file, F.posexplode(cut).alias("block", "_lines"))
     return flat.select(
         file, "block",
-        F.regexp_extract(F.element_at("_rows", F.col("_start")), r"([^/.]*)(?:\.[^/]*)?$", 1).try_cast("int").alias("task_id"),
-        size.alias("n_lines"), F.array_join(F.slice("_rows", F.col("_start"), size), "\n").alias("text"),
+        F.regexp_extract(F.element_at("_lines", 1), r"([^/.]*)(?:\.[^/]*)?$", 1).try_cast("int").alias("task_id"),
+        F.size("_lines").alias("n_lines"), F.array_join("_lines", "\n").alias("text"),
     )
 
 

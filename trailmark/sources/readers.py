@@ -1,4 +1,4 @@
-"""Readers: files of the reference layouts as DataFrames with fixed schemas."""
+"""Readers: files of the stored layouts as DataFrames with fixed schemas."""
 
 from __future__ import annotations
 
@@ -255,15 +255,16 @@ def complete_episodes(files: DataFrame, required: tuple[str, ...] = EPISODE_FILE
 
 
 def scan_episodes(spark: SparkSession, root: str) -> DataFrame:
-    """Complete episode folders below ``root`` with their stored length."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Complete episode folders below ``root`` with their stored length.
+
+    The listing reads no contents; only the ``len.txt`` files are opened, in a read of their own.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     relative = F.regexp_extract(F.col("path"), r"/([^/]+/(?:frames/)?[^/]+)$", 1)
-    files = listing.select(
-        F.substring_index(relative, "/", 1).alias("episode_id"),
-        F.element_at(F.split(relative, "/"), 2).alias("name"),
-        F.when(F.col("path").endswith("/len.txt"), F.col("content").cast("string")).alias("text"),
-    )
-    return complete_episodes(files)
+    where = [F.substring_index(relative, "/", 1).alias("episode_id"), F.element_at(F.split(relative, "/"), 2).alias("name")]
+    names = listing.load(root).select(*where, F.lit(None).cast("string").alias("text"))
+    lengths = listing.option("pathGlobFilter", "len.txt").load(root).select(*where, F.col("content").cast("string").alias("text"))
+    return complete_episodes(names.union(lengths))
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
