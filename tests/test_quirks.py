@@ -248,3 +248,21 @@ def test_equal_action_texts_stop_a_run(spark):
     assert chats.stop_reasons(actions, ["step_no"], repeat=3).count() == 0
     got = chats.stop_reasons(actions, ["step_no"], repeat=3, text="raw").collect()
     assert [(r.step_no, r.reason) for r in got] == [(5, "same_action")]
+
+
+def test_stitch_rebuilt(spark):
+    edit, done = 'Action: edit_rule("#a", "color", "red")', "You have successfully edited the rule."
+    failed = [("user", "task"), ("agent", edit), ("user", done), ("agent", "Action: look at #a")]
+    success = [("user", "task"), ("agent", "x"), ("user", "y"), ("agent", edit), ("user", done), ("agent", "finish()")]
+    frame = lambda rows: spark.createDataFrame(
+        [(k, i, r, m) for k, told in rows for i, (r, m) in enumerate(told)], "conv_id BIGINT, turn BIGINT, role STRING, content STRING"
+    )
+    closed = failed[:3]
+    rich = success[:5] + [("agent", 'Action: edit_rule("#b", "top", "1")'), ("user", done)]
+    got = chats.stitch_rebuilt(frame([(1, failed), (2, closed), (3, failed)]), frame([(1, success), (2, success), (3, rich)]))
+    rows = got.orderBy("conv_id", "part", "pos", "sub").collect()
+    assert {r.conv_id for r in rows} == {1}
+    texts = [(r.part, r.content) for r in rows]
+    assert [t for p, t in texts if p == "failed"][:3] == ["task", edit, done]
+    assert "revert_last_edit()" in texts[3][1] and texts[4][1] == "You have successfully reverted the last edit."
+    assert [t for p, t in texts if p == "success"] == [edit, done, "finish()"] and len(texts) == 8

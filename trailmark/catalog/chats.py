@@ -106,6 +106,11 @@ def stitch_conversations(t):
     return c.stitch_conversations(*halves(t))
 
 
+@query("stitch_rebuilt", "F11 U2")
+def stitch_rebuilt(t):
+    return c.stitch_rebuilt(*halves(t))
+
+
 @query("rebuild_conversations", "F11 U2")
 def rebuild_conversations(t):
     return c.rebuild_conversations(v.turns(t).select("conv_id", "turn", "role", F.expr(REPLIES).alias("content")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import actions as a
 from trailmark.functions.text import increment_step, segments, token_estimate
+from trailmark.plans.lineage import cut
 from trailmark.plans.lookups import attach
 from trailmark.plans.sequences import GroupSizes, Scan, framed, measure, numbered, running, settle
 
@@ -226,13 +227,30 @@ def revert_sentence(*keys: str) -> Column:
     return F.get(choices, F.pmod(F.xxhash64(*keys), F.lit(len(REVERT_THOUGHTS))).cast("int"))
 
 
-def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
+def stitch_rebuilt(failed: DataFrame, success: DataFrame, head: int = 3, count_edits: int = 2) -> DataFrame:
+    """Rebuilt failed runs followed by the successful run from message ``head`` on.
+
+    For inputs whose successful run holds at most one successful edit, and whose failed run ends in an unanswered
+    look at a selector of its edits; the other inputs are left out.  ``sub`` orders added messages after their call.
+    """
+    of_success = sized(success)
+    clean = settle(drop_repeated_actions(success, of_success), of_success)
+    poor = edit_counts(clean, of_success).where("edits <= 1").select(*KEY)
+    rebuilt = rebuild_conversations(failed.join(poor, KEY, "left_semi"), count_edits, flagged_only=True)
+    rebuilt = cut(rebuilt.select(*KEY, F.lit("failed").alias("part"), "pos", "sub", "role", "content"))
+    rest = numbered(clean, KEY, ORDER, "pos", of_success).where(F.col("pos") > head)
+    rest = rest.join(rebuilt.select(*KEY).distinct(), KEY, "left_semi")
+    return rebuilt.unionByName(rest.select(*KEY, F.lit("success").alias("part"), "pos", F.lit(0).alias("sub"), "role", "content"))
+
+
+def rebuild_conversations(turns: DataFrame, count_edits: int = 2, flagged_only: bool = False) -> DataFrame:
     """A failed run cut down to its first edits, each followed by its revert.
 
     Repeated actions are dropped first.  Messages then form pairs of an agent call and its reply.  Kept are:
     everything before the first agent message, edit calls until ``count_edits`` of them were confirmed by an
     image reply, the revert after such an edit (or an added one), and look-ups that mention the selector of
-    one of the first ``count_edits + 1`` edits; of the other calls only the first.
+    one of the first ``count_edits + 1`` edits; of the other calls only the first.  A call without a reply is left
+    out.  With ``flagged_only``, only runs whose last message is such a call that mentions a selector are rebuilt.
     """
     sizes = sized(turns)
     clean = settle(numbered(drop_repeated_actions(turns, sizes), KEY, ORDER, "_pos", sizes), sizes)
@@ -281,7 +299,12 @@ def rebuild_conversations(turns: DataFrame, count_edits: int = 2) -> DataFrame:
     )
     keep_call = is_agent & active & (is_edit | related | (F.col("_other") & (F.col("_others") <= 1)))
     keep_call = (keep_call & ~reverts_done) | (reverts_done & (F.coalesce(F.col("_done_before"), F.lit(0)) <= count_edits))
-    called = settle(ranked, sizes).withColumn("_keep", keep_call)
+    answered = F.col("_next").isNotNull()
+    ranked = settle(ranked, sizes)
+    if flagged_only:
+        open_end = is_agent & ~answered & active & ~is_edit & ~looks_up & related
+        ranked = ranked.join(ranked.where(open_end).select(*KEY).distinct(), KEY, "left_semi")
+    called = ranked.withColumn("_keep", keep_call & answered)
     replied = running(
         called, KEY, ORDER,
         {"_call_kept": Scan("last", F.when(F.col("role") == "agent", F.col("_keep").cast("int")), exclusive=True)},
