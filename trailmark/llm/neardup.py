@@ -10,9 +10,10 @@ coordinates, so the cost per text is its length plus k log k.
 2. Bands of the signature are buckets. A bucket's members are joined to its smallest and largest key, never to each
    other; Spark combines the two keys before the shuffle, so a bucket may hold any share of the corpus.
 3. Every candidate pair is verified on all shingles; pairs of at least ``SIMILARITY`` are links.
-4. Buckets whose members fall into several components are asked again, one member of each component against one of
-   another that the round chooses by hash, until a round finds no new link.
-5. Components by alternating large and small stars. Tables between rounds are written to the shared folder.
+4. Where the members of a bucket still belong to several components, all members outside its commonest component are
+   compared with all of other components, in blocks of at most ``BLOCK`` members a task; only links that join components
+   are returned. So every pair that shares a bucket is connected or has been verified.
+5. Components by alternating large and small stars. Tables between steps are written to the shared folder.
 
 Two texts of similarity s share a band with probability 1 - (1 - s^6)^32: 0.99994 at 0.8. Keys have 64 bits; among n
 different texts about n^2 / 2^65 pairs get the same key by chance.
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import ascii_words, slices
+from trailmark.llm.common import ascii_words, map_batches, ship_package, slices
 from trailmark.plans.lineage import store
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 512
 #: Area of darts that a text's signature needs: k ln k fills all coordinates on average, 4 k more nearly surely.
 AREA = COORDINATES * (math.log(COORDINATES) + 4)
 _RANK_BITS = 40
@@ -173,20 +176,90 @@ def sketch(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 made = [pa.array(key), nested(found, np.where(units > 0, BANDS, 0)), nested(small[new], size)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar enough."""
-    wanted = store(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
-    units = sketches.select("key", "units").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    units = store(units, "units")
+def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar enough; ``units`` has one row per key."""
     both = pairs.join(units.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a")
     both = both.join(units.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
     shared = F.size(F.array_intersect("ua", "ub"))
     return both.filter(shared >= similarity * (F.size("ua") + F.size("ub") - shared)).select("a", "b")
 
 
+def _similar(left: np.ndarray, right: np.ndarray, units: list[np.ndarray], similarity: float, width: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of ``left`` and one of ``right`` that are similar enough; shared units by matrix products."""
+    rows = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    values, column, often = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[often[column[order]] > 1]
+    rows, column = rows[order], np.unique(column[order], return_inverse=True)[1]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        begin, end = np.searchsorted(column, [low, low + width])
+        part = np.zeros((len(units), width), np.float32)
+        part[rows[begin:end], column[begin:end] - low] = 1
+        shared += part[left] @ part[right].T
+    size = np.array([len(u) for u in units], np.float32)
+    union = size[left][:, None] + size[right][None, :] - shared
+    return np.nonzero(shared >= similarity * union)
+
+
+def spanning_links(members: DataFrame, units: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links between members (bucket, key, root) of one bucket with different roots, all such pairs being compared.
+
+    The members outside a bucket's commonest root are dealt into blocks, and so are all members; a task compares one
+    block with another, so it holds at most two blocks however many members the bucket has, and returns at most as many
+    links as it joins components. Members of one root are not compared.
+    """
+    counts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    whole = whole.filter("roots > 1 AND n > 3").select(
+        "bucket", F.col("most.root").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("opens"),
+    )
+    rows = members.join(store(whole, "split"), "bucket")
+    is_open, place = F.col("root") != F.col("main"), F.xxhash64("key")
+    own = F.transform(F.sequence(F.lit(0), F.col("opens") - 1), lambda i: F.struct(
+        i.alias("i"), F.pmod(place, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.pmod(place, F.col("opens")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    single = (F.col("blocks") == 1) & (F.col("opens") == 1)
+    dealt = F.when(single, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), is_open.alias("asks")))).otherwise(
+        F.concat(own, F.when(is_open, asks).otherwise(F.slice(asks, 1, 0)))
+    )
+    single = single.alias("single")
+    rows = rows.select("bucket", "key", "root", single, F.inline(dealt)).join(units, "key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+        asks = table.column("asks").to_numpy()
+        nested = table.column("units").combine_chunks()
+        units = np.split(nested.flatten().to_numpy(), np.cumsum(nested.value_lengths().to_numpy())[:-1])
+        left = np.flatnonzero(asks)
+        right = np.arange(len(key)) if table.column("single")[0].as_py() else np.flatnonzero(~asks)
+        found = [(left[a], right[b]) for a, b in zip(*(x.tolist() for x in _similar(left, right, units, similarity)))] if len(left) and len(right) else []
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for x, y in found:
+            p, q = top(root[x]), top(root[y])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(key[x])
+                b.append(key[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    ship_package(members.sparkSession)
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for every key of a link: the smallest key of its component, by alternating large and small stars."""
     edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -214,29 +287,20 @@ def similar_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> Data
     rows = sketches.select("key", F.explode("buckets").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     full = store(rows.join(hubs, "bucket").distinct(), "buckets")
+    wanted = full.select("key").distinct()
+    units = store(sketches.select("key", "units").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "units")
     pairs = full.select(F.explode(F.array("low", "high")).alias("a"), F.col("key").alias("b")).filter("a <> b")
-    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = store(verified(pairs, sketches, similarity), "links")
-    classes = store(components(links), "classes")
-    round_ = 0
-    while True:
-        round_ += 1
-        order = F.xxhash64("root", F.lit(round_))
-        members = full.select("bucket", "key").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        split = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        one = members.join(split.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").agg(
-            F.min_by("key", F.xxhash64("key", F.lit(round_))).alias("key")
-        )
-        one = store(one.withColumn("place", order), "delegates")
-        hub = one.groupBy("bucket").agg(F.min_by("key", "place").alias("a"), F.max_by("key", "place").alias("c"))
-        more = one.join(hub, "bucket").select(F.explode(F.array("a", "c")).alias("a"), F.col("key").alias("b")).filter("a <> b")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = store(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        new = store(verified(more, sketches, similarity), "links")
-        if new.isEmpty():
-            return classes
-        links, pairs = links.union(new), pairs.union(more)
-        classes = store(components(links), "classes")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    classes = store(components(verified(pairs, units, similarity)), "classes")
+    members = full.select("bucket", "key").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    members = store(members, "members")
+    more = spanning_links(members, units, similarity)
+    root = members.select("key", "root").distinct()
+    more = more.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b")
+    joined = store(components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "joined")
+    old = classes.join(joined.toDF("root", "new"), "root", "left").select("key", F.coalesce("new", "root").alias("root"))
+    alone = joined.join(classes.select("key"), "key", "left_anti")
+    return store(old.union(alone.select("key", "root")), "classes")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
