@@ -108,7 +108,12 @@ def stitch_conversations(t):
 
 @query("stitch_rebuilt", "F11 U2")
 def stitch_rebuilt(t):
-    return c.stitch_rebuilt(*halves(t))
+    told = v.turns(t).select("conv_id", "turn", "role", "content")
+    first = told.where("role = 'agent'").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    edited = told.join(first, "conv_id").select("conv_id", "turn", "role", F.expr("""CASE
+      WHEN role = 'user' THEN 'You have successfully edited the rule. ' || content
+      WHEN turn = first THEN 'Action: edit_rule("#n", "top", "1")' ELSE 'Action: look at #n ' || turn END""").alias("content"))
+    return c.stitch_rebuilt(edited, told)
 
 
 @query("rebuild_conversations", "F11 U2")
