@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (cores), BENCH_QUERIES (names, or "all").
+Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (cores), BENCH_QUERIES (names, or "all"), BENCH_BLOCK_ROWS (groups
+above so many rows are split, to time the split plans on small tables).
 Every query is built and written to the no-op sink once, so the whole result is computed.
 """
 
@@ -41,6 +42,8 @@ def session(cores: str) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("BENCH_BLOCK_ROWS"):
+        spark.conf.set("trailmark.blockRows", os.environ["BENCH_BLOCK_ROWS"])
     return spark
 
 
