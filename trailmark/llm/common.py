@@ -30,8 +30,18 @@ _WORD_BYTES = bytes(
 _SHIPPED: set[str] = set()
 
 
+#: Rows that Spark hands to a Python worker at a time; whole texts make Spark's own default too much for one task.
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of a session once, so that they need no installation of it."""
+    """Send this package to the Python workers of a session once, so that they need no installation of it.
+
+    The session's Arrow batches are made smaller, where they are larger than ``BATCH_ROWS``.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_CONF, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -184,7 +194,7 @@ class ChunkEncoder:
     all other new chunks through the whole tokenizer.
     """
 
-    LONGEST, MOST = 64, 800_000
+    LONGEST, MOST = 64, 400_000
 
     def __init__(self, path: str, splitter: Splitter) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

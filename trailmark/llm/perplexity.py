@@ -6,8 +6,9 @@ Spark counts the n-grams (per task first, then by key); the estimates are kept a
 its number in base 40, with which no two n-grams collide.
 
 A document is kept when its base counts pass and its mean log-perplexity lies in the band of its language: the median
-over the language's passing documents, plus or minus ``WIDTH`` robust deviations and an allowance that falls with the
-square root of the length. Medians come from counts of 0.001-wide bins, so they are exact for the bins and repeatable.
+over the language's passing documents, plus or minus ``MARGIN`` and ``WIDTH`` robust deviations. The mean of a short
+text scatters more, so deviations are those of one character, divided by the square root of the text's length. Medians
+come from counts of bins, so they are exact for the bins and repeatable.
 """
 
 from __future__ import annotations
@@ -20,19 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import slices
+from trailmark.llm.common import map_batches, slices
 from trailmark.plans.lineage import store
 
 CLASSES, ORDER, EDGE = 40, 4, 39
-#: Robust deviations from the median that are still in the band, and the smallest deviation that is used.
-WIDTH, LEAST_DEVIATION = 6.0, 0.02
-#: Allowance in nats times the square root of the number of characters.
-SHORT_TEXT = 4.0
+#: Robust deviations from the median that are still in the band, and the smallest deviation of a character that is used.
+WIDTH, LEAST_DEVIATION = 5.0, 0.5
+#: Nats that are allowed besides, for passages of another kind.
+MARGIN = 0.03
 #: Base rules: at least so many words; at most so many of a hundred words in repeated windows of so many words.
 LEAST_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
 #: The white space and the symbols that the base counts name.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-BIN = 1000
+#: Bins of log-perplexity, and of its distance from the median for one character, to the nat.
+BIN, DISTANCE_BIN = 1_000, 100
 
 BASE = [
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()),
@@ -91,11 +93,12 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
         for batch in batches:
             for part in slices(batch, text):
                 number, _, edges = ngrams(part.column(text).to_pylist())
-                total += np.bincount(np.delete(number, edges), minlength=len(total))
+                number[edges] = -1
+                total += np.bincount(number[number >= 0], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["ngram", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "ngram int, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select(text), run, "ngram int, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     number, n = found.column("ngram").to_numpy().astype(np.int64), found.column("n").to_numpy()
     order = np.argsort(number)
@@ -136,14 +139,15 @@ class KneserNey:
 
     def table(self) -> np.ndarray:
         """Natural log of the estimate of every possible n-gram, by its number."""
-        estimate = lower = np.full(CLASSES, 1 / CLASSES)
+        estimate = lower = np.full(CLASSES, 1 / CLASSES, np.float32)
         for order, (keys, share, contexts, left) in enumerate(self.orders):
-            weight = np.ones(CLASSES**order)
+            weight = np.ones(CLASSES**order, np.float32)
             weight[contexts] = left
-            estimate = lower * np.repeat(weight, CLASSES)
+            estimate = np.repeat(weight, CLASSES)
+            estimate *= lower
             estimate[keys] += share
-            lower = np.tile(estimate, CLASSES)
-        return np.log(estimate).astype(np.float32)
+            lower = np.tile(estimate, CLASSES) if order + 1 < ORDER else estimate
+        return np.log(estimate, out=estimate)
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -184,12 +188,12 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
 
 def _measure(texts: list[str | None], table: np.ndarray) -> list[pa.Array]:
     number, first, edges = ngrams(texts)
-    logs = table[number].astype(np.float64)
+    logs = table[number]
     logs[edges] = 0
     scored = np.array([len(t or "") + 1 for t in texts], np.int64)
     made = list(zip(*map(base_counts, texts)))
     out = [pa.array(x, pa.int64()) for x in made[:5]]
-    return [*out, pa.array(made[5], pa.bool_()), pa.array(scored), pa.array(-np.add.reduceat(logs, first) / scored)]
+    return [*out, pa.array(made[5], pa.bool_()), pa.array(scored), pa.array(-np.add.reduceat(logs, first, dtype=np.float64) / scored)]
 
 
 def measured(docs: DataFrame, model: KneserNey, keep: list[str], text: str = "text") -> DataFrame:
@@ -204,24 +208,24 @@ def measured(docs: DataFrame, model: KneserNey, keep: list[str], text: str = "te
                 made = _measure(part.column(text).to_pylist(), table)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 def language_bands(rows: DataFrame, lang: str) -> DataFrame:
     """(band_lang, middle, deviation) from the rows that pass the base rules; a row per language, stored."""
-    bins = rows.filter(~F.col("base_failed")).groupBy(F.col(lang).alias("band_lang"), F.round(F.col("log_perplexity") * BIN).alias("bin"))
-    bins = store(bins.agg(F.count("*").alias("n")), "bins")
-    middle = bins.groupBy("band_lang").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias("middle"))
-    away = bins.join(middle.withColumnRenamed("band_lang", "l"), F.col("band_lang").eqNullSafe(F.col("l")))
-    spread = away.groupBy("band_lang", "middle").agg(F.percentile(F.abs(F.col("bin") - F.col("middle")), F.lit(0.5), F.col("n")).alias("mad"))
-    return store(spread.select(
-        "band_lang", (F.col("middle") / BIN).alias("middle"),
-        F.greatest(F.col("mad") / BIN * 1.4826, F.lit(LEAST_DEVIATION)).alias("deviation"),
-    ), "bands")
+    passed = rows.filter(~F.col("base_failed")).select(F.col(lang).alias("band_lang"), "log_perplexity", "n_chars_scored")
+    bins = passed.groupBy("band_lang", F.round(F.col("log_perplexity") * BIN).alias("bin")).agg(F.count("*").alias("n"))
+    middle = bins.groupBy("band_lang").agg((F.percentile("bin", F.lit(0.5), F.col("n")) / BIN).alias("middle"))
+    middle = store(middle, "middle")
+    away = passed.join(middle.withColumnRenamed("band_lang", "_l"), F.col("band_lang").eqNullSafe(F.col("_l")))
+    distance = F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_chars_scored")
+    away = away.groupBy("band_lang", "middle", F.round(distance * DISTANCE_BIN).alias("bin")).agg(F.count("*").alias("n"))
+    spread = away.groupBy("band_lang", "middle").agg((F.percentile("bin", F.lit(0.5), F.col("n")) / DISTANCE_BIN).alias("mad"))
+    return store(spread.select("band_lang", "middle", F.greatest(F.col("mad") * 1.4826, F.lit(LEAST_DEVIATION)).alias("deviation")), "bands")
 
 
 def _in_band() -> Column:
-    allowance = F.col("deviation") * WIDTH + F.lit(SHORT_TEXT) / F.sqrt("n_chars_scored")
+    allowance = F.col("deviation") * WIDTH / F.sqrt("n_chars_scored") + MARGIN
     return ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= allowance, F.lit(True))
 
 
@@ -256,9 +260,9 @@ def keep_documents(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
             for part in slices(batch, "_text"):
                 made = _measure(part.column("_text").to_pylist(), table)
                 failed = made[5].to_numpy(zero_copy_only=False)
-                allowed = part.column("_deviation").fill_null(np.inf).to_numpy(zero_copy_only=False) * WIDTH
-                allowed = allowed + SHORT_TEXT / np.sqrt(made[6].to_numpy())
+                deviation = part.column("_deviation").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                allowed = deviation * WIDTH / np.sqrt(made[6].to_numpy()) + MARGIN
                 away = np.abs(made[7].to_numpy() - part.column("_middle").fill_null(0.0).to_numpy(zero_copy_only=False))
                 yield part.select(["_row"]).filter(pa.array(~failed & (away <= allowed)))
 
-    return held.mapInArrow(run, T.StructType([held.schema["_row"]])).select("_row.*")
+    return map_batches(held, run, T.StructType([held.schema["_row"]])).select("_row.*")
