@@ -137,21 +137,24 @@ def learn(docs: DataFrame, per_language: int = SAMPLE, entries: int = MODEL_ENTR
         found: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            lang, kind, token = zip(*found) if found else ((), (), ())
+            """The words counted so far and, from each distinct one, its n-grams."""
+            out: Counter = Counter()
+            for (lang, word), n in found.items():
+                out[lang, 0, word] = n
+                for k in range(1, LONGEST + 1):
+                    for gram in grams(word, k):
+                        out[lang, k, gram.encode("utf-8", "replace")] += n
+            lang, kind, token = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(token, pa.binary()), pa.array(list(found.values()), pa.int64())],
+                [pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(token, pa.binary()), pa.array(list(out.values()), pa.int64())],
                 names=["lang", "kind", "token", "n"],
             )
 
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                    for word, n in Counter(letter_words(text)).items():
-                        found[lang, 0, word] += n
-                        for k in range(1, LONGEST + 1):
-                            for gram in grams(word, k):
-                                found[lang, k, gram.encode("utf-8", "replace")] += n
-                if len(found) > 500_000:
+                    found.update((lang, word) for word in letter_words(text))
+                if len(found) > 300_000:
                     yield rows()
                     found.clear()
         yield rows()
