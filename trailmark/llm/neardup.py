@@ -208,7 +208,7 @@ def _similar(left: np.ndarray, right: np.ndarray, units: list[np.ndarray], simil
 def spanning_links(members: DataFrame, units: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links between members (bucket, key, root) of one bucket with different roots, all such pairs being compared.
 
-    The members outside a bucket's commonest root are dealt into blocks, and so are all members; a task compares one
+    The members outside a bucket's commonest root are dealt into blocks of about ``block``, and so are all; a task compares one
     block with another, so it holds at most two blocks however many members the bucket has, and returns at most as many
     links as it joins components. Members of one root are not compared.
     """
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], similarity: float = SIMILA
     placed = placed.withColumn("_class", F.coalesce("root", "key"))
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
     first = placed.groupBy("_class").agg(F.min(order).alias("_first"), F.count("*").alias("class_size"))
-    out = placed.join(first, "_class")
+    out = placed.join(store(first, "first"), "_class")
     return out.select(*keep, F.col("_first.k").alias("class_id"), "class_size", (F.col("_row") == F.col("_first.r")).alias("kept"))
 
 
