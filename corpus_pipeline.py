@@ -9,13 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontamination, langid, neardup, packing, perplexity
+from trailmark.llm import code_points, decontamination, langid, neardup, packing
 from trailmark.plans.lineage import store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's perplexity band go."""
-    return perplexity.keep_documents(docs)
+    return code_points.keep_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,9 +224,9 @@ def language_bands(rows: DataFrame, lang: str) -> DataFrame:
     return store(spread.select("band_lang", "middle", F.greatest(F.col("mad") * 1.4826, F.lit(LEAST_DEVIATION)).alias("deviation")), "bands")
 
 
-def _in_band() -> Column:
-    allowance = F.col("deviation") * WIDTH / F.sqrt("n_chars_scored") + MARGIN
-    return ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= allowance, F.lit(True))
+def _in_band(value: str = "log_perplexity", middle: str = "middle", deviation: str = "deviation") -> Column:
+    allowance = F.col(deviation) * WIDTH / F.sqrt("n_chars_scored") + MARGIN
+    return ~F.col("base_failed") & F.coalesce(F.abs(F.col(value) - F.col(middle)) <= allowance, F.lit(True))
 
 
 def quality_rules(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:

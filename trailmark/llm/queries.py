@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import (
-    decontamination, langid, licenses, neardup, packing, perplexity, quality, token_files, toxicity, url_rules,
+    code_points, decontamination, langid, licenses, neardup, packing, quality, token_files, toxicity, url_rules,
 )
 from trailmark.llm.common import remainder
 
@@ -76,7 +76,7 @@ def write_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return perplexity.quality_rules(table(spark, folder, "documents"), ["doc_id"])
+    return code_points.quality_rules(table(spark, folder, "documents"), ["doc_id"])
 
 
 @query("op8_near_duplicates")
