@@ -189,6 +189,9 @@ BARE = Splitter("bare", _bare, str, True)
 class ChunkEncoder:
     """Token ids of whole texts, with a bounded cache from pieces to ids.
 
+    With ``specials`` the literal of an added token gives its id, as the tokenizer does by itself: such texts go through
+    the whole tokenizer as they stand. Without, literals are plain text.
+
     A BPE tokenizer merges inside pre-tokens only, so the ids of a text are the joined ids of chunks that no pre-token
     crosses. Words repeat, so most pieces are found in the cache. New plain words go straight to the tokenizer's model,
     all other new chunks through the whole tokenizer.
@@ -196,11 +199,14 @@ class ChunkEncoder:
 
     LONGEST, MOST = 64, 400_000
 
-    def __init__(self, path: str, splitter: Splitter) -> None:
+    def __init__(self, path: str, splitter: Splitter, specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.literal = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.whole = Tokenizer.from_file(path) if added else None
         self.tokenizer.encode_special_tokens = True
         self.splitter, self.known = splitter, {}
         self.tokens, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
@@ -238,6 +244,8 @@ class ChunkEncoder:
         """Unsigned 32-bit ids in native (little-endian) order; null gives none."""
         if not text:
             return b""
+        if self.literal is not None and self.literal.search(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         pieces, known = self.splitter.pieces(text), self.known
         parts = list(map(known.get, pieces))
         if None in parts:
@@ -254,9 +262,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, splitter: Splitter) -> ChunkEncoder:
+def encoder(path: str, splitter: Splitter, specials: bool = False) -> ChunkEncoder:
     """One encoder per Python worker, kept between its tasks."""
-    key = (path, splitter.name)
+    key = (path, splitter.name, specials)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, splitter)
+        _ENCODERS[key] = ChunkEncoder(path, splitter, specials)
     return _ENCODERS[key]

@@ -51,13 +51,16 @@ def cut_lengths(n: int, size: int) -> list[int]:
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, splitter: Splitter = SPACED, size: int = 1024, end_id: int = 2,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", specials: bool = False,
 ) -> DataFrame:
-    """One row per piece of every document: its place in the document, length and the crc32 of its 32-bit ids."""
+    """One row per piece of every document: its place in the document, length and the crc32 of its 32-bit ids.
+
+    ``specials`` says whether literals of added tokens give their ids.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, splitter).encode
+        encode = encoder(tokenizer, splitter, specials).encode
         for batch in batches:
             for part in slices(batch, "text"):
                 row, piece, start, length, crc = [], [], [], [], []
@@ -224,10 +227,11 @@ def pack_pieces(
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, splitter: Splitter = SPACED, size: int = 1024, end_id: int = 2, **options
+    docs: DataFrame, tokenizer: str, splitter: Splitter = SPACED, size: int = 1024, end_id: int = 2,
+    specials: bool = False, **options
 ) -> DataFrame:
     """Tokenise and pack whole documents; a null text is an empty one, so it is one piece with the end id alone.
 
     Rows are packed one by one: repeated rows and null doc_ids keep their pieces. Extra columns are not read.
     """
-    return pack_pieces(store(token_pieces(docs, tokenizer, splitter, size, end_id), "pieces"), size, **options)
+    return pack_pieces(store(token_pieces(docs, tokenizer, splitter, size, end_id, specials=specials), "pieces"), size, **options)

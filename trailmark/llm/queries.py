@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query("op4_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), specials=True)
 
 
 #: Words of a text as a list, in DuckDB; A-Z lower-cased.
@@ -71,7 +71,7 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_token_files")
 def write_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return token_files.encode_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.encode_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
 
 
 @query("op7_quality_rules")

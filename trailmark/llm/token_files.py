@@ -179,7 +179,7 @@ def _index(number: np.ndarray, null: np.ndarray, counts: np.ndarray, width: int)
 
 def write_shards(
     docs: DataFrame, tokenizer: str, folder: str, splitter: Splitter = BARE, end_id: int = 2,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", specials: bool = False,
 ) -> DataFrame:
     """Write all documents in ascending key order and return the manifest, one row per shard that holds documents.
 
@@ -189,7 +189,7 @@ def write_shards(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, shard = encoder(tokenizer, splitter), TaskContext.get().partitionId()
+        tokens, shard = encoder(tokenizer, splitter, specials), TaskContext.get().partitionId()
         encode, width = tokens.encode, 2 if max(tokens.tokenizer.get_vocab_size(), end_id + 1) <= 2**16 else 4
         system, root = fs.FileSystem.from_uri(folder)
         out, own = None, f"{root}/.{shard}-{uuid.uuid4().hex}"
@@ -263,6 +263,9 @@ def read_shards(manifest: DataFrame, block: int = 4_096) -> DataFrame:
     return map_batches(place_shards(manifest), run, schema)
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, splitter: Splitter = BARE, end_id: int = 2) -> DataFrame:
+def encode_and_read(
+    docs: DataFrame, tokenizer: str, splitter: Splitter = BARE, end_id: int = 2, specials: bool = False
+) -> DataFrame:
     """Write the shards to a new folder of the shared place and read all documents back through the index."""
-    return read_shards(write_shards(docs, tokenizer, new_folder(docs.sparkSession, "ids"), splitter, end_id))
+    folder = new_folder(docs.sparkSession, "ids")
+    return read_shards(write_shards(docs, tokenizer, folder, splitter, end_id, specials=specials))
