@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import (
-    code_points, decontamination, langid, licenses, neardup, packing, quality, token_files, toxicity, url_rules,
+    code_points, conversations, decontamination, exact_dedup, langid, licenses, neardup, packing, periodic_runs, quality, token_files,
+    toxicity, url_rules,
 )
 from trailmark.llm.common import remainder
 
@@ -146,3 +147,59 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (
 @query("op9_license_scan", _license_sql())
 def scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query("op11_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(low) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
+WINDOW same AS (PARTITION BY low)""")
+def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, folder, "documents"), ["doc_id"])
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that their rows' checksums call for; nulls are one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("_f")).where("_f <> 0")
+    text = F.when(F.col("_f") == 1, "").when(F.col("_f") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("_f") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("_f") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
+    ).drop("_copy")
+
+
+@query("op12_conversation_repair")
+def repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    found = conversations.audit_conversations(damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by its id's checksum, repeats some of its words from one place on."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    docs = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string"))).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    g, n = F.expr("_h div 10"), F.size("_w")
+    docs = docs.withColumn("_g", g).withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.expr("(size(_w) - _a) div (3 + _g % 8)"))
+    begin = F.expr("slice(_w, 1, int(_a))")
+    rest = F.expr("transform(sequence(0, int(size(_w) - _a) - 1), i -> element_at(_w, int(_a + i % _p) + 1))")
+    made = F.array_join(F.concat(begin, rest), " ")
+    return docs.withColumn("text", F.when((F.col("_h") % 10 == 0) & (n > 0), made).otherwise(F.col("text"))).drop("_h", "_w", "_g", "_a", "_p")
+
+
+@query("op13_periodic_runs")
+def find_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped(table(spark, folder, "documents").select("doc_id", "text")), ["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
