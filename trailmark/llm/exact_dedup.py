@@ -131,7 +131,8 @@ def exact_groups(docs: DataFrame, keep: Sequence[str], doc_id: str = "doc_id", t
     shown = [c for c in keep if c not in RESULTS]
     named = name_documents(docs, list(dict.fromkeys([*shown, doc_id])), text).withColumn("_id", F.col("_row")[doc_id])
     best = F.max(F.struct("_id", (-F.col("row")).alias("row"))).alias("_best")
-    groups = named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that the join reads two plain shuffles, of which adaptive execution can split a hot name's.
+    groups = store(named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         *[F.col("_row")[c].alias(c) for c in shown],
         F.col("_best._id").alias("keep_id"), "group_size", (F.col("_best.row") == -F.col("row")).alias("kept"), "text_sha256",
