@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.catalog.chats import STOP_SQL, keyed_actions
-from trailmark.sources.sinks import scratch_folder
 from trailmark.streaming import ledgers as lg
 from trailmark.streaming.stopping import stream_stops
 
@@ -33,36 +32,40 @@ def stream_run_ledger(t):
     return lg.collected(t.spark, out, "agent STRING, task STRING, status STRING, records BIGINT", ["agent", "task", "status"])
 
 
-def stored_samples(t):
-    live = live_runs(t).select("agent", "task", "sample", "ts")
-    return lg.run_available(lg.first_samples(live, "20000 days"), "append", "samples")
+MEMORY_DAYS = 30
 
 
-@query("stream_dedup_runs", "S5", f"WITH {v.RUNS} SELECT DISTINCT agent, task, sample FROM runs")
+def arriving_runs(t):
+    """Runs in the order in which they came: by date, some days late."""
+    at = F.col("ts").cast("timestamp")
+    came = at.cast("long") + (F.col("o_orderkey") % 5) * 86400
+    return lg.arrive(v.runs(t).select(*lg.SAMPLE, at.alias("ts"), came.alias("came")), F.col("came"), 4, "ledger", "ts")
+
+
+@query("stream_dedup_runs", "S5", f"""WITH {v.RUNS}, g AS (SELECT agent, task, sample, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY agent, task, sample ORDER BY ts) <= INTERVAL {MEMORY_DAYS} DAYS THEN 0 ELSE 1 END AS fresh FROM runs),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY agent, task, sample ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT agent, task, sample, strftime(min(ts), '%Y-%m-%d') AS first_day, count(*) - 1 AS repeats FROM s GROUP BY agent, task, sample, n""")
 def stream_dedup_runs(t):
-    return lg.collected(t.spark, stored_samples(t), "agent STRING, task STRING, sample STRING")
+    came = arriving_runs(t)
+    live = lg.first_samples(came.stream(), f"{MEMORY_DAYS} days", came.delay)
+    shown = [*lg.SAMPLE, F.col("start").alias("ts"), (F.col("n") - 1).alias("repeats")]
+    return lg.all_sessions(live, "samples", lg.SAMPLE, shown).select(*lg.SAMPLE, F.date_format("ts", "yyyy-MM-dd").alias("first_day"), "repeats")
 
 
-@query("stream_completion", "S2", f"WITH {v.RUNS}, f AS (SELECT agent, task, count(DISTINCT sample) AS finished FROM runs GROUP BY 1, 2), e AS (SELECT agent, task, count(DISTINCT sample) - (CASE agent WHEN 'agent-1' THEN -1 ELSE 0 END) AS expected FROM runs GROUP BY 1, 2) SELECT agent, task, finished, expected FROM f JOIN e USING (agent, task) WHERE finished >= expected")
+@query("stream_completion", "S2", f"WITH {v.RUNS}, f AS (SELECT agent, task, count(DISTINCT sample) AS finished FROM runs GROUP BY 1, 2), e AS (SELECT agent, task, count(DISTINCT sample) - (CASE agent WHEN 'agent-1' THEN -1 ELSE 0 END) AS expected FROM runs GROUP BY 1, 2) SELECT agent, task, expected FROM f JOIN e USING (agent, task) WHERE finished >= expected")
 def stream_completion(t):
-    expected = v.runs(t).select("agent", "task", "sample").distinct().groupBy("agent", "task").agg(
-        (F.count(F.lit(1)) + F.when(F.col("agent") == "agent-1", 1).otherwise(0)).alias("expected"))
-    samples = t.spark.readStream.schema("agent STRING, task STRING, sample STRING, ts TIMESTAMP").option("recursiveFileLookup", True).parquet(stored_samples(t))
-    out = lg.run_available(lg.finished_counts(samples), "update", "finished")
-    counts = lg.collected(t.spark, out, "agent STRING, task STRING, finished BIGINT", ["agent", "task"])
-    return lg.completed_pairs(counts, expected)
+    samples = v.runs(t).select(*lg.SAMPLE).distinct()
+    extra = samples.where("agent = 'agent-1'").select("agent", "task").distinct().withColumn("sample", F.lit("never run"))
+    return lg.stream_completion(arriving_runs(t).stream(), samples.unionByName(extra), "completion")
 
 
 @query("stream_early_stop", "S3", STOP_SQL)
 def stream_early_stop(t):
-    folder = scratch_folder(t.spark, "actions")
-    keyed_actions(t).write.parquet(folder)
-    live = lg.open_files(t.spark, folder, "task_id BIGINT, step_no BIGINT, action_type STRING, key STRING", "*.parquet")
-    out = lg.run_available(stream_stops(live, max_steps=60, parse=3, repeat=3), "append", "stops")
-    return lg.collected(t.spark, out, "task_id BIGINT, step_no BIGINT, reason STRING")
+    steps = lg.arrive(keyed_actions(t), F.col("step_no"), 3, "actions")
+    return stream_stops(steps.stream(), max_steps=60, parse=3, repeat=3)
 
 
-SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 240 SECONDS THEN 0 ELSE 1 END AS fresh FROM events),
+SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 240 SECONDS THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
 
 
@@ -77,9 +80,34 @@ def idle_sessions(t):
     return stamped(out)
 
 
-@query("stream_idle_sessions", "S4", f"""WITH {SESSIONS}, c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 240 SECONDS AS fin, count(*) AS updates FROM s GROUP BY user_id, n)
-SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(fin, '%Y-%m-%d %H:%M:%S.%f') AS "end", updates FROM c WHERE fin <= (SELECT max(ts) FROM events) - INTERVAL 60 SECONDS""")
+def arriving_events(t):
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return lg.arrive(rows, F.col("ts"), 4, "events", "ts")
+
+
+@query("stream_idle_sessions", "S4", f"""WITH {SESSIONS}
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 240 SECONDS, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS updates FROM s GROUP BY user_id, n""")
 def stream_idle_sessions(t):
-    live = Live(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = lg.run_available(lg.idle_sessions(live, "240 seconds", "1 minute"), "append", "sessions")
-    return stamped(lg.collected(t.spark, out, "user_id BIGINT, start TIMESTAMP, end TIMESTAMP, updates BIGINT"))
+    came = arriving_events(t)
+    live = lg.idle_sessions(came.stream(), "240 seconds", came.delay)
+    return stamped(lg.all_sessions(live, "sessions", ["user_id"], ["user_id", "start", "end", F.col("n").alias("updates")]))
+
+
+def silences_sql(seconds, event):
+    return f"""SELECT user_id AS worker_id, strftime(max(ts) + INTERVAL {seconds} SECONDS, '%Y-%m-%d %H:%M:%S.%f') AS "at", count(*) AS visits, '{event}' AS event
+ FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT user_id, ts,
+  CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {seconds} SECONDS THEN 0 ELSE 1 END AS fresh FROM visits)) GROUP BY user_id, n"""
+
+
+@query("stream_silent_workers", "S4", f"""WITH visits AS (SELECT event_id % 3 AS user_id, to_timestamp(floor(epoch(ts) / 90)) AS ts FROM events)
+{silences_sql(11, "marked")} UNION ALL {silences_sql(35, "removed")}""")
+def stream_silent_workers(t):
+    # Events as visits of three workers, on a clock that runs 90 times as fast.
+    rows = t.events.selectExpr("event_id % 3 AS worker_id", "timestamp_seconds(unix_timestamp(cast(ts as timestamp)) DIV 90) AS ts")
+    came = lg.arrive(rows, F.col("ts"), 3, "visits", "ts")
+    shown = ["worker_id", F.col("start").alias("first_visit"), F.col("end").alias("at"), F.col("n").alias("visits")]
+    made = [
+        lg.all_sessions(lg.worker_silences(came.stream(), seconds, came.delay), "silences", ["worker_id"], shown)
+        for seconds in (lg.MARK_AFTER, lg.REMOVE_AFTER)
+    ]
+    return lg.silent_workers(*made).select("worker_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "visits", "event")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import actions as a
 from trailmark.functions.text import increment_step, segments, token_estimate
-from trailmark.plans.lineage import cut
+from trailmark.plans.lineage import cut, store
 from trailmark.plans.lookups import attach
 from trailmark.plans.sequences import GroupSizes, Scan, framed, measure, numbered, running, settle
 
@@ -349,12 +349,26 @@ def stop_reasons(
     times in all.  With ``text``, a column of action strings, equal strings in a row count whatever the
     action, and typing has no rule of its own.
     """
+    needed = dict.fromkeys(["task_id", "step_no", "action_type", text or "key", *[o.lstrip("-") for o in order]])
+    # Parsing is dear and the steps are read several times, so the few columns are stored once.
+    rows = store(actions.select(*needed), "steps").withColumn("_old", F.lit(False))
+    return first_stops(rows, None, order, max_steps, parse, repeat, text)
+
+
+def first_stops(
+    rows: DataFrame, typed: DataFrame | None, order: list[str], max_steps: int, parse: int, repeat: int, text: str | None = None
+) -> DataFrame:
+    """``stop_reasons`` of the rows that are not ``_old``.
+
+    Old rows are the last ``max(parse, repeat) - 1`` steps before; ``typed`` (task_id, key, seen) counts the typing
+    actions of all steps before.
+    """
     key = text or "key"
     near = max(parse, repeat) - 1
-    sizes = measure(actions, ["task_id"])
+    sizes = measure(rows, ["task_id"])
     failed = F.col("action_type").isNull()
     marked = framed(
-        actions.withColumn("_failed", failed.cast("int")), ["task_id"], order,
+        rows.withColumn("_failed", failed.cast("int")), ["task_id"], order,
         {
             "_fails": lambda w: F.sum("_failed").over(w.rowsBetween(-(parse - 1), 0)),
             "_same_min": lambda w: F.min(F.coalesce(key, F.lit(""))).over(w.rowsBetween(-(repeat - 1), 0)),
@@ -362,11 +376,7 @@ def stop_reasons(
             "_window": lambda w: F.count(key).over(w.rowsBetween(-(repeat - 1), 0)),
         },
         before=near, sizes=sizes,
-    )
-    marked = settle(marked, sizes)
-    typing = marked.where("action_type = 'TYPE' AND key IS NOT NULL")
-    counted = numbered(typing, ["task_id", "key"], order, "_seen").where(F.col("_seen") >= repeat)
-    typed = counted.groupBy("task_id").agg(F.min("step_no").alias("step_no")).withColumn("reason", F.lit("typing"))
+    ).where(~F.col("_old"))
     same = (F.col("_same_min") == F.col("_same_max")) & (F.col("_window") == repeat)
     if text is None:
         same = same & ~F.coalesce(F.col("action_type") == "TYPE", F.lit(False))
@@ -376,14 +386,29 @@ def stop_reasons(
         .when(same, "same_action")
     )
     hits = marked.withColumn("reason", reason).where("reason IS NOT NULL").select("task_id", "step_no", "reason")
+    if text is None:
+        hits = hits.unionByName(_typed_often(rows.where(~F.col("_old")), typed, order, repeat))
     priority = F.array_position(F.array(*[F.lit(x) for x in ("max_steps", "parse_failures", "same_action", "typing")]), F.col("reason"))
-    return (
-        (hits if text else hits.unionByName(typed))
-        .groupBy("task_id")
-        .agg(F.min("step_no").alias("step_no"), F.min_by("reason", F.struct("step_no", priority)).alias("reason"))
+    return hits.groupBy("task_id").agg(
+        F.min("step_no").alias("step_no"), F.min_by("reason", F.struct("step_no", priority)).alias("reason")
     )
 
 
+def _typed_often(rows: DataFrame, typed: DataFrame | None, order: list[str], repeat: int) -> DataFrame:
+    """First step of every task at which a typing action is seen for the ``repeat``-th time, earlier ones counted."""
+    typing = rows.where("action_type = 'TYPE' AND key IS NOT NULL")
+    # Only keys that are typed often enough are numbered.
+    often = typing.groupBy("task_id", "key").agg(F.count(F.lit(1)).alias("_n"))
+    if typed is None:
+        often = often.withColumn("seen", F.lit(0))
+    else:
+        often = often.join(typed, ["task_id", "key"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    often = often.where(F.col("_n") + F.col("seen") >= repeat).select("task_id", "key", "seen")
+    counted = numbered(typing.join(often, ["task_id", "key"]), ["task_id", "key"], order, "_at")
+    reached = counted.where(F.col("_at") + F.col("seen") >= repeat)
+    return reached.groupBy("task_id").agg(F.min("step_no").alias("step_no")).withColumn("reason", F.lit("typing"))
+
+
 def trajectory_states(turns: DataFrame) -> DataFrame:
     """One row per agent action with the state text before it, numbered from 0, and the task's first text."""
     sizes = sized(turns)

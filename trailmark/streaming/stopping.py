@@ -1,75 +1,80 @@
-"""Early stop of runs, step by step, with keyed state."""
+"""Early stop of runs, batch by batch; the state is two small tables, and no step of it runs in Python.
 
-from __future__ import annotations
+Every rule but the typing rule looks at the last few steps, so a task's past is summed up by its last
+``max(parse, repeat) - 1`` steps and by how often each typing action was seen. A batch is joined to that state and
+goes through the batch operator, whose plan splits tasks with very many steps. Tasks that stopped leave the state.
+"""
 
-import sys
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-OUTPUT = "task_id BIGINT, step_no BIGINT, reason STRING"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from trailmark.operators.chats import first_stops
+from trailmark.plans.sequences import numbered
+from trailmark.sources.sinks import scratch_folder
 
-# The processor travels to the workers by value, so they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+STEPS = "task_id BIGINT, step_no BIGINT, action_type STRING, key STRING"
+TYPED = "task_id BIGINT, key STRING, seen BIGINT"
+STOPS = "task_id BIGINT, step_no BIGINT, reason STRING"
 
 
-class StopWatch(StatefulProcessor):
-    """Emits the first stop reason of a task; the state holds counters, never the steps themselves."""
+class StopLedger:
+    """Stops of a stream of steps. Each batch writes its own version of the state, so a batch may run again."""
 
-    def __init__(self, max_steps: int, parse: int, repeat: int) -> None:
+    def __init__(self, spark: SparkSession, folder: str, max_steps: int, parse: int, repeat: int) -> None:
+        self.spark, self.folder = spark, folder
         self.max_steps, self.parse, self.repeat = max_steps, parse, repeat
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "key STRING, length INT, failures INT, stopped BOOLEAN")
-        self.typed = handle.getMapState("typed", "key STRING", "seen INT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.run.get() if self.run.exists() else (None, 0, 0, False)
-        last, length, failures, stopped = state
-        if stopped:
-            return
-        steps = pd.concat(list(rows)).sort_values("step_no")
-        for step_no, kind, name in zip(steps["step_no"], steps["action_type"], steps["key"]):
-            name = None if pd.isna(name) else name
-            kind = None if pd.isna(kind) else kind
-            failures = failures + 1 if kind is None else 0
-            length = 0 if name is None else (length + 1 if name == last else 1)
-            last = name
-            seen = 0
-            if kind == "TYPE" and name is not None:
-                seen = (self.typed.getValue((name,))[0] if self.typed.containsKey((name,)) else 0) + 1
-                self.typed.updateValue((name,), (seen,))
-            if step_no >= self.max_steps:
-                reason = "max_steps"
-            elif failures >= self.parse:
-                reason = "parse_failures"
-            elif length >= self.repeat and kind != "TYPE":
-                reason = "same_action"
-            elif seen >= self.repeat:
-                reason = "typing"
-            else:
-                continue
-            self.run.update((last, length, failures, True))
-            self.typed.clear()
-            yield pd.DataFrame({"task_id": [key[0]], "step_no": [int(step_no)], "reason": [reason]})
-            return
-        self.run.update((last, length, failures, False))
-
-    def close(self) -> None:
-        pass
+    def _read(self, name: str, number: int, schema: str) -> DataFrame:
+        if number < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/b={number}")
+
+    def _write(self, rows: DataFrame, name: str, number: int, schema: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/b={number}")
+        return self._read(name, number, schema)
+
+    def stops(self, before: int) -> DataFrame:
+        """Stops of the batches up to a number."""
+        paths = [f"{self.folder}/stops/b={n}" for n in range(before + 1)]
+        return self.spark.read.schema(STOPS).parquet(*paths) if paths else self.spark.createDataFrame([], STOPS)
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Settle one batch: its stops, then the state behind it."""
+        near = max(self.parse, self.repeat) - 1
+        order = ["step_no"]
+        fresh = batch.select("task_id", "step_no", "action_type", "key").join(self.stops(number - 1), "task_id", "left_anti")
+        past = self._read("near", number - 1, STEPS).withColumn("_old", F.lit(True))
+        rows = self._write(
+            past.unionByName(fresh.withColumn("_old", F.lit(False))), "rows", number, f"{STEPS}, _old BOOLEAN"
+        )
+        typed = self._read("typed", number - 1, TYPED)
+        found = first_stops(rows, typed, order, self.max_steps, self.parse, self.repeat)
+        found = self._write(found, "stops", number, STOPS)
+        going = rows.join(found, "task_id", "left_anti")
+        last = numbered(going, ["task_id"], ["-step_no"], "_back").where(F.col("_back") <= near)
+        self._write(last.select("task_id", "step_no", "action_type", "key"), "near", number, STEPS)
+        counts = going.where("NOT _old AND action_type = 'TYPE' AND key IS NOT NULL").groupBy("task_id", "key").agg(F.count(F.lit(1)).alias("seen"))
+        all_typed = typed.join(found, "task_id", "left_anti").unionByName(counts)
+        self._write(all_typed.groupBy("task_id", "key").agg(F.sum("seen").alias("seen")), "typed", number, TYPED)
 
 
 def stream_stops(actions: DataFrame, max_steps: int = 30, parse: int = 3, repeat: int = 5) -> DataFrame:
-    """First stop of every task over a stream of (task_id, step_no, action_type, key).
+    """First stop of every task over a stream of (task_id, step_no, action_type, key), run over all there is.
 
-    Steps of a task must arrive in order between batches; inside a batch they are sorted.
+    Steps of a task must arrive in order between batches; inside a batch any order will do.
     """
-    actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return actions.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=StopWatch(max_steps, parse, repeat), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None",
+    spark = actions.sparkSession
+    folder = scratch_folder(spark, "early-stops")
+    ledger, done = StopLedger(spark, folder, max_steps, parse, repeat), [-1]
+
+    def settle(batch: DataFrame, number: int) -> None:
+        ledger.add(batch, number)
+        done[0] = number
+
+    query = (
+        actions.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(settle).start()
     )
+    query.awaitTermination()
+    return ledger.stops(done[0])
