@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import code_points
@@ -63,8 +65,9 @@ def brute(texts, halves):
     return [-sum(math.log(estimate(models[1 - h], g)) for g in own) / len(own) for own, h in zip(grams, halves)]
 
 
-def test_open_model_equals_brute_force_and_rejects_garbage_of_any_script(spark, monkeypatch):
-    monkeypatch.setattr(code_points, "CHUNK", 2_000)
+@pytest.mark.parametrize("hot", [0, 700, code_points.HOT])
+def test_open_model_equals_brute_force_and_rejects_garbage_of_any_script(spark, monkeypatch, hot):
+    monkeypatch.setattr(code_points, "HOT", hot)
     monkeypatch.setattr(code_points, "HELD", 500)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -82,10 +85,21 @@ def test_open_model_equals_brute_force_and_rejects_garbage_of_any_script(spark,
 
 
 def test_the_model_grows_with_the_alphabet(spark):
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("char(19968) || decode(encode(concat(id, ' words'), 'UTF-8'), 'UTF-8')").alias("text"))
-    chunks = code_points.in_chunks(docs, [], "text")
-    grams = code_points.count_ngrams(chunks)
-    assert grams.select("gram").distinct().count() == grams.count() > 300
+    docs = spark.range(300).select(F.concat(F.expr("char(19968)"), F.col("id").cast("string"), F.lit(" words")).alias("_text"), (F.col("id") % 2).alias("_half"))
+    model = code_points.estimates(code_points.merge_buckets(code_points.count_ngrams(docs, 5)))
+    padded = [code_points.EDGE * 5 + r._text + code_points.EDGE for r in docs.collect()]
+    assert model.count() == len({p[i : i + 6] for p in padded for i in range(len(p) - 5)}) == model.select("hash").distinct().count()
+    assert model.agg(F.sum("n")).first()[0] == sum(len(p) - 5 for p in padded)
+
+
+def test_packing_is_lossless():
+    rng = np.random.default_rng(3)
+    points = rng.integers(1, 0x10FFFF, (500, 6)).astype(np.uint64)
+    mid, out = points[:, 2] << 42 | points[:, 3] << 21 | points[:, 4], points[:, 1] << 42 | points[:, 0] << 21 | points[:, 5]
+    grams = code_points._together([(mid, out, rng.integers(0, 2**40, 500), rng.integers(0, 9, 500))])
+    for x, y in zip(grams, code_points._unpacked(code_points._packed(grams))):
+        assert (x == y).all()
+    assert [len(x) for x in code_points._unpacked(code_points._packed(tuple(g[:0] for g in grams)))] == [0] * 4
 
 
 def test_empty_table(spark):
