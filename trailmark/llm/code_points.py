@@ -87,6 +87,17 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _order(mixed: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in order of their leading bits, by one sort of values: leading bits and place in one number.
+
+    Where leading bits of different hashes are equal, equal hashes may not be neighbours; ``_together`` joins them later.
+    """
+    bits = np.uint64((1 << max(len(mixed) - 1, 1).bit_length()) - 1)
+    packed = mixed & ~bits | np.arange(len(mixed), dtype=np.uint64)
+    packed.sort()
+    return (packed & bits).astype(np.int64)
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else values[:0]
 
@@ -133,7 +144,7 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, Grams]:
             keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys)
+            order = _order(keys)
             first = _starts(keys[order])
             mid, out, a, b = (np.concatenate(x)[order] for x in zip(*(g for _, g in held)))
             return keys[order][first], (mid[first], out[first], _sums(a, first), _sums(b, first))
@@ -152,7 +163,7 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
                 texts = _texts(part)
                 points, at, mixed = ngrams(texts)
                 half = np.repeat(part.column("_half").to_numpy(), [len(t) + 1 for t in texts])
-                order = np.argsort(mixed)
+                order = _order(mixed)
                 mixed = mixed[order]
                 first = _starts(mixed)
                 own = points[at[order[first]][:, None] + np.arange(ORDER)].astype(np.uint64)
@@ -377,10 +388,15 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", also: tuple[s
                 number += len(texts)
                 mixed = ngrams(texts)[2]
                 half = part.column("_half").to_numpy()
-                at = np.minimum(np.searchsorted(keys, mixed), max(len(keys) - 1, 0))
-                known = keys[at] == mixed if len(keys) else np.zeros(len(mixed), bool)
-                each = np.zeros(len(mixed))
-                each[known] = logs[np.repeat(1 - half, size)[known], at[known]]
+                order = _order(mixed)
+                begin = _starts(mixed[order])
+                own = mixed[order[begin]]
+                where = np.empty(len(mixed), np.int64)
+                where[order] = np.repeat(np.arange(len(own)), np.diff(begin, append=len(mixed)))
+                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                found = np.where(hit, logs[:, at], 0.0) if len(keys) else np.zeros((2, len(own)))
+                each, known = found[np.repeat(1 - half, size), where], hit[where]
                 first = np.cumsum(size) - size
                 rare, doc = mixed[~known], np.repeat(np.arange(len(texts)), size)[~known]
                 *base, rough = _measure(texts, coarse.value)
