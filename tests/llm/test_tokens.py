@@ -1,5 +1,7 @@
 """Cached encoding, packing and token files against the plain tokenizer."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from trailmark.llm import packing, token_files
-from trailmark.llm.common import BARE, SPACED, ChunkEncoder
+from trailmark.llm.common import BARE, SPACED, ChunkEncoder, uneven
 from trailmark.plans.lineage import new_folder
 
 FILES = {"byte_bpe_50k.json": SPACED, "word_bpe_49k.json": BARE}
@@ -129,3 +131,13 @@ def test_perfect_hash_is_minimal_and_perfect():
 
 def test_token_files_of_an_empty_table(spark):
     assert token_files.encode_and_read(spark.createDataFrame([], SCHEMA), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_uneven_white_space_equals_the_pattern():
+    rare = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    pattern = re.compile(f"[{rare}]|[ \n][ \n]|^[ \n]| $")
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n\r\t\u3000\u2028\x1c\x85.") for _ in range(rng.randrange(8))) for _ in range(4_000)]
+    texts += [f"a{chr(c)}b" for c in range(0x3100)] + [f"a b{end}" for end in ("", " ", "\n", " \n", "\n ")]
+    for text in filter(None, texts):
+        assert uneven(text) == bool(pattern.search(text)), repr(text)
