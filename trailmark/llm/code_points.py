@@ -400,7 +400,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", also: tuple[s
                 first = np.cumsum(size) - size
                 rare, doc = mixed[~known], np.repeat(np.arange(len(texts)), size)[~known]
                 *base, rough = _measure(texts, coarse.value)
-                own = [pa.array(-np.add.reduceat(each, first)), rough, pa.array(ids), pa.array(np.bincount(doc, minlength=len(texts)))]
+                own = [pa.array(-np.add.reduceat(each, first, dtype=np.float64)), rough, pa.array(ids), pa.array(np.bincount(doc, minlength=len(texts)))]
                 nothing = [pa.nulls(len(texts), pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keep, *also]), *base, *own, *nothing], names=schema.names)
                 if len(rare):
