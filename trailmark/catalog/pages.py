@@ -12,16 +12,17 @@ from trailmark.operators.inventories import latest_by
 
 # Events as the nodes of 20 trees: node j of a page hangs below node (j - 1) // 3.
 NODES = """nodes AS (SELECT event_id % 20 AS page_id, event_id // 20 AS node_id, CASE WHEN event_id // 20 > 0 THEN (event_id // 20 - 1) // 3 END AS parent_id, event_id // 20 AS ord,
- CASE event_type WHEN 'error' THEN 'generic' WHEN 'view' THEN 'listitem' ELSE event_type END AS role, CASE WHEN event_type IN ('error', 'view') AND event_id % 2 = 0 THEN '' ELSE 'n' || event_id END AS name,
- event_id % 7 = 0 AS focused, value FROM events)"""
+ CASE event_type WHEN 'error' THEN 'generic' WHEN 'view' THEN 'listitem' ELSE event_type END AS role, CASE WHEN event_type IN ('error', 'view') AND event_id % 2 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'n' || chr(39) || event_id ELSE 'n' || event_id END AS name,
+ event_id % 7 = 0 AS focused, value, event_id % 11 = 3 AS is_text FROM events)"""
 
 
 def nodes(t):
     return t.events.selectExpr(
         "event_id % 20 AS page_id", "event_id DIV 20 AS node_id", "CASE WHEN event_id DIV 20 > 0 THEN (event_id DIV 20 - 1) DIV 3 END AS parent_id",
         "event_id DIV 20 AS ord", "CASE event_type WHEN 'error' THEN 'generic' WHEN 'view' THEN 'listitem' ELSE event_type END AS role",
-        "CASE WHEN event_type IN ('error', 'view') AND event_id % 2 = 0 THEN '' ELSE 'n' || event_id END AS name",
-        "CASE WHEN event_id % 7 = 0 THEN array(named_struct('name', 'focused', 'value', 'True')) ELSE cast(array() as array<struct<name:string,value:string>>) END AS properties",
+        "CASE WHEN event_type IN ('error', 'view') AND event_id % 2 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'n' || chr(39) || event_id ELSE 'n' || event_id END AS name",
+        "filter(array(named_struct('name', 'level', 'value', if(event_id % 3 = 0, '2', null)), named_struct('name', 'focused', 'value', 'True')), p -> p.name = 'level' OR event_id % 7 = 0) AS properties",
+        "event_id % 11 = 3 AS is_text",
         "CASE WHEN value < 3 THEN null ELSE array(value * 10, 100.0D, CASE WHEN event_type = 'signup' THEN 0.0D ELSE 50.0D END, 20.0D) END AS bound", "value",
     )
 
@@ -45,10 +46,30 @@ def prune_tree(t):
     return tr.prune_tree(rows, rows.where("node_id % 3 <> 1")).select("page_id", "node_id", "new_parent", "position")
 
 
+WRAPPED = "node_id % 3 <> 1"
+
+
+@query("prune_wrappers", "G4", f"""WITH RECURSIVE {NODES}, on_ AS (SELECT n.*, CASE WHEN n.parent_id IS NULL THEN true WHEN n.is_text THEN p.{WRAPPED} ELSE n.{WRAPPED} END AS on_, n.node_id % 5 <> 0 AS plain FROM nodes n LEFT JOIN nodes p ON p.page_id = n.page_id AND p.node_id = n.parent_id),
+held AS (SELECT DISTINCT page_id, parent_id AS node_id, true AS holds FROM nodes WHERE is_text),
+w AS (SELECT o.*, o.on_ AND plain AND NOT is_text AND parent_id IS NOT NULL AND holds IS NULL AS wrap FROM on_ o LEFT JOIN held USING (page_id, node_id)),
+s AS (SELECT page_id, node_id, parent_id FROM w WHERE on_ AND NOT wrap UNION ALL SELECT w.page_id, w.node_id, w.parent_id FROM s JOIN w ON w.page_id = s.page_id AND w.node_id = s.parent_id),
+full_ AS (SELECT DISTINCT page_id, node_id FROM s),
+a1 AS (SELECT page_id, node_id, parent_id AS up FROM w WHERE on_ UNION ALL SELECT a.page_id, a.node_id, p.parent_id FROM a1 a JOIN w p ON p.page_id = a.page_id AND p.node_id = a.up WHERE NOT p.on_),
+kids AS (SELECT a.page_id, a.up AS node_id, count(*) AS n FROM a1 a JOIN w p ON p.page_id = a.page_id AND p.node_id = a.up AND p.on_ JOIN full_ f ON f.page_id = a.page_id AND f.node_id = a.node_id GROUP BY 1, 2),
+st AS (SELECT w.*, on_ AND NOT (wrap AND coalesce(n, 0) <= 1) AS stays FROM w LEFT JOIN kids USING (page_id, node_id)),
+a2 AS (SELECT page_id, node_id, parent_id AS up FROM st WHERE stays UNION ALL SELECT a.page_id, a.node_id, p.parent_id FROM a2 a JOIN st p ON p.page_id = a.page_id AND p.node_id = a.up WHERE NOT p.stays),
+paths AS (SELECT page_id, node_id, lpad('' || ord, 10, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT c.page_id, c.node_id, p.path || '/' || lpad('' || c.ord, 10, '0') FROM nodes c JOIN paths p ON p.page_id = c.page_id AND p.node_id = c.parent_id)
+SELECT a.page_id, a.node_id, a.up AS new_parent, row_number() OVER (PARTITION BY a.page_id ORDER BY path) AS position FROM a2 a LEFT JOIN st p ON p.page_id = a.page_id AND p.node_id = a.up JOIN paths ON paths.page_id = a.page_id AND paths.node_id = a.node_id WHERE a.up IS NULL OR p.stays""")
+def prune_wrappers(t):
+    rows = nodes(t)
+    pruned = tr.prune_tree(rows, rows.where(WRAPPED), text=F.col("is_text"), plain=F.expr("node_id % 5 <> 0"))
+    return pruned.select("page_id", "node_id", "new_parent", "position")
+
+
 @query("render_tree", "G2 M9", f"""WITH RECURSIVE {NODES}, f AS (SELECT *, NOT (name = '' AND ((NOT focused AND role IN ('generic', 'listitem')) OR (focused AND role = 'listitem'))) AS shown FROM nodes),
 r AS (SELECT page_id, node_id, lpad('' || ord, 10, '0') AS path, 0 AS above, shown FROM f WHERE parent_id IS NULL
  UNION ALL SELECT c.page_id, c.node_id, r.path || '/' || lpad('' || c.ord, 10, '0'), r.above + CAST(r.shown AS INT), c.shown FROM f c JOIN r ON r.page_id = c.page_id AND r.node_id = c.parent_id)
-SELECT page_id, node_id, row_number() OVER (PARTITION BY page_id ORDER BY path) AS position, repeat(chr(9), above) || '[' || node_id || '] ' || role || ' ' || chr(39) || name || chr(39) || CASE WHEN focused THEN ' focused: True' ELSE '' END AS line
+SELECT page_id, node_id, row_number() OVER (PARTITION BY page_id ORDER BY path) AS position, repeat(chr(9), above) || '[' || node_id || '] ' || role || ' ' || CASE WHEN contains(name, chr(39)) THEN '"' || name || '"' ELSE chr(39) || name || chr(39) END || CASE WHEN focused THEN ' focused: True' ELSE '' END AS line
 FROM r JOIN f USING (page_id, node_id) WHERE r.shown""")
 def render_tree(t):
     return tr.render_tree(nodes(t))
@@ -59,12 +80,13 @@ paths AS (SELECT page_id, node_id, lpad('' || ord, 10, '0') AS path FROM nodes W
 a AS (SELECT page_id, node_id AS seed, node_id AS at_, 0 AS d FROM k UNION ALL SELECT a.page_id, seed, n.parent_id, d + 1 FROM a JOIN nodes n ON n.page_id = a.page_id AND n.node_id = a.at_ WHERE d < 2 AND n.parent_id IS NOT NULL),
 c AS (SELECT page_id, node_id AS seed, node_id AS at_, 0 AS d FROM k UNION ALL SELECT c.page_id, seed, n.node_id, d + 1 FROM c JOIN nodes n ON n.page_id = c.page_id AND n.parent_id = c.at_ WHERE d < 2),
 cr AS (SELECT c.page_id, at_, row_number() OVER (PARTITION BY c.page_id, seed ORDER BY path) AS n FROM c JOIN paths p ON p.page_id = c.page_id AND p.node_id = c.at_ WHERE d > 0),
-ix AS (SELECT page_id, node_id, parent_id, row_number() OVER (PARTITION BY page_id, parent_id ORDER BY ord) AS i FROM nodes WHERE parent_id IS NOT NULL),
+ix AS (SELECT page_id, node_id, parent_id, row_number() OVER (PARTITION BY page_id, parent_id ORDER BY ord) AS i FROM nodes WHERE parent_id IS NOT NULL AND NOT is_text),
+up AS (SELECT page_id, node_id, parent_id FROM nodes JOIN k USING (page_id, node_id) UNION ALL SELECT n.page_id, n.node_id, n.parent_id FROM up JOIN nodes n ON n.page_id = up.page_id AND n.node_id = up.parent_id),
 sb AS (SELECT s.page_id, s.node_id FROM k JOIN ix m USING (page_id, node_id) JOIN ix s ON s.page_id = m.page_id AND s.parent_id = m.parent_id AND s.i BETWEEN m.i - 1 AND m.i + 1)
-SELECT page_id, node_id FROM k UNION SELECT page_id, at_ FROM a UNION SELECT page_id, at_ FROM cr WHERE n <= 5 UNION SELECT page_id, node_id FROM sb""")
+SELECT page_id, node_id FROM k UNION SELECT page_id, at_ FROM a UNION SELECT page_id, at_ FROM cr WHERE n <= 5 UNION SELECT page_id, node_id FROM sb UNION SELECT page_id, node_id FROM up""")
 def keep_neighbourhood(t):
     rows = nodes(t)
-    return tr.keep_neighbourhood(rows, rows.where("node_id % 37 = 20"), 1, 5, 1)
+    return tr.keep_neighbourhood(rows, rows.where("node_id % 37 = 20"), 1, 5, 1, keep_parent=True, text=F.col("is_text"))
 
 
 COMMENTS = "cm AS (SELECT event_id % 20 AS post_id, event_id // 20 AS comment_id, CASE WHEN event_id // 20 > 0 THEN (event_id // 20 - 1) // 3 END AS parent_id, 'u' || (user_id % 10) AS username, event_type AS content, ts AS time FROM events)"
@@ -120,7 +142,9 @@ def label_boxes(t):
     return out.select("page_id", "id", "label", F.round("center_x", 6).alias("center_x"), F.round("center_y", 6).alias("center_y"))
 
 
-@query("box_text_lines", "G5", f"""WITH {BOXES}, c AS (SELECT page_id, id, CASE WHEN element = 'IMG' THEN alt ELSE '' END || trim(text_content) AS content FROM seen WHERE NOT interactable) SELECT page_id, min(id) AS id, '[] [StaticText] [' || content || ']' AS line FROM c GROUP BY page_id, content""")
+@query("box_text_lines", "G5", f"""WITH {BOXES}, c AS (SELECT page_id, id, interactable, element, CASE WHEN element = 'IMG' THEN alt ELSE '' END || trim(text_content) AS content FROM seen),
+m AS (SELECT *, min(id) OVER (PARTITION BY page_id, content) AS head, sum(CAST(interactable AS INT)) OVER (PARTITION BY page_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS label FROM c)
+SELECT page_id, id, CASE WHEN interactable THEN '[' || label || '] [' || element || '] [' ELSE '[] [StaticText] [' END || content || ']' AS line FROM m WHERE interactable OR id = head""")
 def box_text_lines(t):
     return b.text_lines(boxes(t), 0, 0, 1280, 720)
 

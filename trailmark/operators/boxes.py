@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.plans.sequences import numbered
+from trailmark.plans.lookups import attach
+from trailmark.plans.sequences import Scan, numbered, running
 
 
 def inside_viewport(left: float, top: float, width: float, height: float) -> Column:
@@ -35,15 +36,28 @@ def label_boxes(boxes: DataFrame, left: float, top: float, width: float, height:
     )
 
 
-def text_lines(boxes: DataFrame, left: float, top: float, width: float, height: float) -> DataFrame:
-    """Distinct static texts of a page with the box they come from first; style rules are no text."""
-    seen = boxes.where(inside_viewport(left, top, width, height) & ~F.col("interactable"))
-    content = box_content()
-    told = seen.withColumn("content", content).where(
-        (F.col("content") != "") & ~(F.col("content").startswith(".") & F.col("content").contains("{"))
+def text_lines(
+    boxes: DataFrame, left: float, top: float, width: float, height: float, least_width: float = 0, least_height: float = 0
+) -> DataFrame:
+    """Lines of a page's boxes, in box order: every interactable box with its label, and every static text that no box
+    before it showed.
+
+    Interactable boxes below the least size keep their label, but have no line. Style rules are no static text; the text
+    of an interactable box hides the same static text behind it, whatever it is.
+    """
+    seen = boxes.where(inside_viewport(left, top, width, height)).withColumn("content", box_content())
+    labels = {"label": Scan("sum", F.when(F.col("interactable"), 1).otherwise(0))}
+    seen = running(seen, ["page_id"], ["id"], labels)
+    large = (F.col("width") >= least_width) & (F.col("height") >= least_height)
+    static = (F.col("content") != "") & ~(F.col("content").startswith(".") & F.col("content").contains("{"))
+    told = seen.where(F.when(F.col("interactable"), large).otherwise(static))
+    told = told.select("page_id", "id", "interactable", "label", "element", "content")
+    first = told.groupBy("page_id", "content").agg(F.min("id").alias("id")).withColumn("_first", F.lit(True))
+    marked = attach(told, first, ["page_id", "content", "id"]).where(F.col("interactable") | F.col("_first"))
+    head = F.when(F.col("interactable"), F.concat(F.lit("["), F.col("label").cast("string"), F.lit("] ["), F.col("element"), F.lit("] [")))
+    return marked.select(
+        "page_id", "id", F.concat(F.coalesce(head, F.lit("[] [StaticText] [")), F.col("content"), F.lit("]")).alias("line")
     )
-    first = told.groupBy("page_id", "content").agg(F.min("id").alias("id"))
-    return first.select("page_id", "id", F.concat(F.lit("[] [StaticText] ["), F.col("content"), F.lit("]")).alias("line"))
 
 
 def rectangles_overlap(a: list[Column], b: list[Column], padding: float) -> Column:
