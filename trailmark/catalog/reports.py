@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.operators import reports as r
+from trailmark.sources.sinks import scratch_folder, write_result_json
 
 CUSTOM = """CASE task WHEN 'os-std' THEN '{"overall": {"acc": ' || (o_orderkey % 100) || '}}' WHEN 'dbbench-std' THEN '{"overall_cat_accuracy": ' || (o_orderkey % 90) || '}'
  WHEN 'm2w-std' THEN '{"step_sr": ' || (o_orderkey % 80) || '}' WHEN 'card-game' THEN CASE o_orderkey % 2 WHEN 0 THEN '{"score": ' || (o_orderkey % 70) || '}' ELSE '{"win_rate": ' || (o_orderkey % 60) || '}' END
@@ -50,7 +51,9 @@ def metric_pivot(t):
 
 @query("result_details", "A16", f"WITH {LATEST} SELECT agent, task, {METRIC} AS summary, lpad('' || o_orderkey, 12, '0') AS path, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM latest")
 def result_details(t):
-    return r.result_details(r.latest_run(overall(t))).select("agent", "task", "summary", "details.path", "details.time")
+    details, folder = r.result_details(r.latest_run(overall(t))), scratch_folder(t.spark, "details")
+    write_result_json(details, folder)
+    return t.spark.read.schema(details.schema).json(folder).select("agent", "task", "summary", "details.path", "details.time")
 
 
 SHARES = f"""{v.RUNS}, n AS (SELECT agent, task, replace(lower(status), '_', ' ') AS status FROM runs),
