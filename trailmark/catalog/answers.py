@@ -83,7 +83,7 @@ def scores_combined(t):
     return combine_scores(s, ["l_orderkey"])
 
 
-@query("rouge1", "D31", f"""WITH {PAIRS}, p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM pairs), pc AS (SELECT doc_id, w, count(*) AS n FROM p GROUP BY 1, 2),
+@query("rouge1", "D31", f"""WITH {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (", 1)}, p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM pairs), pc AS (SELECT doc_id, w, count(*) AS n FROM p GROUP BY 1, 2),
 r AS (SELECT doc_id, unnest(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS w FROM pairs), rc AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY 1, 2),
 o AS (SELECT pc.doc_id, sum(least(pc.n, rc.n)) AS shared FROM pc JOIN rc ON pc.doc_id = rc.doc_id AND pc.w = rc.w GROUP BY 1)
 SELECT doc_id, coalesce(2.0 * shared::DOUBLE / (len(regexp_extract_all(lower(text), '[a-z0-9]+')) + len(regexp_extract_all(lower(reference), '[a-z0-9]+'))), 0.0) AS rouge1 FROM pairs LEFT JOIN o USING (doc_id)""")
