@@ -66,6 +66,19 @@ def test_parse_id_action(spark):
     assert values(spark, ["stop", "stop [42]"], lambda c: a.parse_id_action(c)["answer"]) == ["", "42"]
 
 
+def test_parse_id_action_takes_odd_lines(spark):
+    """Brackets within arguments, no or too many blanks, a second line, quotes within a message."""
+    written = ["goto [http://a.b/c?x[1]=2]", "goto  [http://a.b]", "click[7]", "click [a] b [c]", "click []]", "type [5] [x [y] z] [0]",
+               "type [5] [x]", "stop [a]\n[b]", "scroll[up", "tab_focus [x]", None]
+    got = values(spark, written, a.parse_id_action)
+    assert [r["url"] for r in got[:2]] == ["http://a.b/c?x[1]=2", None] and got[1]["action_type"] is None
+    assert [(r["element_id"], r["element_name"]) for r in got[2:5]] == [("7", None), (None, "a"), (None, "]")]
+    assert [r["text"] for r in got[5:7]] == ["x [y] z", "x\n"]
+    assert got[7]["answer"] == "a" and got[8]["direction"] == "up" and got[9]["action_type"] is None and got[10]["action_type"] is None
+    messages = ['send_msg_to_user("a \'b\' (c)")', "send_msg_to_user ( 'it\n' ) x", "send_msg_to_user('x\")"]
+    assert values(spark, messages, lambda c: a.parse_id_action(c)["answer"]) == ["a 'b' (c)", "it\n", None]
+
+
 def test_parse_keeps_the_key(spark):
     written = ["click [12]", "hover [3]", "type [3] [a b] [0]", "press [Enter]", "goto [http://x.y/z]", "scroll [up]",
                "new_tab", "close_tab", "go_back", "go_forward", "stop [42]", 'send_msg_to_user("hi there")']

@@ -64,12 +64,17 @@ labels_ AS (SELECT unnest(['Completed', 'Context Limit Exceeded', 'Invalid Forma
 
 @query("validation_by_agent", "D25", f"WITH {SHARES}, p AS (SELECT agent, count(DISTINCT task) AS pairs FROM sh GROUP BY 1) SELECT p.agent, l2.validation, round(coalesce(sum(share), 0) / any_value(pairs), 4) AS mean_share FROM p CROSS JOIN labels_ l2 LEFT JOIN sh ON sh.agent = p.agent AND sh.validation = l2.validation GROUP BY 1, 2")
 def validation_by_agent(t):
-    return r.validation_means(r.validation_shares(v.runs(t)), "agent").withColumn("mean_share", F.round(F.col("mean_share").cast("double"), 4))
+    return r.validation_means(r.label_shares(v.runs(t)), "agent").withColumn("mean_share", F.round(F.col("mean_share").cast("double"), 4))
 
 
 @query("validation_by_task", "D25", f"WITH {SHARES}, p AS (SELECT task, count(DISTINCT agent) AS pairs FROM sh GROUP BY 1) SELECT p.task, l2.validation, round(coalesce(sum(share), 0) / any_value(pairs), 4) AS mean_share FROM p CROSS JOIN labels_ l2 LEFT JOIN sh ON sh.task = p.task AND sh.validation = l2.validation GROUP BY 1, 2")
 def validation_by_task(t):
-    return r.validation_means(r.validation_shares(v.runs(t)), "task").withColumn("mean_share", F.round(F.col("mean_share").cast("double"), 4))
+    return r.validation_means(r.label_shares(v.runs(t)), "task").withColumn("mean_share", F.round(F.col("mean_share").cast("double"), 4))
+
+
+@query("validation_shares", "D25", f"WITH {SHARES} SELECT agent, task, validation, round(share, 6) AS share FROM sh")
+def validation_shares(t):
+    return r.validation_shares(v.runs(t)).withColumn("share", F.round("share", 6))
 
 
 @query("validation_fractions", "D12", """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id % 4 AS task, CASE conv_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'unknown' ELSE 'task error' END AS status, n FROM c)

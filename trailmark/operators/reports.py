@@ -81,31 +81,34 @@ def validation_fractions(runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def validation_shares(runs: DataFrame) -> DataFrame:
-    """Long form: share of each report label per agent and task."""
-    labelled = runs.select("agent", "task", validation_label(F.col("status")).alias("validation"))
-    counts = labelled.groupBy("agent", "task", "validation").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy("agent", "task").agg(F.sum("_n").alias("_total"))
-    shared = counts.join(totals, ["agent", "task"]).where(F.col("validation").isNotNull())
-    return shared.select("agent", "task", "validation", (F.col("_n") / F.col("_total")).alias("share"))
+LABELS = ("Completed", "Context Limit Exceeded", "Invalid Format", "Invalid Action", "Task Limit Exceeded")
 
 
-LABELS = ("Completed", "Context Limit Exceeded", "Invalid Format", "Invalid Action", "Task Limit Exceeded")
+def label_shares(runs: DataFrame) -> DataFrame:
+    """Share of each report label, in the order of ``LABELS``, per agent and task that has a run with a label."""
+    labelled = runs.select("agent", "task", validation_label(F.col("status")).alias("_label"))
+    total = F.count(F.lit(1))
+    shares = F.array(*[F.count_if(F.col("_label") == label) / total for label in LABELS])
+    return labelled.groupBy("agent", "task").agg(shares.alias("shares"), F.count("_label").alias("_n")).where("_n > 0").drop("_n")
+
+
+def validation_shares(runs: DataFrame) -> DataFrame:
+    """Long form: share of each report label that occurs, per agent and task."""
+    names = F.array(*map(F.lit, LABELS))
+    flat = label_shares(runs).select("agent", "task", F.explode(F.arrays_zip(names.alias("validation"), F.col("shares").alias("share"))).alias("_s"))
+    return flat.select("agent", "task", "_s.validation", "_s.share").where(F.col("share") > 0)
 
 
 def validation_means(shares: DataFrame, by: str, digits: int = 6) -> DataFrame:
-    """Mean share of each label per agent or per task; "--" where there is none.
+    """Mean share of each label per agent or per task of ``label_shares``.
 
     A label that never occurs for a pair counts with share 0, as every report lists all labels.
     """
-    pairs = shares.select("agent", "task").distinct()
-    sums = shares.groupBy(by, "validation").agg(F.sum("share").alias("_sum"))
-    sizes = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("_pairs"))
-    labels = F.array(*[F.lit(x) for x in LABELS])
-    grid = sizes.select(by, "_pairs", F.explode(labels).alias("validation"))
-    joined = grid.join(sums, [by, "validation"], "left")
-    mean = F.round(F.coalesce("_sum", F.lit(0.0)) / F.nullif(F.col("_pairs"), F.lit(0)), digits)
-    return joined.select(by, "validation", F.coalesce(mean.cast("string"), F.lit("--")).alias("mean_share"))
+    means = F.array(*[F.round(F.avg(F.col("shares")[i]), digits) for i in range(len(LABELS))])
+    wide = shares.groupBy(by).agg(means.alias("_means"))
+    names = F.array(*map(F.lit, LABELS))
+    flat = wide.select(by, F.explode(F.arrays_zip(names.alias("validation"), F.col("_means").alias("mean"))).alias("_s"))
+    return flat.select(by, "_s.validation", F.coalesce(F.col("_s.mean").cast("string"), F.lit("--")).alias("mean_share"))
 
 
 def metric_pivot(metrics: DataFrame, tasks: list[str]) -> DataFrame:
