@@ -2,8 +2,8 @@
 longest character n-grams that are known.
 
 Words and n-grams are counted by Spark over a bounded sample of labelled documents (``SAMPLE`` of each language, chosen
-by a hash of the row); the ``MODEL_ENTRIES`` most frequent of each kind make the model, split evenly over the languages,
-so what is broadcast is bounded whatever the corpus and the number of languages. Every document is scored, whole.
+by a hash of the row). All of them make the model, so what is broadcast is bounded by the sample, whatever the corpus.
+Every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,6 @@ from trailmark.llm.common import filter_texts, map_batches, per_text, remainder,
 
 #: Labelled documents of each language that the model is learnt from, in expectation.
 SAMPLE = 4_000
-#: Words and, again, n-grams of each length that the model holds in all languages together.
-MODEL_ENTRIES = 200_000
 LONGEST = 4
 UNKNOWN = "und"
 #: A text counts as at most so many words when its score is made a probability.
@@ -128,7 +126,7 @@ class WordFirst:
         )
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE, entries: int = MODEL_ENTRIES) -> WordFirst:
+def learn(docs: DataFrame, per_language: int = SAMPLE) -> WordFirst:
     """Learn from rows (doc_id, text, lang) with a language; the caller chooses which rows may be learnt from."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
     sample = _sample(labelled, per_language)
@@ -162,18 +160,16 @@ def learn(docs: DataFrame, per_language: int = SAMPLE, entries: int = MODEL_ENTR
     counts = map_batches(sample, run, "lang string, kind int, token binary, n long")
     counts = counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
-    each = max(1, entries // max(1, len(langs)))
-    total = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token"))
-    best = counts.withColumns({"total": total, "rank": rank}).filter(F.col("rank") <= each).toArrow()
-    totals = np.ones((LONGEST + 1, len(langs)))
+    found = counts.toArrow()
+    totals = np.zeros((LONGEST + 1, len(langs)))
     tables: dict[int, dict] = {}
     where = {x: i for i, x in enumerate(langs)}
-    columns = (best.column(c).to_pylist() for c in ("lang", "kind", "token", "n", "total"))
-    for lang, kind, token, n, all_ in zip(*columns):
+    columns = (found.column(c).to_pylist() for c in ("lang", "kind", "token", "n"))
+    for lang, kind, token, n in zip(*columns):
         token = token if kind == 0 else token.decode("utf-8", "replace")
-        tables.setdefault(kind, {}).setdefault(token, np.zeros(len(langs)))[where[lang]] = n
-        totals[kind, where[lang]] = all_
+        tables.setdefault(kind, {}).setdefault(token, np.zeros(len(langs)))[where[lang]] += n
+        totals[kind, where[lang]] += n
+    totals = np.maximum(totals, 1)
     return WordFirst(langs, tables, totals)
 
 

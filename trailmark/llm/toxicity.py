@@ -28,8 +28,8 @@ from trailmark.plans.lineage import store
 
 #: Labelled documents that lexicon, trees and calibration are fitted on together, in expectation.
 SAMPLE = 15_000
-#: Words and beginnings of the learnt lexicon, and in how many toxic documents each must stand.
-LEXICON, LEAST_DOCUMENTS = 300, 5
+#: In how many toxic documents a word or beginning must stand to enter the learnt lexicon.
+LEAST_DOCUMENTS = 5
 #: How many times likelier in a toxic document an entry of the lexicon must be.
 LEAST_RATIO = 4.0
 #: Lengths, in characters, of the word beginnings that are tried.
@@ -107,7 +107,10 @@ def _part(number: int) -> Column:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """The words and beginnings of toxic documents of (text, y); counts are summed by Spark, the best come back."""
+    """The words and beginnings of toxic documents of (text, y); counts are summed by Spark, all that are telling come back.
+
+    The sample bounds them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -134,9 +137,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     best = counts.filter((F.col("kind") < 2) & (F.col("toxic") >= LEAST_DOCUMENTS)).withColumn("ratio", ratio)
     best = best.filter(F.col("ratio") >= LEAST_RATIO)
     found: list[dict[bytes, float]] = [{}, {}]
-    for kind in (0, 1):
-        ranked = best.filter(F.col("kind") == kind).orderBy(F.desc(F.col("toxic") * F.log("ratio")), "token").limit(LEXICON)
-        found[kind] = {bytes(r.token): float(np.log(r.ratio)) for r in ranked.collect()}
+    for r in best.collect():
+        found[r.kind][bytes(r.token)] = float(np.log(r.ratio))
     return Lexicon(*found)
 
 
