@@ -9,8 +9,10 @@ block contains a template of n words to at least ``THRESHOLD`` only if it shares
 * length filter: it must have at least k words;
 * positional filter: from the first shared word on, both sorted sets must still have k words;
 
-and every block that passes is verified on all words. Templates are a parameter, so that side is a literal; the other
-side is every block of every document. A block is a sentence or paragraph.
+and every block that passes is verified on all words. The words that tell relatives apart (``VARIANTS`` and numbers) are
+not left to the threshold: a block must hold those of the template, and no variant that the template lacks, so a
+notice of version 2 or of a lesser license is never named after version 3. Templates are a parameter, so that side is a
+literal; the other side is every block of every document. A block is a sentence or paragraph.
 """
 
 from __future__ import annotations
@@ -31,25 +33,64 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Opening sentences by which licenses are usually named in a text.
+#: Sentences by which licenses are named or granted in a text.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    ],
     "gpl-3.0": [
         "licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
+    ],
+    "gpl-2.0": [
+        "licensed under the gnu general public license version 2",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",
+    ],
+    "lgpl-3.0": [
+        "licensed under the gnu lesser general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license",
+    ],
+    "lgpl-2.1": [
+        "licensed under the gnu lesser general public license version 2 1",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license",
+    ],
+    "agpl-3.0": [
+        "licensed under the gnu affero general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license",
     ],
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software",
     ],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc-by-nc-4.0": ["licensed under cc by nc 4 0"],
-    "cc-by-4.0": ["this work is licensed under a creative commons attribution 4 0 international license"],
+    "bsd-3-clause": [
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license"],
+    "cc-by-4.0": [
+        "licensed under cc by 4 0",
+        "this work is licensed under a creative commons attribution 4 0 international license",
+    ],
+    "cc-by-sa-4.0": [
+        "licensed under cc by sa 4 0",
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    ],
+    "cc-by-nc-4.0": [
+        "licensed under cc by nc 4 0",
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    ],
+    "cc-by-nd-4.0": [
+        "licensed under cc by nd 4 0",
+        "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    ],
 }
+#: Words that tell a license from its relatives.
+VARIANTS = ("lesser", "affero", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCK_END = r"[.!?;]+(?:\s+|$)|\n\s*\n"
+_BLOCK_END = r"[.!?]+(?:\s+|$)|\n\s*\n"
+_NUMBER = re.compile("[0-9]+")
 
 
 def lowered(text: Column) -> Column:
@@ -104,6 +145,11 @@ def template_words(templates: Mapping[str, Sequence[str]]) -> list[tuple[str, fr
     return [(label, frozenset(find(text.lower()))) for label, texts in templates.items() for text in texts]
 
 
+def telling(words: frozenset[str]) -> tuple[list[str], list[str]]:
+    """The words of a template that a block must hold, and the variants that it must not hold."""
+    return sorted(w for w in words if w in VARIANTS or _NUMBER.fullmatch(w)), sorted(set(VARIANTS) - words)
+
+
 def token_order(docs: DataFrame, vocabulary: Sequence[str], text: str = "text") -> list[str]:
     """The vocabulary by the number of documents that hold a word, rarest first; ties by the word itself.
 
@@ -115,8 +161,8 @@ def token_order(docs: DataFrame, vocabulary: Sequence[str], text: str = "text")
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _contained(ranks: Sequence[int], share: float, block: Column) -> Column:
-    """How much of a template a block contains, or null below the threshold.
+def _contained(ranks: Sequence[int], needed: Sequence[int], barred: Sequence[int], share: float, block: Column) -> Column:
+    """How much of a template a block contains; null below the threshold or where a telling word speaks against it.
 
     ``block`` is a struct of ``size`` and ``ranks``, the sorted ranks of its vocabulary words.
     """
@@ -126,7 +172,9 @@ def _contained(ranks: Sequence[int], share: float, block: Column) -> Column:
     left = F.least(F.size(held) - F.array_position(held, first) + 1, n - F.array_position(_array(sorted(ranks)), first) + 1)
     shared = F.size(F.array_intersect(held, _array(ranks)))
     passes = (block["size"] >= need) & (F.size(held) >= need) & F.arrays_overlap(held, prefix) & (left >= need)
-    return F.when(passes, F.when(shared >= need, shared / F.lit(float(n))))
+    told = reduce(lambda a, b: a & b, [F.array_contains(held, r) for r in needed], F.lit(True))
+    told = reduce(lambda a, b: a & b, [~F.array_contains(held, r) for r in barred], told)
+    return F.when(passes, F.when((shared >= need) & told, shared / F.lit(float(n))))
 
 
 def scan_licenses(
@@ -141,9 +189,9 @@ def scan_licenses(
     no words. Repeated rows and null ids give rows of their own.
     """
     known = [(label, words) for label, words in template_words(templates) if words]
-    order = token_order(docs, sorted({w for _, ws in known for w in ws}), text) if known else []
+    order = token_order(docs, sorted({w for _, ws in known for w in ws} | set(VARIANTS)), text) if known else []
     rank = {w: i for i, w in enumerate(order)}
-    ranked = [(label, sorted(rank[w] for w in words)) for label, words in known]
+    ranked = [(label, *[sorted(rank[w] for w in part) for part in (words, *telling(words))]) for label, words in known]
 
     rows = docs.select(*keep, lowered(F.col(text)).alias("_low"))
     rows = rows.withColumn("_words", spaced_words(F.col("_low")))
@@ -156,7 +204,7 @@ def scan_licenses(
     rows = rows.withColumn("n_words", _bars(marked))
     places = [(Phrase(p, marked, F.col("n_words")), label) for p, label in phrases.items()]
     base = F.array_compact(F.array(*[F.when(p.found, F.lit(label)) for p, label in places]))
-    rare = sorted({r for _, ranks in ranked for r in ranks[: len(ranks) - math.ceil(threshold * len(ranks) - 1e-9) + 1]})
+    rare = sorted({r for _, ranks, _, _ in ranked for r in ranks[: len(ranks) - math.ceil(threshold * len(ranks) - 1e-9) + 1]})
     candidate = _any([marked.contains(f"|{order[r]}|") for r in rare])
     facts = {
         "n_base": sum((p.count for p, _ in places), F.lit(0).cast("long")),
@@ -178,11 +226,11 @@ def scan_licenses(
     rows = rows.withColumns(facts).drop("_low", "_marked")
     if ranked:
         found = {
-            f"_t{i}": F.array_max(F.transform("_blocks", partial(_contained, r, threshold)))
-            for i, (_, r) in enumerate(ranked)
+            f"_t{i}": F.array_max(F.transform("_blocks", partial(_contained, r, needed, barred, threshold)))
+            for i, (_, r, needed, barred) in enumerate(ranked)
         }
         rows = rows.withColumns(found).drop("_blocks")
-        more = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull(), F.lit(label)) for i, (label, _) in enumerate(ranked)]))
+        more = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull(), F.lit(label)) for i, (label, *_) in enumerate(ranked)]))
         best = F.coalesce(_least([F.col(c) for c in found], F.greatest), F.lit(0.0))
     else:
         more, best = F.array().cast("array<string>"), F.lit(0.0)

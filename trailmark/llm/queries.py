@@ -122,9 +122,12 @@ def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def _license_sql() -> str:
     """Phrases and templates of the license scan, by comparing every phrase place and every block with every template."""
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in licenses.PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(words)!r})" for label, words in licenses.template_words(licenses.TEMPLATES))
+    templates = ", ".join(
+        "('{}', {!r}, {!r}::VARCHAR[], {!r}::VARCHAR[])".format(label, sorted(words), *licenses.telling(words))
+        for label, words in licenses.template_words(licenses.TEMPLATES)
+    )
     return rf"""
-WITH p(label, words) AS (VALUES {phrases}), t(label, words) AS (VALUES {templates}),
+WITH p(label, words) AS (VALUES {phrases}), t(label, words, needed, barred) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SQL_WORDS}, []) AS w,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 place AS (SELECT r, label, i - 1 AS start FROM d, p, unnest(generate_series(1, len(w) - len(words) + 1)) AS g(i)
@@ -132,9 +135,10 @@ place AS (SELECT r, label, i - 1 AS start FROM d, p, unnest(generate_series(1, l
 base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
 block AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS own
-  FROM d, unnest(regexp_split_to_array(low, '[.!?;]+(?:\s+|$)|\n\s*\n')) AS x(b)),
+  FROM d, unnest(regexp_split_to_array(low, '[.!?]+(?:\s+|$)|\n\s*\n')) AS x(b)),
 found AS (SELECT r, label, len(list_intersect(own, words)) / len(words)::DOUBLE AS share FROM block, t
-  WHERE len(list_intersect(own, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)),
+  WHERE len(list_intersect(own, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)
+    AND list_has_all(own, needed) AND NOT list_has_any(own, barred)),
 best AS (SELECT r, max(share) AS share FROM found GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT r, label FROM found UNION SELECT r, label FROM place) GROUP BY r)
