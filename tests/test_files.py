@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import bucketing
@@ -52,6 +53,56 @@ def test_log_and_config(spark, tmp_path):
     assert row.eval.reference_answers == {"must_include": ["a", "b"], "fuzzy_match": ["N/A"]} and row.sites == ["map"]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every few hundred bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def logged(n):
+    """A log whose ids reach over many lines, with a name that is no number, and its last results."""
+    lines, want, now = [], {}, None
+    for i in range(n):
+        if i % 37 == 0:
+            now = None if i % 5 == 4 else i // 74
+            lines.append(f"noise [Config file]: cfg/{'odd' if now is None else now}.json")
+        says = i % 3
+        lines += ["x" * (i % 50), f"[Result] {['(PASS)', '(FAIL)', 'odd'][says]} step {i}"]
+        if now is not None:
+            want[now] = [True, False, None][says]
+    return "\n".join(lines) + "\n", want
+
+
+@pytest.mark.parametrize("mode", ["whole", "small_splits", "both"])
+def test_a_log_cut_over_many_splits(spark, tmp_path, request, mode):
+    if mode != "whole":
+        request.getfixturevalue("small_splits")
+    if mode == "both":
+        request.getfixturevalue("split_mode")
+    text, want = logged(600)
+    for name in ("a.log", "b.log"):
+        put(tmp_path / "logs" / name, text)
+    if mode != "whole":
+        assert r.read_lines(spark, str(tmp_path / "logs")).rdd.getNumPartitions() > 20
+    got = r.parse_run_log(spark, str(tmp_path / "logs")).collect()
+    assert {x.file.rsplit("/", 1)[1] for x in got} == {"a.log", "b.log"} and len(got) == 2 * len(want)
+    assert all(x.success == want[x.task_id] for x in got)
+
+
+def test_events_cut_over_many_splits(spark, tmp_path, small_splits):
+    line = '{"keyboard": {"keys": []}, "mouse": {"dx": %d}, "hotbar": 1, "isGuiOpen": false}'
+    put(tmp_path / "one" / "e1.jsonl", "\n\n".join(line % i for i in range(200)) + "\n")
+    put(tmp_path / "one" / "e2.jsonl", "\n".join(line % i for i in range(200, 250)))
+    rows = r.read_input_events(spark, str(tmp_path / "one")).collect()
+    assert sorted((x.episode_id, x.t, x.mouse.dx) for x in rows) == [("e1", i, float(i)) for i in range(200)] + [("e2", i, 200.0 + i) for i in range(50)]
+    rows = r.read_input_events(spark, str(tmp_path / "one"), by_folder=True).collect()
+    assert sorted((x.episode_id, x.t, x.mouse.dx) for x in rows) == [("one", i, float(i)) for i in range(250)]
+
+
 def test_group_map(spark, tmp_path):
     steps = spark.createDataFrame([("1", "1", "a"), ("1", "2", "b"), ("2", "1", "b")], "task_id STRING, step_id STRING, website_name STRING")
     path = put(tmp_path / "g.csv", "website_name,count,group\na,1,\nb,2,G1_High\n,3,G1_High\n")

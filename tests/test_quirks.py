@@ -251,8 +251,8 @@ def test_overlap_rule(spark):
 
 @pytest.mark.parametrize("log,want", [("[Config file]: a/3.json\n[Result] (PASS) x\n[Result] (FAIL) x", {3: False}), ("[Result] (PASS)\n[Config file]: 4.json\n[Result] odd", {4: None})])
 def test_log_results(spark, log, want):
-    logs = spark.createDataFrame([("f", log)], "file STRING, log STRING")
-    assert {r.task_id: r.success for r in readers.run_log_results(logs, "file", "log").collect()} == want
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(log.split("\n"))], "file STRING, line INT, value STRING")
+    assert {r.task_id: r.success for r in readers.run_log_results(lines, "file", ["line"]).collect()} == want
 
 
 def test_equal_action_texts_stop_a_run(spark):

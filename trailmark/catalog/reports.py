@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.operators import reports as r
+from trailmark.sources.readers import read_overall as read_overall_reports
 from trailmark.sources.sinks import scratch_folder, write_result_json
 
 CUSTOM = """CASE task WHEN 'os-std' THEN '{"overall": {"acc": ' || (o_orderkey % 100) || '}}' WHEN 'dbbench-std' THEN '{"overall_cat_accuracy": ' || (o_orderkey % 90) || '}'
@@ -33,6 +34,17 @@ def read_overall(t):
     return recent.groupBy("agent", "task").agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("newest"))
 
 
+@query("read_overall_files", "A3", f"WITH {LATEST} SELECT agent, task, o_orderkey AS total, {METRIC} AS metric FROM latest")
+def read_overall_files(t):
+    # One report per agent and task, written as a file of its own.
+    folder = scratch_folder(t.spark, "overall")
+    report = F.concat(F.lit('{"total": '), F.col("o_orderkey").cast("string"), F.lit(', "validation": {"COMPLETED": 0.5}, "custom": '), "custom", F.lit("}"))
+    r.latest_run(overall(t)).select("agent", "task", report.alias("value")).write.partitionBy("agent", "task").text(folder)
+    read = read_overall_reports(t.spark, folder, name="*.txt")
+    read = read.select(F.regexp_replace("agent", "^agent=", "").alias("agent"), F.regexp_replace("task", "^task=", "").alias("task"), "total", "custom")
+    return read.select("agent", "task", "total", r.main_metric(F.col("task"), F.col("custom")).alias("metric"))
+
+
 @query("main_metric", "D24", f"WITH {v.RUNS} SELECT o_orderkey, {METRIC} AS metric, CASE task WHEN 'os-std' THEN 1 WHEN 'dbbench-std' THEN 2 WHEN 'm2w-std' THEN 8 WHEN 'card-game' THEN 4 ELSE 7 END AS priority FROM runs")
 def main_metric(t):
     return overall(t).select("o_orderkey", r.main_metric(F.col("task"), F.col("custom")).alias("metric"), r.task_priority(F.col("task")).alias("priority"))

@@ -239,5 +239,5 @@ LOG = "'start' || chr(10) || '[Config file]: /tmp/' || (doc_id % 50) || '.json'
 @query("parse_run_log", "A5", """SELECT doc_id AS file, CAST(doc_id % 50 AS INT) AS task_id, doc_id % 2 = 0 OR doc_id % 3 = 0 AS success FROM documents WHERE NOT (doc_id % 3 = 1 AND doc_id < 50)
 UNION ALL SELECT doc_id, CAST(doc_id AS INT), false FROM documents WHERE doc_id % 3 = 1""")
 def parse_run_log(t):
-    logs = t.documents.select(F.col("doc_id").alias("file"), F.expr(LOG).alias("log"))
-    return run_log_results(logs, "file", "log")
+    lines = t.documents.select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.expr(LOG), "\n")).alias("line", "value"))
+    return run_log_results(lines, "file", ["line"])

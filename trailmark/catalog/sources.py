@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from trailmark import schemas
 from trailmark.catalog import views as v
 from trailmark.catalog.registry import query
 from trailmark.catalog.scoring import scores
@@ -77,9 +76,25 @@ def read_boxes(t):
 
 @query("read_input_events", "A10", f"WITH {v.KEYED_EVENTS} SELECT '' || event_type AS episode, count(*) AS events, CAST(sum(k) AS BIGINT) AS dx FROM keyed GROUP BY 1")
 def read_input_events(t):
+    folder = w.scratch_folder(t.spark, "events")
     line = F.expr("'{\"keyboard\": {\"keys\": []}, \"mouse\": {\"dx\": ' || k || ', \"buttons\": [0]}, \"hotbar\": 1, \"isGuiOpen\": false}'")
-    rows = v.keyed_events(t).select(F.col("event_type").alias("episode"), F.from_json(line, schemas.INPUT_EVENTS_BODY).alias("e"))
-    return rows.groupBy("episode").agg(F.count(F.lit(1)).alias("events"), F.sum("e.mouse.dx").cast("long").alias("dx"))
+    v.keyed_events(t).select(F.col("event_type").alias("episode"), line.alias("value")).write.partitionBy("episode").text(folder)
+    rows = r.read_input_events(t.spark, folder, by_folder=True).withColumn("episode", F.regexp_replace("episode_id", "^episode=", ""))
+    return rows.groupBy("episode").agg(F.count(F.lit(1)).alias("events"), F.sum("mouse.dx").cast("long").alias("dx"))
+
+
+@query("parse_run_log_files", "A5", """SELECT CAST(l_orderkey AS INT) AS task_id, l_returnflag <> 'R' AS success FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_returnflag DESC) = 1""")
+def parse_run_log_files(t):
+    # Logs of many orders: a line that names the order, then one result per line item.
+    folder = w.scratch_folder(t.spark, "logs")
+    named = t.lineitem.select("l_orderkey").distinct().selectExpr(
+        "l_orderkey", "-1 AS l_linenumber", "'' AS l_returnflag", "'[Config file]: config_files/' || l_orderkey || '.json' AS value")
+    told = t.lineitem.selectExpr(
+        "l_orderkey", "l_linenumber", "l_returnflag", "'[Result] (' || CASE l_returnflag WHEN 'R' THEN 'FAIL' ELSE 'PASS' END || ') line ' || l_linenumber AS value")
+    lines = named.union(told).repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_returnflag")
+    lines.select("value").write.text(folder)
+    return r.parse_run_log(t.spark, folder).select("task_id", "success")
 
 
 @query("write_csv_report", "A14", f"WITH {v.DOMAIN_STEPS} SELECT website_name, count(*) AS count FROM domain_steps GROUP BY 1")

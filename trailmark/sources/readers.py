@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from trailmark import schemas
 from trailmark.operators.bucketing import load_group_map
+from trailmark.plans import Scan, numbered, running
 
 _PAIR_LIST = f"array<{schemas.THOUGHT_ACTION}>"
 
@@ -73,12 +74,12 @@ def valid_run_records(records: DataFrame) -> DataFrame:
     return kept.drop("_broken")
 
 
-def read_overall(spark: SparkSession, root: str, since: datetime | None = None) -> DataFrame:
+def read_overall(spark: SparkSession, root: str, since: datetime | None = None, name: str = "overall.json") -> DataFrame:
     """``overall.json`` files at any depth that are not older than ``since``."""
     reader = (
         spark.read.schema(schemas.OVERALL_BODY)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "overall.json")
+        .option("pathGlobFilter", name)
     )
     if since is not None:
         reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
@@ -114,42 +115,41 @@ def read_task_scores(spark: SparkSession, folders: list[str]) -> DataFrame:
     return task_scores_from_json(texts.select("value", _path_part(2).alias("run_dir")))
 
 
-def run_log_results(logs: DataFrame, key: str, text: str) -> DataFrame:
-    """Last result per task id of each log: ``[Config file]`` sets the id of the results after it.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files that may be cut over many tasks: (file, block, line, value).
 
-    A log is one row, so its lines stay inside that row: no shuffle is needed to keep their order.  A
-    result of neither kind gives a null ``success``.
+    ``block`` is the byte at which the line's split begins and ``line`` grows within a split, so the two order the lines
+    of a file; no file is held in one row.
     """
-    rows = F.filter(
-        F.split(F.col(text), "\n"), lambda x: x.contains("[Config file]") | x.contains("[Result]")
-    )
-    none = F.lit(None)
-    start = F.struct(
-        none.cast("int").alias("id"),
-        F.expr("cast(array() as array<struct<task_id:int,success:boolean>>)").alias("seen"),
+    texts = spark.read.option("lineSep", "\n").text(path)
+    return texts.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value",
     )
 
-    def step(state: Column, line: Column) -> Column:
-        config = line.contains("[Config file]")
-        file_id = F.regexp_extract(F.rtrim(line), r"(?:^|[/\s])([^./\s]+)[^/\s]*$", 1).try_cast("int")
-        verdict = F.when(line.contains("(FAIL)"), False).when(line.contains("(PASS)"), True)
-        entry = F.array(F.struct(state["id"].alias("task_id"), verdict.alias("success")))
-        return F.struct(
-            F.when(config, file_id).otherwise(state["id"]).alias("id"),
-            F.when(config, state["seen"]).otherwise(F.concat(state["seen"], entry)).alias("seen"),
-        )
 
-    seen = F.aggregate(rows, start, step, lambda state: state["seen"])
-    flat = logs.select(key, F.posexplode(seen).alias("_pos", "_r"))
-    flat = flat.where(F.col("_r.task_id").isNotNull())
-    return flat.groupBy(key, F.col("_r.task_id").alias("task_id")).agg(
-        F.max_by("_r.success", "_pos").alias("success")
-    )
+LINE_ORDER = ["block", "line"]
+
+
+def run_log_results(lines: DataFrame, key: str, order: list[str], text: str = "value") -> DataFrame:
+    """Last result per task id of each log: ``[Config file]`` sets the id of the results after it.
+
+    ``lines`` has a row per line; the id is carried over however many tasks a log is cut into.  A result of neither
+    kind gives a null ``success``; results under a name that is no number are left out.
+    """
+    config = F.col(text).contains("[Config file]")
+    file_id = F.regexp_extract(F.rtrim(F.col(text)), r"(?:^|[/\s])([^./\s]+)[^/\s]*$", 1).try_cast("int")
+    verdict = F.when(F.col(text).contains("(FAIL)"), False).when(F.col(text).contains("(PASS)"), True)
+    told = lines.where(config | F.col(text).contains("[Result]"))
+    # A struct, so that a name that is no number ends the id before it.
+    told = told.select(key, *order, F.when(config, F.struct(file_id.alias("task_id"))).alias("_config"), verdict.alias("success"))
+    seen = running(told, [key], order, {"_task": Scan("last", F.col("_config"))})
+    results = seen.where(F.col("_config").isNull() & F.col("_task.task_id").isNotNull())
+    return results.groupBy(key, F.col("_task.task_id").alias("task_id")).agg(F.max_by("success", F.struct(*order)).alias("success"))
 
 
 def parse_run_log(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
-    return run_log_results(texts.select(F.col("_metadata.file_path").alias("file"), "value"), "file", "value")
+    return run_log_results(read_lines(spark, path), "file", LINE_ORDER)
 
 
 def read_task_config(spark: SparkSession, path: str) -> DataFrame:
@@ -224,18 +224,15 @@ def episode_urls(index: DataFrame) -> DataFrame:
     )
 
 
-def read_input_events(spark: SparkSession, path: str) -> DataFrame:
-    """Recorder events, one JSON object per line, numbered by line.
+def read_input_events(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Recorder events, one JSON object per line, numbered by line from 0; blank lines do not count.
 
-    The line number comes from the whole file's text, never from generated ids.
+    An episode is a file, or with ``by_folder`` all files of a folder in the order of their names.
     """
-    texts = spark.read.text(path, wholetext=True)
-    episode = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
-    flat = texts.select(
-        episode.alias("episode_id"),
-        F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("t", "_line"),
-    )
-    return flat.select("episode_id", "t", F.from_json("_line", schemas.INPUT_EVENTS_BODY).alias("_e")).select(
+    name = r"([^/]*)/[^/]*$" if by_folder else r"([^/]*)\.jsonl$"
+    lines = read_lines(spark, path).withColumn("episode_id", F.regexp_extract("file", name, 1))
+    events = numbered(lines.where(F.trim("value") != ""), ["episode_id"], ["file", *LINE_ORDER], "t")
+    return events.select("episode_id", (F.col("t") - 1).alias("t"), F.from_json("value", schemas.INPUT_EVENTS_BODY).alias("_e")).select(
         "episode_id", "t", "_e.*"
     )
 
