@@ -31,22 +31,21 @@ FOUND = [
 ]
 
 
-def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+def item_windows(words: list[bytes], window: int) -> Iterator[tuple[bytes, ...]]:
+    if words:
+        yield from (tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1)))
 
 
 def blocks(benchmark: DataFrame, window: int, item: str, text: str) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
-    """Distinct windows with their items, at most ``BLOCK_WINDOWS`` windows at a time (an item is not divided)."""
+    """Distinct windows with their items, at most ``BLOCK_WINDOWS`` windows at a time; a long item takes several blocks."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     block: dict[tuple[bytes, ...], set[str]] = {}
     for row in rows.toLocalIterator():
         for w in item_windows(ascii_words(row.t), window):
             block.setdefault(w, set()).add("" if row.i is None else row.i)
-        if len(block) >= BLOCK_WINDOWS:
-            yield block
-            block = {}
+            if len(block) >= BLOCK_WINDOWS:
+                yield block
+                block = {}
     if block:
         yield block
 

@@ -284,11 +284,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, root) of all keys with a similar other text; ``sketches`` must be stored rows."""
-    rows = sketches.select("key", F.explode("buckets").alias("bucket"))
+    # Copies go before a shuffle, by the partial aggregate of dropDuplicates.
+    rows = sketches.select("key", "buckets").dropDuplicates(["key"]).select("key", F.explode("buckets").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     full = store(rows.join(hubs, "bucket").distinct(), "buckets")
     wanted = full.select("key").distinct()
-    units = store(sketches.select("key", "units").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "units")
+    units = store(sketches.select("key", "units").dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "units")
     pairs = full.select(F.explode(F.array("low", "high")).alias("a"), F.col("key").alias("b")).filter("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     classes = store(components(verified(pairs, units, similarity)), "classes")
