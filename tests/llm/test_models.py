@@ -88,6 +88,22 @@ def test_urls_without_labels_or_pages(spark):
     assert url_rules.judge_urls(spark.createDataFrame([], "page_id long, url string"), none, ["page_id"]).isEmpty()
 
 
+def test_words_of_labels_and_segments(spark):
+    urls = ["http://www.Free-Bets24.example.com/buy_now/12.html?a=1", "http://org/x", None]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_rules.host_of(F.col("url")).alias("h"), url_rules.path_of(F.col("url")).alias("p"))
+    got = {r.url: set(r.t) for r in rows.select("url", url_rules.url_tokens(F.col("url"), F.col("h"), F.col("p")).alias("t")).collect()}
+    words = {f"word={w}" for w in ("free", "bets", "buy", "now", "html")}
+    assert got[urls[0]] == words | {"host=www", "host=free-bets24", "host=example", "host=com", "path=buy_now", "path=0.html", "query=a"}
+    assert got[urls[1]] == {"host=org", "path=x"} and got[None] == set()
+
+
+def test_kept_columns_named_like_internal_and_result_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/1", "t", "h", "r", 7)], "page_id long, url string, tokens string, host string, rule string, doc_id int")
+    labels = spark.createDataFrame([(1, 0, 0)], LABELS)
+    row = url_rules.judge_urls(pages, labels, pages.columns).first()
+    assert (row.tokens, row.host, row.rule, row.doc_id, row.url) == ("t", "a.org", "org/", 7, "http://a.org/1")
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(1)
     model = quality.FactorizationMachine(30, 4)

@@ -96,11 +96,14 @@ def per_text(
 ) -> DataFrame:
     """Columns ``keep`` of every row and ``fields`` computed from its text; no shuffle.
 
+    A kept column named like one of the fields is left out.
+
     ``make`` runs once per task and returns the function from texts (and the values of columns ``also``) to one array
     per field.
     """
-    schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
-    names, kept = [f.name for f in schema], list(keep)
+    kept = [c for c in keep if c not in {f.name for f in fields}]
+    schema = T.StructType([docs.schema[c] for c in kept] + list(fields))
+    names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules, then association rules mined from labelled pages.
 
-Labelled urls become sets of tokens (host labels, path segments with digits folded, query keys) with the label as one
-more item. FP-growth finds the frequent sets; rules that lead to the bad label and reach the support and confidence are
+Labelled urls become sets of tokens (host labels, path segments with digits folded, the words of labels and segments that
+consist of several, query keys) with the label as one more item. FP-growth finds the frequent sets; rules that lead to the bad label and reach the support and confidence are
 kept. A rule is indexed under its rarest token, so a token set meets only rules of which it holds the rarest token, and
 each one once; all tokens of the rule are then compared. Pages with equal token sets are matched once.
 
@@ -30,6 +30,7 @@ RULES = (
 #: Shares: of the labelled pages that hold the rule's tokens and are bad; of those with the tokens that are bad.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 BAD = "label=bad"
+RESULT = ("host", "path", "rule", "verdict", "confidence")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,7 +58,10 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """The url's distinct tokens, sorted; none for an empty host."""
     query = F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
     fold = lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "0")
+    pieces = F.concat(F.split(host, r"\."), F.transform(F.split(path, "/"), F.lower))
+    words = F.flatten(F.transform(F.filter(pieces, lambda x: x.rlike("[-_.0-9]")), lambda x: F.split(x, "[-_.0-9]+")))
     parts = F.concat(
+        F.transform(words, lambda x: F.concat(F.lit("word="), x)),
         F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host="), x)),
         F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("path="), fold(x))),
         F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query="), fold(F.substring_index(x, "=", 1)))),
@@ -113,10 +117,12 @@ def judge_urls(
     ``labels`` has (doc_id, quality, toxic); a document is bad with quality 0 or toxic 1, by any of its rows; rows
     without both labels are left out. A page is labelled by the document number in its path. Pages that no fixed rule
     decides are blocked where a mined rule matches, else allowed. Null urls and urls without ``://`` have an empty host
-    and path and are allowed. Repeated rows and null ids keep their rows; without labels there are no mined rules.
+    and path and are allowed. Repeated rows and null ids keep their rows; without labels there are no mined rules. A kept
+    column named like a result column is left out.
     """
-    address = F.col(url)
-    rows = pages.select(*keep, address.alias("_url")).withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
+    keep = [c for c in keep if c not in RESULT]
+    held, address = [F.col(c).alias(f"_keep_{c}") for c in keep], F.col(url)
+    rows = pages.select(*held, address.alias("_url")).withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
     rows = rows.withColumn("tokens", url_tokens(F.col("_url"), F.col("_host"), F.col("_path")))
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad")
     known = labels.filter(F.col("quality").isNotNull() | F.col("toxic").isNotNull()).select("doc_id", bad)
@@ -128,6 +134,6 @@ def judge_urls(
     judged = rows.join(matched, "tokens", "left")
     own = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
-        *keep, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"),
+        *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"),
         F.coalesce(verdict, own).alias("verdict"), "confidence",
     )
