@@ -51,13 +51,23 @@ def next_goal(t):
     return e.next_goal(fr.select("episode_id", "t", "event_id"), goals).select("event_id", "t", "goal_t")
 
 
-@query("relabel_goals", "E22")
+FRACTION = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296::DOUBLE"
+
+
+@query("relabel_goals", "E22", f"""WITH n AS (SELECT CAST(label AS VARCHAR) AS episode_id, count(*) AS length FROM embeddings GROUP BY 1),
+drawn AS (SELECT episode_id, length, i, 5 + CAST(floor({FRACTION.format("'7:' || episode_id || ':' || i")} * 15) AS BIGINT) AS gap FROM n, unnest(range(CAST(ceil(length / 5) AS BIGINT))) AS r(i)),
+summed AS (SELECT episode_id, length, CAST(sum(gap) OVER (PARTITION BY episode_id ORDER BY i) AS BIGINT) AS goal_t FROM drawn),
+goals AS (SELECT episode_id, goal_t FROM summed WHERE length - goal_t >= 5 UNION ALL SELECT episode_id, length - 1 FROM n),
+v AS (SELECT CAST(label AS VARCHAR) AS episode_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings),
+placed AS (SELECT episode_id, t, (SELECT min(g.goal_t) FROM goals g WHERE g.episode_id = v.episode_id AND v.t <= g.goal_t + 1) AS goal_t FROM v)
+SELECT p.episode_id, p.t, p.goal_t, CASE WHEN {FRACTION.format("'8:' || p.episode_id")} >= 0.1 THEN round(CAST(v.embedding[1] AS DOUBLE), 6) END AS first_value
+FROM placed p LEFT JOIN v ON v.episode_id = p.episode_id AND v.t = p.goal_t""")
 def relabel_goals(t):
     episodes = t.embeddings.groupBy(F.col("label").cast("string").alias("episode_id")).agg(F.count(F.lit(1)).alias("length"))
     placed = numbered(t.embeddings.withColumn("episode_id", F.col("label").cast("string")), ["episode_id"], ["vec_id"], "_n")
     vectors = placed.select("episode_id", (F.col("_n") - 1).alias("t"), "embedding")
     out = e.relabel_goals(episodes, vectors, 5, 20, 0.1, 7)
-    return out.select("episode_id", "t", "goal_t", F.round(F.get("embedding", F.lit(0)), 6).alias("first_value"))
+    return out.select("episode_id", "t", "goal_t", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
 
 
 @query("split_by_frames", "E23", """WITH o AS (SELECT doc_id AS episode_id, n_chars AS length, (doc_id * 7919) % 100003 AS shuffle FROM documents),

@@ -87,8 +87,9 @@ def spread(rows: DataFrame, count: str, name: str, block: int = 65_536) -> DataF
 
 
 def hash_fraction(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_003)) / 1_000_003
+    """A number in [0, 1) that depends on the seed and the keys only: 32 bits of an MD5, which any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 2.0**32
 
 
 def random_goals(episodes: DataFrame, low: int, high: int, seed: int) -> DataFrame:
