@@ -91,6 +91,15 @@ def test_completion(spark, tmp_path):
     assert ledger.remaining(3).count() == 1
 
 
+def test_completion_counts_the_finished_samples(spark, tmp_path):
+    expected = spark.createDataFrame([("a", "t", "1"), ("a", "t", "2"), ("b", "t", "1"), ("c", "t", "1")], lg.REMAINING)
+    ledger = lg.CompletionLedger(expected, str(tmp_path))
+    for number, rows in enumerate([[("a", "t", "1"), ("a", "t", "9"), ("b", "t", "1")], [("a", "t", "9"), ("a", "t", "2")], [("a", "t", "8"), ("c", "t", "7")]]):
+        ledger.add(spark.createDataFrame(rows, lg.REMAINING), number)
+        ledger.add(spark.createDataFrame(rows, lg.REMAINING), number)
+    assert as_set(ledger.complete(), "agent", "task", "finished", "expected") == {("a", "t", 4, 2), ("b", "t", 1, 1)}
+
+
 @pytest.mark.parametrize("batches", [1, 3, 5])
 def test_stops(spark, tables, batches):
     actions = keyed_actions(tables)

@@ -182,7 +182,8 @@ class CompletionLedger:
     """Which pairs of agent and task have a record for every expected sample.
 
     The state is the table of samples without a record: it shrinks with every batch, a record that comes again finds
-    nothing to remove, and a pair is complete when its last sample goes. Each batch writes its own version.
+    nothing to remove, and a pair is complete when its last sample goes. Each batch writes its own version, and its own
+    samples, expected or not, for the number of finished ones.
     """
 
     def __init__(self, expected: DataFrame, folder: str) -> None:
@@ -195,20 +196,24 @@ class CompletionLedger:
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Settle one batch of runs."""
-        before = self.remaining(number - 1)
-        left = before.join(batch.select(*SAMPLE).distinct(), SAMPLE, "left_anti")
+        before, came = self.remaining(number - 1), f"{self.folder}/came/b={number}"
+        batch.select(*SAMPLE).distinct().write.mode("overwrite").parquet(came)
+        left = before.join(self.spark.read.schema(REMAINING).parquet(came), SAMPLE, "left_anti")
         left.write.mode("overwrite").parquet(f"{self.folder}/remaining/b={number}")
         pairs = before.select("agent", "task").distinct().join(self.remaining(number), ["agent", "task"], "left_anti")
         done = pairs.join(self.expected, ["agent", "task"])
         done.write.mode("overwrite").parquet(f"{self.folder}/complete/b={number}")
 
     def complete(self) -> DataFrame:
-        """Pairs that are complete so far, each as it was told once."""
-        return self.spark.read.schema(COMPLETE).option("recursiveFileLookup", True).parquet(f"{self.folder}/complete")
+        """Pairs that are complete so far, each as it was told once, with their ``finished`` samples so far."""
+        done = self.spark.read.schema(COMPLETE).option("recursiveFileLookup", True).parquet(f"{self.folder}/complete")
+        came = self.spark.read.schema(REMAINING).option("recursiveFileLookup", True).parquet(f"{self.folder}/came")
+        finished = came.groupBy("agent", "task").agg(F.count_distinct("sample").alias("finished"))
+        return done.join(finished, ["agent", "task"]).select("agent", "task", "finished", "expected")
 
 
 def stream_completion(runs: DataFrame, expected: DataFrame, name: str) -> DataFrame:
-    """Run a stream of runs over all there is; pairs whose every expected (agent, task, sample) has a record."""
+    """Run a stream of runs over all there is; pairs whose every expected (agent, task, sample) has a record, with their samples that have one."""
     folder = scratch_folder(runs.sparkSession, name)
     ledger = CompletionLedger(expected, folder)
     query = runs.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(ledger.add).start()
