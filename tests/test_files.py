@@ -103,6 +103,17 @@ def test_events_cut_over_many_splits(spark, tmp_path, small_splits):
     assert sorted((x.episode_id, x.t, x.mouse.dx) for x in rows) == [("one", i, float(i)) for i in range(250)]
 
 
+def test_numbering_events_moves_no_line(spark, tmp_path, small_splits, split_mode):
+    line = '{"keyboard": {"keys": []}, "mouse": {"dx": %d}, "hotbar": 1, "isGuiOpen": false}'
+    for part in range(3):
+        put(tmp_path / "one" / f"part-{part}.txt", "\n \n".join(line % (100 * part + i) for i in range(100)) + "\n")
+    rows = r.read_input_events(spark, str(tmp_path / "one"), by_folder=True)
+    assert sorted((x.episode_id, x.t, x.mouse.dx) for x in rows.collect()) == [("one", i, float(i)) for i in range(300)]
+    plan = rows.select("t", "hotbar")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "value#" in x]
+    assert lines and not any("Window" in x or "regexp" in x or "Sort" in x for x in lines)
+
+
 def test_group_map(spark, tmp_path):
     steps = spark.createDataFrame([("1", "1", "a"), ("1", "2", "b"), ("2", "1", "b")], "task_id STRING, step_id STRING, website_name STRING")
     path = put(tmp_path / "g.csv", "website_name,count,group\na,1,\nb,2,G1_High\n,3,G1_High\n")

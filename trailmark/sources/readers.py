@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from trailmark import schemas
 from trailmark.operators.bucketing import load_group_map
-from trailmark.plans import Scan, numbered, running
+from trailmark.plans import Scan, attach, running
+from trailmark.plans.lineage import store
 
 _PAIR_LIST = f"array<{schemas.THOUGHT_ACTION}>"
 
@@ -131,6 +132,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 LINE_ORDER = ["block", "line"]
 
 
+def placed_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Some of the lines of ``read_lines`` with ``row``, which grows by one from line to line of a block; and their blocks.
+
+    A block (file, block, first, n) has ``n`` rows from ``first`` on, so what goes from line to line over a whole file
+    is worked out over the few blocks. The rows are stored once: a second read could cut the files elsewhere.
+    """
+    rows = store(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    return rows, store(rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "blocks")
+
+
 def run_log_results(lines: DataFrame, key: str, order: list[str], text: str = "value") -> DataFrame:
     """Last result per task id of each log: ``[Config file]`` sets the id of the results after it.
 
@@ -230,9 +241,12 @@ def read_input_events(spark: SparkSession, path: str, by_folder: bool = False) -
     An episode is a file, or with ``by_folder`` all files of a folder in the order of their names.
     """
     name = r"([^/]*)/[^/]*$" if by_folder else r"([^/]*)\.jsonl$"
-    lines = read_lines(spark, path).withColumn("episode_id", F.regexp_extract("file", name, 1))
-    events = numbered(lines.where(F.trim("value") != ""), ["episode_id"], ["file", *LINE_ORDER], "t")
-    return events.select("episode_id", (F.col("t") - 1).alias("t"), F.from_json("value", schemas.INPUT_EVENTS_BODY).alias("_e")).select(
+    rows, blocks = placed_lines(read_lines(spark, path).where(F.trim("value") != "").select("file", "block", "value"))
+    blocks = blocks.withColumn("episode_id", F.regexp_extract("file", name, 1))
+    blocks = running(blocks, ["episode_id"], ["file", "block"], {"before": Scan("sum", F.col("n"), exclusive=True)})
+    shift = (F.coalesce("before", F.lit(0)) - F.col("first")).alias("shift")
+    events = attach(rows, blocks.select("file", "block", "episode_id", shift), ["file", "block"], "inner")
+    return events.select("episode_id", (F.col("row") + F.col("shift")).alias("t"), F.from_json("value", schemas.INPUT_EVENTS_BODY).alias("_e")).select(
         "episode_id", "t", "_e.*"
     )
 
