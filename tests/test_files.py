@@ -114,6 +114,17 @@ def test_numbering_events_moves_no_line(spark, tmp_path, small_splits, split_mod
     assert lines and not any("Window" in x or "regexp" in x or "Sort" in x for x in lines)
 
 
+def test_ids_of_a_log_are_carried_over_blocks_without_one(spark, tmp_path, small_splits):
+    fails = [f"[Result] (FAIL) {i} " + "x" * 60 for i in range(80)]
+    text = "\n".join(["[Result] (PASS) early", "[Config file]: c/7.json", *fails, "[Result] (PASS) last", "[Config file]: c/no.json", *fails, "[Config file]: c/9.json", "[Result] (PASS)"])
+    for name in ("a.log", "b.log"):
+        put(tmp_path / "logs" / name, text + "\n")
+    got = r.parse_run_log(spark, str(tmp_path / "logs"))
+    assert sorted((x.file.rsplit("/", 1)[1], x.task_id, x.success) for x in got.collect()) == [(f, i, True) for f in ("a.log", "b.log") for i in (7, 9)]
+    # Results are combined by hash, not sorted, and their groups are numbers.
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_group_map(spark, tmp_path):
     steps = spark.createDataFrame([("1", "1", "a"), ("1", "2", "b"), ("2", "1", "b")], "task_id STRING, step_id STRING, website_name STRING")
     path = put(tmp_path / "g.csv", "website_name,count,group\na,1,\nb,2,G1_High\n,3,G1_High\n")

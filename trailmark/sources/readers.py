@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,9 +129,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-LINE_ORDER = ["block", "line"]
-
-
 def placed_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Some of the lines of ``read_lines`` with ``row``, which grows by one from line to line of a block; and their blocks.
 
@@ -142,15 +139,20 @@ def placed_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, store(rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "blocks")
 
 
+def _told(text: Column) -> tuple[Column, Column, Column]:
+    """Of a line of a run log: whether it names a task, the number in that name, and the verdict of a result."""
+    config = text.contains("[Config file]")
+    file_id = F.regexp_extract(F.rtrim(text), r"(?:^|[/\s])([^./\s]+)[^/\s]*$", 1).try_cast("int")
+    return config, file_id, F.when(text.contains("(FAIL)"), False).when(text.contains("(PASS)"), True)
+
+
 def run_log_results(lines: DataFrame, key: str, order: list[str], text: str = "value") -> DataFrame:
     """Last result per task id of each log: ``[Config file]`` sets the id of the results after it.
 
     ``lines`` has a row per line; the id is carried over however many tasks a log is cut into.  A result of neither
     kind gives a null ``success``; results under a name that is no number are left out.
     """
-    config = F.col(text).contains("[Config file]")
-    file_id = F.regexp_extract(F.rtrim(F.col(text)), r"(?:^|[/\s])([^./\s]+)[^/\s]*$", 1).try_cast("int")
-    verdict = F.when(F.col(text).contains("(FAIL)"), False).when(F.col(text).contains("(PASS)"), True)
+    config, file_id, verdict = _told(F.col(text))
     told = lines.where(config | F.col(text).contains("[Result]"))
     # A struct, so that a name that is no number ends the id before it.
     told = told.select(key, *order, F.when(config, F.struct(file_id.alias("task_id"))).alias("_config"), verdict.alias("success"))
@@ -160,7 +162,32 @@ def run_log_results(lines: DataFrame, key: str, order: list[str], text: str = "v
 
 
 def parse_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return run_log_results(read_lines(spark, path), "file", LINE_ORDER)
+    """``run_log_results`` of each file of logs.
+
+    The id is carried inside each block, and over the blocks of a file from the last one that each names. Rows hold
+    numbers only: ``first`` for their block and ``log``, the smallest one, for their file.
+    """
+    lines = read_lines(spark, path)
+    config, file_id, verdict = _told(F.col("value"))
+    told = lines.where(config | F.col("value").contains("[Result]"))
+    # A name that is no number ends the id before it.
+    told = told.select("file", "block", config.alias("names"), F.when(config, file_id).alias("id"), verdict.alias("success"))
+    rows, blocks = placed_lines(told)
+    lasts = rows.where("names").groupBy("file", "block").agg(F.max("row").alias("row"))
+    ends = attach(lasts, rows.where("names").select("row", F.struct("id").alias("end")), ["row"], "inner")
+    blocks = attach(blocks, ends.drop("row"), ["file", "block"])
+    blocks = running(blocks, ["file"], ["block"], {
+        "before": Scan("sum", F.col("n"), exclusive=True), "carried": Scan("last", F.col("end"), exclusive=True)})
+    blocks = store(attach(blocks, blocks.groupBy("file").agg(F.min("first").alias("log")), ["file"]), "blocks")
+    placed = attach(rows, blocks.select("file", "block", "first"), ["file", "block"], "inner")
+    so_far = Window.partitionBy("first").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.last(F.when(F.col("names"), F.struct("id")), ignorenulls=True).over(so_far)
+    seen = placed.select("first", "row", "names", "success", named.alias("named")).where("NOT names")
+    seen = attach(seen, blocks.select("first", "log", "before", "carried"), ["first"], "inner")
+    line = F.coalesce("before", F.lit(0)) + F.col("row") - F.col("first")
+    results = seen.select("log", F.coalesce("named", "carried")["id"].alias("task_id"), line.alias("line"), "success")
+    results = results.where("task_id IS NOT NULL").groupBy("log", "task_id").agg(F.max_by("success", "line").alias("success"))
+    return attach(results, blocks.select("log", "file").distinct(), ["log"], "inner").select("file", "task_id", "success")
 
 
 def read_task_config(spark: SparkSession, path: str) -> DataFrame:
