@@ -283,13 +283,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, root) of all keys with a similar other text; ``sketches`` must be stored rows."""
+    """(key, root) of all keys with a similar other text; ``sketches`` must be stored rows, numbered by ``_row``."""
     # Copies go before a shuffle, by the partial aggregate of dropDuplicates.
     rows = sketches.select("key", "buckets").dropDuplicates(["key"]).select("key", F.explode("buckets").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     full = store(rows.join(hubs, "bucket").distinct(), "buckets")
-    wanted = full.select("key").distinct()
-    units = store(sketches.select("key", "units").dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "units")
+    # Units are long: numbers tell which rows are needed, one per key, before any units are shuffled.
+    wanted = sketches.groupBy("key").agg(F.min("_row").alias("_row")).join(full.select("key").distinct(), "key", "left_semi")
+    units = store(sketches.select("_row", "key", "units").join(store(wanted.select("_row"), "wanted"), "_row", "left_semi").drop("_row"), "units")
     pairs = full.select(F.explode(F.array("low", "high")).alias("a"), F.col("key").alias("b")).filter("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     classes = store(components(verified(pairs, units, similarity)), "classes")
@@ -311,19 +312,33 @@ def near_duplicates(docs: DataFrame, keep: list[str], similarity: float = SIMILA
     one row of each class is kept, that with the smallest doc_id (null last), the first stored one of repeated rows.
     Texts without words form a class only with exact copies; null counts as empty.
     """
+    rows = numbered_sketches(docs, keep, key, text)
+    return classified(rows, keep, similarity, key).select(*keep, "class_id", "class_size", "kept")
+
+
+def numbered_sketches(docs: DataFrame, keep: list[str], key: str, text: str) -> DataFrame:
+    """The sketches of all rows, stored with their number ``_row``."""
     rows = sketch(docs.select(*dict.fromkeys([*keep, key, text])), list(dict.fromkeys([*keep, key])), text)
-    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "sketches")
+    return store(rows.withColumn("_row", F.monotonically_increasing_id()), "sketches")
+
+
+def classified(rows: DataFrame, keep: list[str], similarity: float, key: str) -> DataFrame:
+    """Columns ``keep`` and ``_row`` of every sketch with its class, the size of it and whether the row is kept."""
     classes = similar_classes(rows, similarity)
     placed = rows.select(*dict.fromkeys([*keep, key]), "_row", "key").join(classes, "key", "left")
     placed = placed.withColumn("_class", F.coalesce("root", "key"))
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
     first = placed.groupBy("_class").agg(F.min(order).alias("_first"), F.count("*").alias("class_size"))
     out = placed.join(store(first, "first"), "_class")
-    return out.select(*keep, F.col("_first.k").alias("class_id"), "class_size", (F.col("_row") == F.col("_first.r")).alias("kept"))
+    return out.select(*keep, "_row", F.col("_first.k").alias("class_id"), "class_size", (F.col("_row") == F.col("_first.r")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """One row of each class, with its own columns; the table is stored once with its sketches."""
+    """One row of each class, with its own columns; the table is stored once with its sketches.
+
+    Classes are found on numbers alone, and the numbers of the rows that go are taken from the stored table.
+    """
     held = docs.select(F.struct("*").alias("_row_data"), F.col("doc_id"), F.col(text).alias("text"))
-    found = near_duplicates(held, ["_row_data"], similarity)
-    return found.filter("kept").select("_row_data.*")
+    rows = numbered_sketches(held, ["_row_data"], "doc_id", "text")
+    gone = store(classified(rows, [], similarity, "doc_id").filter("NOT kept").select("_row"), "gone")
+    return rows.join(gone, "_row", "left_anti").select("_row_data.*")
