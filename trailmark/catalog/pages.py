@@ -61,7 +61,7 @@ a2 AS (SELECT page_id, node_id, parent_id AS up FROM st WHERE stays UNION ALL SE
 paths AS (SELECT page_id, node_id, lpad('' || ord, 10, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT c.page_id, c.node_id, p.path || '/' || lpad('' || c.ord, 10, '0') FROM nodes c JOIN paths p ON p.page_id = c.page_id AND p.node_id = c.parent_id)
 SELECT a.page_id, a.node_id, a.up AS new_parent, row_number() OVER (PARTITION BY a.page_id ORDER BY path) AS position FROM a2 a LEFT JOIN st p ON p.page_id = a.page_id AND p.node_id = a.up JOIN paths ON paths.page_id = a.page_id AND paths.node_id = a.node_id WHERE a.up IS NULL OR p.stays""")
 def prune_wrappers(t):
-    rows = nodes(t)
+    rows = nodes(t).select("page_id", "node_id", "parent_id", "ord", "is_text")
     pruned = tr.prune_tree(rows, rows.where(WRAPPED), text=F.col("is_text"), plain=F.expr("node_id % 5 <> 0"))
     return pruned.select("page_id", "node_id", "new_parent", "position")
 

@@ -125,18 +125,14 @@ def promote_children(nodes: DataFrame, keep: Column) -> DataFrame:
 
     Roots always stay.  ``position`` numbers the kept nodes of a page in document order.
     """
-    return _promoted(nodes, keep).select(*nodes.columns, "new_parent", "position")
-
-
-def _promoted(nodes: DataFrame, keep: Column, weighed: Column | None = None) -> DataFrame:
     stays = F.coalesce(keep, F.lit(False)) | F.col("parent_id").isNull()
     flagged = nodes.withColumn("_keep", stays)
-    placed = in_order(flagged, marked=F.col("_keep"), weighed=weighed)
+    placed = in_order(flagged, marked=F.col("_keep"))
     above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
     # Sizes come from the raw nodes: measuring the derived rows would compute them twice.
     pages = measure(nodes, ["page_id"])
     kept = attach(placed.where("_keep"), above, ["page_id", "parent_id"])
-    return numbered(kept, ["page_id"], ["pre"], "position", pages)
+    return numbered(kept, ["page_id"], ["pre"], "position", pages).select(*nodes.columns, "new_parent", "position")
 
 
 def prune_tree(nodes: DataFrame, kept_ids: DataFrame, text: Column | None = None, plain: Column | None = None) -> DataFrame:
@@ -161,11 +157,43 @@ def prune_tree(nodes: DataFrame, kept_ids: DataFrame, text: Column | None = None
     wrapper = F.col("_on") & F.col("_plain") & ~F.col("_text") & F.col("parent_id").isNotNull() & F.col("_holds").isNull()
     marked = store(marked.withColumn("_wrapper", wrapper), "marked")
     solid = (F.col("_on") | F.col("parent_id").isNull()) & ~F.col("_wrapper")
-    first = _promoted(marked, F.col("_on"), weighed=solid)
+    # The places in document order are found once; what goes next changes the nearest nodes above only.
+    kept = F.col("_on") | F.col("parent_id").isNull()
+    placed = in_order(marked.withColumn("_kept", kept), marked=F.col("_kept"), weighed=solid)
+    placed = store(placed.select(*marked.columns, "_kept", "pre", "weight", "nearest"), "placed")
+    above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("nearest").alias("new_parent"))
+    first = attach(placed.where("_kept").select(*NODE, "parent_id", "weight"), above, ["page_id", "parent_id"])
     left = first.where("weight > 0").groupBy("page_id", F.col("new_parent").alias("node_id")).agg(F.count(F.lit(1)).alias("_left"))
-    marked = attach(marked, left, NODE)
-    stays = F.col("_on") & ~(F.col("_wrapper") & (F.coalesce("_left", F.lit(0)) <= 1))
-    return promote_children(store(marked.withColumn("_stays", stays), "marked"), F.col("_stays")).select(*nodes.columns, "new_parent", "position")
+    bare = F.col("_wrapper") & (F.coalesce("_left", F.lit(0)) <= 1)
+    stays = (F.col("_on") & ~bare) | F.col("parent_id").isNull()
+    staying = attach(placed.select(*NODE, "parent_id", "_on", "_wrapper"), left, NODE)
+    near = nearest_staying(staying.groupBy(*NODE).agg(F.min("parent_id").alias("parent_id"), F.max(stays).alias("stays")))
+    above = placed.select(*NODE).join(near, NODE)
+    above = above.select("page_id", F.col("node_id").alias("parent_id"), F.col("near").alias("new_parent"))
+    left_over = placed.select(*nodes.columns, "pre").join(near.where("stays").select(*NODE), NODE, "left_semi")
+    left_over = attach(left_over, above, ["page_id", "parent_id"])
+    return numbered(left_over, ["page_id"], ["pre"], "position", measure(nodes, ["page_id"])).select(*nodes.columns, "new_parent", "position")
+
+
+def nearest_staying(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, stays, near) of nodes (page_id, node_id, parent_id, stays) that come once: ``near`` is the nearest
+    one that stays, from the node itself upwards."""
+    own = F.col("node_id").cast("long")
+    state = store(nodes.select(
+        "page_id", own.alias("node_id"), "stays", F.when(~F.col("stays"), F.col("parent_id").cast("long")).alias("up"), F.when(F.col("stays"), own).alias("near"),
+    ), "nodes")
+    rounds, open_rows, total = 0, 1, 1
+    while open_rows:
+        if 1 << rounds > 4 * total:
+            raise ValueError("the parent pointers hold a cycle")
+        for _ in range(2):
+            far = state.select("page_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("near").alias("_near"))
+            going = attach(state.where("up IS NOT NULL").drop("near"), far, ["page_id", "up"])
+            going = going.select(*NODE, "stays", F.col("_up").alias("up"), F.col("_near").alias("near"))
+            state = state.where("up IS NULL").unionByName(going)
+        state, open_rows, total = _stored(state)
+        rounds += 2
+    return state.select(*NODE, "stays", "near")
 
 
 def shown_properties() -> Column:
