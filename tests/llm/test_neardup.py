@@ -107,3 +107,14 @@ def test_signatures_estimate_weighted_similarity():
     exact = sum((a & b).values()) / sum((a | b).values())
     assert abs((signature[0] == signature[1]).mean() - exact) < 0.12
     assert (signature < 2**63).all()
+
+
+def test_whole_rows_are_joined_once_by_number(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text if i % 3 else f"{text} tail{i // 30}") for i in range(90)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = neardup.drop_near_duplicates(docs)
+    assert [r.doc_id for r in left.collect()] == [0]
+    # One join of the whole rows, on their numbers.
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join LeftAnti, (_row" in plan

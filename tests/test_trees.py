@@ -68,6 +68,22 @@ def test_pruning_with_wrappers_and_texts(spark):
         assert got == pruned(own, kept[page])
 
 
+def test_pruning_finds_the_document_order_once(spark, monkeypatch):
+    calls, facts = [], tr.tree_facts
+    monkeypatch.setattr(tr, "tree_facts", lambda *given: calls.append(1) or facts(*given))
+    rows = random_tree(random.Random(5), 1, 40)
+    ids = spark.createDataFrame([(1, r[1]) for r in rows if not r[4]], "page_id long, node_id long")
+    found = tr.prune_tree(spark.createDataFrame(rows, NODES), ids, text=F.col("is_text"), plain=F.col("plain")).collect()
+    assert [(r.node_id, r.new_parent) for r in sorted(found, key=lambda r: r.position)] == pruned(rows, {r[1] for r in rows if not r[4]})
+    assert len(calls) == 1
+
+
+def test_nearest_staying_nodes_of_chains_and_missing_parents(spark):
+    rows = [(1, i, i - 1 if i else None, i == 0) for i in range(300)] + [(2, 5, 77, False), (2, 6, 5, False), (2, 7, 6, True)]
+    found = tr.nearest_staying(spark.createDataFrame(rows, "page_id long, node_id long, parent_id long, stays boolean")).collect()
+    assert {(r.page_id, r.node_id): r.near for r in found} == {(1, i): 0 for i in range(300)} | {(2, 5): None, (2, 6): None, (2, 7): 7}
+
+
 def test_preorder_of_random_trees_and_a_long_chain(spark):
     rng = random.Random(9)
     pages = {page: random_tree(rng, page, rng.choice([1, 5, 70])) for page in range(12)}
