@@ -1,14 +1,19 @@
 """The open language model against brute force: scripts keep their letters, the model grows, texts do not vouch for themselves."""
 
+import ctypes
 import math
 import random
+import resource
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import code_points
+from trailmark.llm import code_points, common
 
 SCHEMA = "doc_id long, text string, lang string, kept string"
 
@@ -105,3 +110,52 @@ def test_packing_is_lossless():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert code_points.quality_rules(empty, ["doc_id"]).isEmpty() and code_points.keep_documents(empty).isEmpty()
+
+
+class _Rows:
+    """Stands for a table whose task function is taken out and called here."""
+
+    def __init__(self, session):
+        self.sparkSession = session
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_counting_holds_little_besides_the_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(code_points, "HELD", 200_000)
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 10_000))) for _ in range(60)]
+    task = code_points.count_ngrams(_Rows(spark), 8)
+    batches = (pa.RecordBatch.from_pydict({"_text": [t], "_half": [i % 2]}) for i, t in enumerate(texts))
+    tracemalloc.start()
+    try:
+        total = sum(int(n[2].sum() + n[3].sum()) for made in task(batches) for n in map(code_points._unpacked, made.column("grams").to_pylist()))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 60 * 10_001
+    assert most < 110 * code_points.HELD
+
+
+def test_workers_give_memory_back(spark):
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("the C library cannot")
+
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+
+    pins = []
+
+    def run(batches):
+        blocks = [np.ones(4_000) for _ in range(6_000)]
+        pins.append(np.ones(4_000))
+        yield held()
+        del blocks
+
+    before = held()
+    [during] = common.map_batches(_Rows(spark), run, "")(iter([]))
+    assert held() - before < (during - before) / 2

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm import perplexity
-from trailmark.llm.common import map_batches, ship_package, slices
+from trailmark.llm.common import give_back, map_batches, ship_package, slices
 from trailmark.llm.perplexity import BASE, _in_band, _measure, language_bands
 from trailmark.plans.lineage import store
 
@@ -58,7 +58,8 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     """64-bit hashes of rows of code points."""
     mixed = np.zeros(len(columns[0]), np.uint64)
     for points in columns:
-        mixed = (mixed ^ points) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= points
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
@@ -68,7 +69,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(f"{EDGE * (ORDER - 1)}{t}{EDGE}" for t in texts).encode("utf-32-le"), "<u4")
     points = np.where(points == 0, np.uint32(NUL), points)
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    at = np.arange(size.sum()) + np.repeat(np.arange(len(texts)) * (ORDER - 1), size)
+    at = np.repeat(np.arange(len(texts)) * (ORDER - 1), size)
+    at += np.arange(len(at))
     count = max(len(points) - ORDER + 1, 0)
     return points, at, _mixed([points[k : k + count] for k in range(ORDER)])[at]
 
@@ -93,13 +95,24 @@ def _order(mixed: np.ndarray) -> np.ndarray:
     Where leading bits of different hashes are equal, equal hashes may not be neighbours; ``_together`` joins them later.
     """
     bits = np.uint64((1 << max(len(mixed) - 1, 1).bit_length()) - 1)
-    packed = mixed & ~bits | np.arange(len(mixed), dtype=np.uint64)
+    packed = mixed & ~bits
+    packed |= np.arange(len(mixed), dtype=np.uint64)
     packed.sort()
-    return (packed & bits).astype(np.int64)
+    packed &= bits
+    return packed.view(np.int64)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+def _sums(values: np.ndarray, starts: np.ndarray, kind: type | None = None) -> np.ndarray:
+    return np.add.reduceat(values, starts, dtype=kind) if len(starts) else values[:0].astype(kind or values.dtype)
+
+
+def _joined(points: np.ndarray, at: np.ndarray, *places: int) -> np.ndarray:
+    """Three code points of each n-gram that begins ``at`` in one number, 21 bits each."""
+    made = points[at + places[0]].astype(np.uint64)
+    for place in places[1:]:
+        made <<= _B21
+        made |= points[at + place]
+    return made
 
 
 def _together(parts: list[Grams]) -> Grams:
@@ -140,19 +153,31 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, grams): what the texts ``_text`` of halves ``_half`` hold, added up for each task and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, Grams]] = []
+        #: Hashes, and ``Grams``, of the slices read: a list for each column, so that a column goes as soon as it is merged.
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
 
-        def merged() -> tuple[np.ndarray, Grams]:
-            keys = np.concatenate([k for k, _ in held])
+        def merge() -> None:
+            keys = np.concatenate(held[0])
+            held[0].clear()
             order = _order(keys)
-            first = _starts(keys[order])
-            mid, out, a, b = (np.concatenate(x)[order] for x in zip(*(g for _, g in held)))
-            return keys[order][first], (mid[first], out[first], _sums(a, first), _sums(b, first))
-
-        def sent(grams: Grams) -> pa.RecordBatch:
-            number = _mixed([grams[0]]) % np.uint64(buckets)
-            order = np.lexsort((grams[1], grams[0], number))
-            number, grams = number[order], tuple(x[order] for x in grams)
+            keys = keys[order]
+            first = _starts(keys)
+            held[0].append(keys[first])
+            del keys
+            for column in held[1:3]:
+                whole = np.concatenate(column)
+                column[:] = [whole[order[first]]]
+            for column in held[3:]:
+                whole = np.concatenate(column)
+                column[:] = [_sums(whole[order], first, np.int64)]
+            del whole, order, first
+            give_back()
+
+        def sent() -> pa.RecordBatch:
+            held[0].clear()
+            number = _mixed([held[1][0]]) % np.uint64(buckets)
+            order = np.lexsort((held[2][0], held[1][0], number))
+            number, grams = number[order], tuple(column.pop()[order] for column in held[1:])
             first = _starts(number)
             ends = [*first[1:], len(number)]
             values = [_packed(tuple(x[i:j] for x in grams)) for i, j in zip(first, ends)]
@@ -162,21 +187,24 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
             for part in slices(batch, "_text"):
                 texts = _texts(part)
                 points, at, mixed = ngrams(texts)
-                half = np.repeat(part.column("_half").to_numpy(), [len(t) + 1 for t in texts])
+                half = np.repeat(part.column("_half").to_numpy().astype(np.uint8), [len(t) + 1 for t in texts])
                 order = _order(mixed)
                 mixed = mixed[order]
                 first = _starts(mixed)
-                own = points[at[order[first]][:, None] + np.arange(ORDER)].astype(np.uint64)
-                both, b = np.diff(first, append=len(mixed)), _sums(half[order], first)
-                mid = own[:, 2] << _B42 | own[:, 3] << _B21 | own[:, 4]
-                held.append((mixed[first], (mid, own[:, 1] << _B42 | own[:, 0] << _B21 | own[:, 5], both - b, b)))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held = [merged()]
+                both, b = np.diff(first, append=len(mixed)).astype(np.uint32), _sums(half[order], first, np.uint32)
+                at = at[order[first]]
+                columns = mixed[first], _joined(points, at, 2, 3, 4), _joined(points, at, 1, 0, 5), both - b, b
+                del points, at, mixed, half, order, first
+                for column, values in zip(held, columns):
+                    column.append(values)
+                del columns, both, b, values
+                if sum(map(len, held[0])) > HELD:
+                    merge()
                     if len(held[0][0]) > HELD / 2:
-                        yield sent(held[0][1])
-                        held = []
-        if held:
-            yield sent(merged()[1])
+                        yield sent()
+        if held[0]:
+            merge()
+            yield sent()
 
     return map_batches(rows.select("_text", "_half"), run, "bucket int, grams binary")
 
