@@ -159,3 +159,36 @@ def test_workers_give_memory_back(spark):
     before = held()
     [during] = common.map_batches(_Rows(spark), run, "")(iter([]))
     assert held() - before < (during - before) / 2
+
+
+def test_scoring_holds_little_besides_the_model():
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 10_000))) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "_text": texts, "_half": [i % 2 for i in range(100)]})
+    keys = np.unique(code_points.ngrams(texts[:50])[2])
+    logs, table = np.full((2, len(keys)), -1.0, np.float32), np.zeros(40**4, np.float32)
+    names = ["doc_id", *(f.name for f in code_points.MEASURES), "_id", "_rare", "_hash", "_times", "_which"]
+    rows, rare = 0, 0
+    tracemalloc.start()
+    try:
+        for made in code_points.scored(iter([batch]), keys, logs, table, names, 7 << 33):
+            ids = made.column("_id").to_numpy()
+            if made.column("_hash").null_count:
+                assert ids.tolist() == [(7 << 33) + n for n in made.column("doc_id").to_pylist()]
+                rows, rare = rows + made.num_rows, rare + sum(made.column("_rare").to_pylist())
+            else:
+                rare -= sum(made.column("_times").to_pylist())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 100 and rare == 0
+    assert most < 30e6
+
+
+def test_tasks_that_do_not_encode_let_encoders_go(spark, monkeypatch):
+    held = {"one": object()}
+    monkeypatch.setattr(common, "_ENCODERS", held)
+    list(common.map_batches(_Rows(spark), lambda batches: batches, "", encodes=True)(iter([])))
+    assert held
+    list(common.map_batches(_Rows(spark), lambda batches: batches, "")(iter([])))
+    assert not held

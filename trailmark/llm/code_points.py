@@ -41,8 +41,10 @@ from trailmark.plans.lineage import store
 ORDER = 6
 #: Stands before and behind a text; a NUL is read as the other noncharacter.
 EDGE, NUL = "\uffff", 0xFFFE
-#: Distinct n-grams that a task holds before it hands them on, and that are sent to all tasks (16 bytes each).
+#: N-grams that a task holds (it hands its distinct ones on from half of that), and that are sent to all tasks (16 bytes each).
 HELD, HOT = 2_000_000, 4_000_000
+#: Bytes of text that a task takes at a time; each makes some 100 bytes of arrays.
+SLICE = 400_000
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 HALVES = ("a", "b")
@@ -159,7 +161,7 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
         def merge() -> None:
             keys = np.concatenate(held[0])
             held[0].clear()
-            order = _order(keys)
+            order = _order(keys).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
             keys = keys[order]
             first = _starts(keys)
             held[0].append(keys[first])
@@ -175,16 +177,19 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             held[0].clear()
-            number = _mixed([held[1][0]]) % np.uint64(buckets)
-            order = np.lexsort((held[2][0], held[1][0], number))
-            number, grams = number[order], tuple(column.pop()[order] for column in held[1:])
-            first = _starts(number)
-            ends = [*first[1:], len(number)]
-            values = [_packed(tuple(x[i:j] for x in grams)) for i, j in zip(first, ends)]
-            return pa.RecordBatch.from_arrays([pa.array(number[first].astype(np.int32)), pa.array(values, pa.binary())], names=["bucket", "grams"])
+            columns = [column.pop() for column in held[1:]]
+            number = (_mixed([columns[0]]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(number, kind="stable")
+            number = number[order]
+            first, values = _starts(number), []
+            for i, j in zip(first, [*first[1:], len(number)]):
+                grams = [x[order[i:j]] for x in columns]
+                place = np.lexsort((grams[1], grams[0]))
+                values.append(_packed(tuple(x[place] for x in grams)))
+            return pa.RecordBatch.from_arrays([pa.array(number[first]), pa.array(values, pa.binary())], names=["bucket", "grams"])
 
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 texts = _texts(part)
                 points, at, mixed = ngrams(texts)
                 half = np.repeat(part.column("_half").to_numpy().astype(np.uint8), [len(t) + 1 for t in texts])
@@ -198,7 +203,7 @@ def count_ngrams(rows: DataFrame, buckets: int) -> DataFrame:
                 for column, values in zip(held, columns):
                     column.append(values)
                 del columns, both, b, values
-                if sum(map(len, held[0])) > HELD:
+                if sum(map(len, held[0])) > 0.75 * HELD:
                     merge()
                     if len(held[0][0]) > HELD / 2:
                         yield sent()
@@ -390,6 +395,52 @@ def hot_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.stack([found.column(h).to_numpy()[order] for h in HALVES])
 
 
+def scored(
+    batches: Iterator[pa.RecordBatch], keys: np.ndarray, logs: np.ndarray, table: np.ndarray, names: list[str], number: int
+) -> Iterator[pa.RecordBatch]:
+    """A row for each text, numbered from ``number``, and one for each of its n-grams that is not among ``keys``.
+
+    ``names`` are the kept columns, then those of ``MEASURES`` and the five that ``measured`` adds.
+    """
+    kept = names[: -len(MEASURES) - 5]
+
+    def of(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        texts = _texts(part)
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        ids = np.arange(number, number + len(texts))
+        mixed = ngrams(texts)[2]
+        half = part.column("_half").to_numpy()
+        order = _order(mixed)
+        begin = _starts(mixed[order])
+        own = mixed[order[begin]]
+        where = np.empty(len(mixed), np.int64)
+        where[order] = np.repeat(np.arange(len(own)), np.diff(begin, append=len(mixed)))
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        found = np.where(hit, logs[:, at], 0.0) if len(keys) else np.zeros((2, len(own)))
+        each, known = found[np.repeat(1 - half, size), where], hit[where]
+        first = np.cumsum(size) - size
+        rare, doc = mixed[~known], np.repeat(np.arange(len(texts)), size)[~known]
+        *base, rough = _measure(texts, table)
+        own = [pa.array(-np.add.reduceat(each, first, dtype=np.float64)), rough, pa.array(ids), pa.array(np.bincount(doc, minlength=len(texts)))]
+        nothing = [pa.nulls(len(texts), pa.int64())] * 3
+        made = [pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *base, *own, *nothing], names=names)]
+        if len(rare):
+            order = np.lexsort((rare, doc))
+            begin = _starts(doc[order], rare[order])
+            rare, doc = rare[order][begin], doc[order][begin]
+            empty = [pa.nulls(len(rare), t) for t in [*(part.column(c).type for c in kept), *(x.type for x in base), pa.float64(), pa.float64()]]
+            times = np.diff(begin, append=len(order))
+            rows = [ids[doc], np.zeros(len(rare), np.int64), rare.view(np.int64), times, half[doc]]
+            made.append(pa.RecordBatch.from_arrays([*empty, *map(pa.array, rows)], names=names))
+        return made
+
+    for batch in batches:
+        for part in slices(batch, "_text", SLICE):
+            yield from of(part)
+            number += part.num_rows
+
+
 def measured(docs: DataFrame, keep: list[str], text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` of every row with the base counts and both mean log-perplexities of its text; stored.
 
@@ -406,39 +457,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", also: tuple[s
     schema = T.StructType([*facts, *extra])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = hot.value
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                texts = _texts(part)
-                size = np.array([len(t) + 1 for t in texts], np.int64)
-                ids = np.arange(number, number + len(texts))
-                number += len(texts)
-                mixed = ngrams(texts)[2]
-                half = part.column("_half").to_numpy()
-                order = _order(mixed)
-                begin = _starts(mixed[order])
-                own = mixed[order[begin]]
-                where = np.empty(len(mixed), np.int64)
-                where[order] = np.repeat(np.arange(len(own)), np.diff(begin, append=len(mixed)))
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                found = np.where(hit, logs[:, at], 0.0) if len(keys) else np.zeros((2, len(own)))
-                each, known = found[np.repeat(1 - half, size), where], hit[where]
-                first = np.cumsum(size) - size
-                rare, doc = mixed[~known], np.repeat(np.arange(len(texts)), size)[~known]
-                *base, rough = _measure(texts, coarse.value)
-                own = [pa.array(-np.add.reduceat(each, first, dtype=np.float64)), rough, pa.array(ids), pa.array(np.bincount(doc, minlength=len(texts)))]
-                nothing = [pa.nulls(len(texts), pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keep, *also]), *base, *own, *nothing], names=schema.names)
-                if len(rare):
-                    order = np.lexsort((rare, doc))
-                    begin = _starts(doc[order], rare[order])
-                    rare, doc = rare[order][begin], doc[order][begin]
-                    empty = [pa.nulls(len(rare), t) for t in [*(part.column(c).type for c in [*keep, *also]), *(x.type for x in base), pa.float64(), pa.float64()]]
-                    times = np.diff(begin, append=len(order))
-                    found = [ids[doc], np.zeros(len(rare), np.int64), rare.view(np.int64), times, half[doc]]
-                    yield pa.RecordBatch.from_arrays([*empty, *map(pa.array, found)], names=schema.names)
+        return scored(batches, *hot.value, coarse.value, schema.names, TaskContext.get().partitionId() << 33)
 
     made = store(map_batches(rows, score, schema), "measured")
     log = F.when(F.col("_which") == 1, F.col("a")).otherwise(F.col("b"))

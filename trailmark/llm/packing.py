@@ -81,7 +81,7 @@ def token_pieces(
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, PIECES)
+    return map_batches(rows, run, PIECES, encodes=True)
 
 
 class Packer:

@@ -220,7 +220,7 @@ def write_shards(
     order = [F.col("key").asc_nulls_first(), F.col("text_hash"), F.col("text")]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("key", "text")
-    return store(map_batches(rows, run, MANIFEST), "manifest")
+    return store(map_batches(rows, run, MANIFEST, encodes=True), "manifest")
 
 
 def place_shards(manifest: DataFrame) -> DataFrame:
